@@ -44,3 +44,20 @@ def first_n_per_group(df: DataFrame, keys: list, order: list, n: int, rank_col:
 def ranked(df: DataFrame, keys: list, order: list, rank_col: str = "rank") -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w))
+
+
+def dense_index(df: DataFrame, keys: list, order: list, block: list, out: str = "idx") -> DataFrame:
+    """0-based position of each row within its group, in ``order``.
+
+    ``block`` is a prefix of ``order`` whose groups are bounded in size (e.g.
+    document id and a line block).  Counting per block and summing the counts
+    of earlier blocks keeps a hot group from being sorted row by row in one
+    task: only the per-block counts are ordered per group.
+    """
+    blocks = df.groupBy(*keys, *block).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    w2 = Window.partitionBy(*keys, *block).orderBy(*order)
+    return (df.join(offsets, keys + block)
+              .withColumn(out, (F.col("_off") + F.row_number().over(w2) - 1).cast("int"))
+              .drop("_off"))
