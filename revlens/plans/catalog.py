@@ -27,4 +27,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from revlens.plans import cleaning, dashboards, histories, industry  # noqa: F401
+    from revlens.plans import classification, cleaning, dashboards, histories, industry  # noqa: F401
