@@ -14,17 +14,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _bigint_counts(sql: str) -> str:
+    """Wrap every count_if(...) so DuckDB returns BIGINT like Spark (not HUGEINT)."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k, quoted = 1, j + len(key), False
+        while depth:
+            ch = sql[k]
+            if ch == "'":
+                quoted = not quoted
+            elif not quoted:
+                depth += {"(": 1, ")": -1}.get(ch, 0)
+            k += 1
+        inner = _bigint_counts(sql[j + len(key):k - 1])
+        out.append(sql[i:j] + f"CAST(count_if({inner}) AS BIGINT)")
+        i = k
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = _bigint_counts(sql)
         return fn
     return deco
 
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from revlens.plans import classification, cleaning, dashboards, histories, industry, retrieval_q, themes_q, plans_q  # noqa: F401
+    from revlens.plans import classification, cleaning, dashboards, histories, industry, retrieval_q, themes_q, plans_q, streams_q  # noqa: F401
