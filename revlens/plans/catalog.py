@@ -14,9 +14,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def _bigint_counts(sql: str) -> str:
-    """Wrap every count_if(...) so DuckDB returns BIGINT like Spark (not HUGEINT)."""
-    out, i, key = [], 0, "count_if("
+def _wrap_calls(sql: str, key: str, typ: str) -> str:
+    """Wrap every ``key...)`` call (matching parentheses, quotes skipped) in CAST(... AS typ)."""
+    out, i = [], 0
     while True:
         j = sql.find(key, i)
         if j < 0:
@@ -30,11 +30,16 @@ def _bigint_counts(sql: str) -> str:
             elif not quoted:
                 depth += {"(": 1, ")": -1}.get(ch, 0)
             k += 1
-        inner = _bigint_counts(sql[j + len(key):k - 1])
-        out.append(sql[i:j] + f"CAST(count_if({inner}) AS BIGINT)")
+        inner = _wrap_calls(sql[j + len(key):k - 1], key, typ)
+        out.append(sql[i:j] + f"CAST({key}{inner}) AS {typ})")
         i = k
 
 
+def _bigint_counts(sql: str) -> str:
+    """DuckDB result types aligned with Spark's: count_if -> BIGINT, row_number -> INTEGER."""
+    return _wrap_calls(_wrap_calls(sql, "count_if(", "BIGINT"), "row_number() OVER (", "INTEGER")
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
         if name in QUERIES:

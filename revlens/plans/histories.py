@@ -62,7 +62,7 @@ def a12(spark, sf_dir):
 
 
 @register("a13_user_totals", SQL + """
-SELECT user_id, count(*) AS session_count, sum(total_reviews) AS total_reviews FROM history GROUP BY user_id""")
+SELECT user_id, count(*) AS session_count, CAST(sum(total_reviews) AS BIGINT) AS total_reviews FROM history GROUP BY user_id""")
 def a13(spark, sf_dir):
     _, _, hist = all_derived(spark, sf_dir)
     return S.user_totals(hist)
@@ -106,7 +106,7 @@ SELECT *, session_count AS n_points FROM traj2""")
 def e02(spark, sf_dir):
     _, dash, hist = all_derived(spark, sf_dir)
     t = E.sentiment_trajectory(E.session_series(hist, dash))
-    return t.withColumn("n_points", F.size("points")).drop("points")
+    return t.withColumn("n_points", F.size("points").cast("bigint")).drop("points")
 
 
 DRIFT_SQL = """firsts AS (SELECT user_id, session_id FROM series WHERE n_sessions >= 2 AND seq = 1),
@@ -178,7 +178,7 @@ cur AS (
   FROM hl JOIN dashboards d ON hl.session_id = d.session_id
   LEFT JOIN dashboards p ON hl.prev_session_id = p.session_id),
 alerts AS (
-  SELECT user_id, session_id, 'critical_spike' AS event, critical_count, critical_pct, 20.0 AS threshold,
+  SELECT user_id, session_id, 'critical_spike' AS event, critical_count, critical_pct, CAST(20.0 AS DOUBLE) AS threshold,
          CAST(NULL AS DOUBLE) AS current_score, CAST(NULL AS DOUBLE) AS previous_score, CAST(NULL AS DOUBLE) AS drop,
          CAST(NULL AS VARCHAR) AS new_issue, CAST(NULL AS VARCHAR) AS previous_issue
   FROM cur WHERE critical_pct > 20.0
@@ -207,7 +207,7 @@ matched AS (
 
 
 @register("g01_critical_spike", SQL + """
-SELECT session_id, critical_count, critical_pct, 20.0 AS threshold FROM dashboards WHERE critical_pct > 20.0""")
+SELECT session_id, critical_count, critical_pct, CAST(20.0 AS DOUBLE) AS threshold FROM dashboards WHERE critical_pct > 20.0""")
 def g01(spark, sf_dir):
     _, dash, _ = all_derived(spark, sf_dir)
     return G.critical_spike(dash)
