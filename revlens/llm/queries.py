@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from revlens.llm import op1_license, op2_chat, op6_bpe, op7_language, op8_quality
+from revlens.llm import op1_license, op2_chat, op3_minhash, op5_packing, op6_bpe, op7_language, op8_quality, op10_embedding
 from revlens.llm.common import crc_fold, read
 
 QUERIES: dict = {}
@@ -69,3 +69,51 @@ def op8(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     crf = op8_quality.train(docs, read(spark, sf_dir, "labels"))
     return op8_quality.judge(docs, crf).drop("line_labels")
+
+
+@_query("op3_minhash_near_dup", r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY 1),
+p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 85 * (a.c + b.c - i)),
+r AS (
+  SELECT doc_id AS x, doc_id AS root FROM documents
+  UNION
+  SELECT l.y, r.root FROM r JOIN l USING (x))
+SELECT d.doc_id, coalesce(n.c, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(root) AS component_id FROM r GROUP BY 1) m USING (doc_id)""")
+def op3(spark, sf_dir):
+    return op3_minhash.near_duplicates(read(spark, sf_dir, "documents"), 85, 100)
+
+
+@_query("op5_best_fit_packing")
+def op5(spark, sf_dir):
+    import public_tokenizers
+    cut = op5_packing.pieces(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return op5_packing.pack(cut)
+
+
+@_query("op10_embedding_near_dup", r"""
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+u AS (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM e WHERE list_dot_product(v, v) > 0),
+l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.93),
+r AS (
+  SELECT vec_id AS x, vec_id AS root FROM embeddings
+  UNION
+  SELECT l.y, r.root FROM r JOIN l USING (x))
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, m.component_id, e.vec_id = m.component_id AS kept
+FROM embeddings e JOIN (SELECT x AS vec_id, min(root) AS component_id FROM r GROUP BY 1) m USING (vec_id)
+LEFT JOIN (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY 1) c USING (vec_id)""")
+def op10(spark, sf_dir):
+    return op10_embedding.near_duplicates(read(spark, sf_dir, "embeddings"), 0.93)
