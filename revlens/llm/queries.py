@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from revlens.llm import op1_license, op2_chat, op3_minhash, op5_packing, op6_bpe, op7_language, op8_quality, op10_embedding
+from revlens.llm import op1_license, op2_chat, op3_minhash, op5_packing, op6_bpe, op7_language, op8_quality, op9_lines, op10_embedding
 from revlens.llm.common import crc_fold, read
 
 QUERIES: dict = {}
@@ -117,3 +117,8 @@ FROM embeddings e JOIN (SELECT x AS vec_id, min(root) AS component_id FROM r GRO
 LEFT JOIN (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY 1) c USING (vec_id)""")
 def op10(spark, sf_dir):
     return op10_embedding.near_duplicates(read(spark, sf_dir, "embeddings"), 0.93)
+
+
+@_query("op9_line_dedup")
+def op9(spark, sf_dir):
+    return op9_lines.line_components(read(spark, sf_dir, "documents"), 0.8)
