@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from revlens.llm import op1_license, op2_chat, op3_minhash, op5_packing, op6_bpe, op7_language, op8_quality, op9_lines, op10_embedding
+from revlens.llm import op1_license, op2_chat, op3_minhash, op4_lm, op5_packing, op6_bpe, op7_language, op8_quality, op9_lines, op10_embedding
 from revlens.llm.common import crc_fold, read
 
 QUERIES: dict = {}
@@ -122,3 +122,10 @@ def op10(spark, sf_dir):
 @_query("op9_line_dedup")
 def op9(spark, sf_dir):
     return op9_lines.line_components(read(spark, sf_dir, "documents"), 0.8)
+
+
+@_query("op4_lm_score")
+def op4(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", (~op4_lm.held_out()).alias("train"))
+    found = op4_lm.scores(docs)
+    return found.select("doc_id", op4_lm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
