@@ -283,3 +283,10 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, id_col: str
     component = F.coalesce("component", F.when(F.col("doc_id").isNotNull(), F.col("node")), "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the smallest id of each component only; columns stay."""
+    found = near_duplicates(docs, num, den, id_col, text_col)
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone["__id"], "left_anti")

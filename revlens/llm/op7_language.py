@@ -175,3 +175,18 @@ def predict(docs: DataFrame, masks: Masks, id_col: str = "doc_id", text_col: str
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def drop_unidentified(docs: DataFrame, masks: Masks, min_score: float = 0.1, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that have no letter or whose best language holds less than
+    ``min_score`` of their n-grams; with no language learned only the letters count."""
+    shared = docs.sparkSession.sparkContext.broadcast(masks)
+
+    def run(batches):
+        import pyarrow as pa
+        p = Predictor(shared.value)
+        for b in batches:
+            keep = [p(t)[1] >= min_score if p.masks.langs else LETTERS.search(t) is not None for t in texts(b.column(text_col))]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

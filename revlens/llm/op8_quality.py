@@ -232,3 +232,13 @@ def judge(docs: DataFrame, crf: Crf, min_content: float = 0.5, id_col: str = "do
             yield dict(zip(names, map(list, zip(*found))))
 
     return map_batches(rows, run, JUDGED)
+
+
+def drop_rejected(docs: DataFrame, crf: Crf, min_content: float = 0.5, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that the rules or the content share reject."""
+    def run(batches):
+        import pyarrow as pa
+        for b in batches:
+            yield b.filter(pa.array([judge_text(crf, t, min_content)[6] for t in texts(b.column(text_col))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
