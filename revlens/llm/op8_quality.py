@@ -6,7 +6,7 @@ weights carry a label on to the next line.  A document is kept when the share of
 word characters in content lines reaches ``min_content``; the base rules come first.
 
 Training uses the documents that ``labels.quality`` judges, a sample bounded by
-``max_train_lines`` lines in expectation (a share of documents by hash, from counts over
+``max_train_docs`` documents in expectation (a share by hash of the id, from a count over
 all labelled rows), whole documents only.  Line labels are not given, so they are made
 in two steps: a logistic model of the lines on their document's judgement, then, in bad
 documents, its boilerplate decisions as line labels for the CRF's maximum likelihood
@@ -152,14 +152,14 @@ class Crf:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train_lines: int = 40_000) -> Crf:
+def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 4000) -> Crf:
     """The CRF of the judged documents; see the module for the sample's bound."""
     judged = (labels.select(F.col("doc_id").cast("long").alias("i"), F.col("quality").alias("q"))
               .where(F.col("q").isin(0, 1) & F.col("i").isNotNull()).groupBy("i").agg(F.max("q").alias("q")))
+    n = judged.count()
+    chosen = judged.where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < 1_000_000 * min(1.0, max_train_docs / max(n, 1)))
     rows = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    rows = rows.join(judged, "i")
-    n = rows.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n")).first()["n"] or 0
-    sample = rows.where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < 1_000_000 * min(1.0, max_train_lines / max(n, 1)))
+    sample = rows.join(F.broadcast(chosen), "i")  # about max_train_docs rows of (id, judgement)
 
     def run(b):
         yield {"q": b.column("q").to_pylist(), "i": b.column("i").to_pylist(),
