@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Python's str.isspace() set, expressed for Java regex (Java's \s is ASCII only).
 PY_SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+#: Values of a block's first column that ``dense_index`` sums up together.
+COARSE = 4096
 # Python's \w for str patterns: letters, digits and underscore in Unicode.
 PY_WORD = r"[\p{L}\p{N}_]"
 
@@ -27,10 +29,6 @@ def ustrip(c) -> Column:
     return F.regexp_replace(col_(c), rf"^{PY_SPACE}+|{PY_SPACE}+$", "")
 
 
-def count_where(cond: Column) -> Column:
-    return F.count_if(cond)
-
-
 def first_n_per_group(df: DataFrame, keys: list, order: list, n: int, rank_col: str = "rank") -> DataFrame:
     """Exact first ``n`` rows of each group in ``order``.
 
@@ -47,17 +45,24 @@ def ranked(df: DataFrame, keys: list, order: list, rank_col: str = "rank") -> Da
 
 
 def dense_index(df: DataFrame, keys: list, order: list, block: list, out: str = "idx") -> DataFrame:
-    """0-based position of each row within its group, in ``order``.
+    """0-based position (long) of each row within its group, in ``order``.
 
     ``block`` is a prefix of ``order`` whose groups are bounded in size (e.g.
-    document id and a line block).  Counting per block and summing the counts
-    of earlier blocks keeps a hot group from being sorted row by row in one
-    task: only the per-block counts are ordered per group.
+    document id and a line block); its first column is an integer.  Rows are
+    counted per block, blocks summed per range of COARSE values of that column, so
+    of a hot group one task orders the ranges' sums, others a range's blocks,
+    others a block's rows.
     """
-    blocks = df.groupBy(*keys, *block).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    coarse = F.floor(F.col(block[0]) / COARSE)
+    blocks = df.groupBy(*keys, *block).agg(F.count(F.lit(1)).alias("_n")).withColumn("_range", coarse)
+    before = (Window.unboundedPreceding, -1)
+    ranges = blocks.groupBy(*keys, "_range").agg(F.sum("_n").alias("_rn"))
+    ranges = ranges.withColumn("_roff", F.coalesce(F.sum("_rn").over(
+        Window.partitionBy(*keys).orderBy("_range").rowsBetween(*before)), F.lit(0))).drop("_rn")
+    inside = Window.partitionBy(*keys, "_range").orderBy(*block).rowsBetween(*before)
+    offsets = (blocks.withColumn("_off", F.coalesce(F.sum("_n").over(inside), F.lit(0))).drop("_n")
+               .join(ranges, [*keys, "_range"]).withColumn("_off", F.col("_off") + F.col("_roff")).drop("_range", "_roff"))
     w2 = Window.partitionBy(*keys, *block).orderBy(*order)
     return (df.join(offsets, keys + block)
-              .withColumn(out, (F.col("_off") + F.row_number().over(w2) - 1).cast("int"))
+              .withColumn(out, (F.col("_off") + F.row_number().over(w2) - 1).cast("long"))
               .drop("_off"))

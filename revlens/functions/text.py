@@ -14,7 +14,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from revlens.functions.exprs import PY_SPACE, col_
+from revlens.functions.exprs import PY_SPACE, col_, ustrip
 
 
 # Characters Python's str.isdigit() accepts beyond \p{Nd} (superscripts, circled digits, ...),
@@ -101,10 +101,6 @@ def fold_punct(c) -> Column:
     return F.translate(col_(c), PUNCT_FROM, PUNCT_TO)
 
 
-def ustrip(c) -> Column:
-    return F.regexp_replace(col_(c), rf"^{PY_SPACE}+|{PY_SPACE}+$", "")
-
-
 def squeeze(c) -> Column:
     """Collapse runs of spaces (only U+0020), then strip all whitespace."""
     return ustrip(F.regexp_replace(col_(c), " +", " "))
@@ -152,9 +148,11 @@ def comparison_key(c) -> Column:
     return F.trim(t)
 
 
-def enforce_length(c, lo: int = 3, hi: int = 1000) -> Column:
-    """NULL if shorter than ``lo``; over ``hi`` chars cut at the last . ! ? past the middle."""
+def enforce_length(c, lo: int = 3, hi: int | None = None) -> Column:
+    """NULL if shorter than ``lo``; with ``hi``, longer texts are cut at the last . ! ? past the middle."""
     t = col_(c)
+    if hi is None:
+        return F.when(F.length(t) >= lo, t)
     cut = F.substring(t, 1, hi)
     upto = F.length(F.regexp_extract(cut, r"(?s)^(.*[.!?])", 1))  # = last boundary index + 1
     trimmed = F.when(upto > F.lit(hi * 0.5 + 1), F.substring(cut, 1, upto)).otherwise(cut)
@@ -163,9 +161,11 @@ def enforce_length(c, lo: int = 3, hi: int = 1000) -> Column:
             .otherwise(ustrip(trimmed)))
 
 
-def first_words(c, n: int = 15) -> Column:
-    """Keep the first ``n`` whitespace-separated words when there are more."""
+def first_words(c, n: int | None = None) -> Column:
+    """The stripped text; with ``n``, its first ``n`` whitespace-separated words where there are more."""
     t = ustrip(col_(c))
+    if n is None:
+        return t
     words = F.split(t, f"{PY_SPACE}+")
     return F.when(F.size(words) > n, F.array_join(F.slice(words, 1, n), " ")).otherwise(t)
 

@@ -18,7 +18,7 @@ from revlens.functions import text as X
 from revlens.functions.exprs import dense_index
 from revlens.operators.neardup import near_dedup
 from revlens.session import cut_lineage
-from revlens.types import BATCH_SIZE, MAX_REVIEW_LENGTH, MIN_REVIEW_LENGTH, MIN_REVIEWS, NEAR_DUP_THRESHOLD
+from revlens.types import BATCH_SIZE, MIN_REVIEW_LENGTH, MIN_REVIEWS, NEAR_DUP_THRESHOLD
 
 KEYS = ["session_id"]
 ORDER = ["row_ord", "line_no"]
@@ -65,7 +65,7 @@ def min_gate(lines: DataFrame, n: int = MIN_REVIEWS) -> DataFrame:
     c = lines.groupBy("session_id").agg(F.count(F.lit(1)).alias("input_count"))
     return c.withColumn("accepted", F.col("input_count") >= n).withColumn(
         "error", F.when(~F.col("accepted"), F.format_string(
-            f"Please enter at least {n} reviews. You entered %d.", F.col("input_count"))))
+            f"too_few_lines: %d of {n}", F.col("input_count"))))
 
 
 @dataclass
@@ -77,7 +77,7 @@ class Cleaned:
 
 
 def clean_reviews(lines: DataFrame, near_threshold: float = NEAR_DUP_THRESHOLD, min_reviews: int = MIN_REVIEWS,
-                  lo: int = MIN_REVIEW_LENGTH, hi: int = MAX_REVIEW_LENGTH) -> Cleaned:
+                  lo: int = MIN_REVIEW_LENGTH, hi: int | None = None) -> Cleaned:
     """The fixed stage order: gate, emoji, normalise, noise, exact, near (on full text), length, re-index, gate."""
     gate = min_gate(lines, min_reviews)
     ok = lines.join(gate.filter("accepted").select("session_id", "input_count"), "session_id")
@@ -121,8 +121,7 @@ def clean_reviews(lines: DataFrame, near_threshold: float = NEAR_DUP_THRESHOLD,
     final_ok = F.col("final_count") >= min_reviews
     report = rep.filter(final_ok)
     late = rep.filter(~final_ok).select("session_id", F.format_string(
-        "After removing duplicates and low-quality entries, only %d reviews remain. "
-        f"Minimum required is {min_reviews}. Please add more reviews.", F.col("final_count")).alias("error"))
+        f"too_few_after_cleaning: %d of {min_reviews}", F.col("final_count")).alias("error"))
     rejected = gate.filter(~F.col("accepted")).select("session_id", "error").unionByName(late)
     clean = trace.filter(F.col("review_id").isNotNull()).join(report.select("session_id"), "session_id", "left_semi") \
         .select("session_id", "review_id", F.col("cut").alias("text"), "row_ord", "line_no")
@@ -144,8 +143,8 @@ def validate_profiles(profiles: DataFrame, lo: int = 2, hi: int = 8) -> DataFram
             p = p.withColumn(c, F.coalesce(X.ustrip(F.col(c)), F.lit("")))
     n = F.size("categories")
     return p.withColumn("valid", (n >= lo) & (n <= hi)).withColumn(
-        "error", F.when(n < lo, F.lit(f"At least {lo} non-empty categories required"))
-        .when(n > hi, F.lit(f"At most {hi} categories allowed")))
+        "error", F.when(n < lo, F.lit(f"too_few_categories: minimum {lo}"))
+        .when(n > hi, F.lit(f"too_many_categories: maximum {hi}")))
 
 
 def overlapping_categories(profiles: DataFrame, denom: str = "max", threshold: float = 0.6,

@@ -19,11 +19,6 @@ from revlens.types import NO_SECONDARY
 SESSION_KEYS = ["session_id"]
 
 
-def normalise_secondary(df: DataFrame) -> DataFrame:
-    """NULL secondary category -> sentinel, as the results table stores it (trap T6)."""
-    return df.withColumn("secondary_category", F.coalesce(F.col("secondary_category"), F.lit(NO_SECONDARY)))
-
-
 def _counts(df: DataFrame, keys=None) -> DataFrame:
     """All per-session counters in one aggregation."""
     keys = keys or SESSION_KEYS
@@ -136,11 +131,11 @@ def confidence_breakdown(df: DataFrame, keys=None) -> DataFrame:
                     pct("low_confidence_count", "total_reviews").alias("low_pct"))
 
 
-def top_issues(df: DataFrame, n: int = 5, keys=None) -> DataFrame:
+def top_issues(df: DataFrame, n: int | None = 5, keys=None) -> DataFrame:
     """Negative reviews per category; order critical desc, count desc, category asc.
 
     ``example`` is the first non-null core issue; ``example_list`` the first
-    three core issues in review order (nulls kept, duplicates kept).
+    three core issues in review order (nulls kept, duplicates kept).  ``n`` None keeps all categories.
     """
     keys = keys or SESSION_KEYS
     neg = df.filter((F.col("sentiment") == "negative") & F.col("primary_category").isNotNull())
@@ -155,8 +150,8 @@ def top_issues(df: DataFrame, n: int = 5, keys=None) -> DataFrame:
               .groupBy(*gkeys)
               .agg(F.array_sort(F.collect_list(F.struct("review_id", "core_issue"))).alias("_ex")))
     out = agg.join(first3, gkeys).withColumn("example_list", F.transform("_ex", lambda x: x["core_issue"]))
-    out = first_n_per_group(out, keys, [F.col("critical_count").desc(), F.col("count").desc(),
-                                        F.col("category").asc()], n, "rank")
+    order = [F.col("critical_count").desc(), F.col("count").desc(), F.col("category").asc()]
+    out = ranked(out, keys, order, "rank") if n is None else first_n_per_group(out, keys, order, n, "rank")
     return out.select(*keys, "rank", "category", "count", "critical_count", "example", "example_list")
 
 
@@ -217,13 +212,6 @@ def dashboard(df: DataFrame, keys=None) -> DataFrame:
     return health_score(out)
 
 
-def session_context(df: DataFrame) -> DataFrame:
-    """Session attributes carried by the fact table (functionally dependent on session_id)."""
-    return df.groupBy("session_id").agg(F.first("user_id").alias("user_id"),
-                                         F.first("industry").alias("industry"),
-                                         F.first("created_at").alias("created_at"))
-
-
 def top_k_per_session(long_df: DataFrame, k: int, keys=None) -> DataFrame:
     """Keep the first ``k`` ranked rows of a long dashboard table."""
     keys = keys or SESSION_KEYS

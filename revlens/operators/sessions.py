@@ -7,13 +7,11 @@ an upsert is one full outer join.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.functions.exprs import first_n_per_group
-from revlens.types import HISTORY_KEEP, SESSION_TTL_HOURS
+from revlens.functions.exprs import first_n_per_group, ranked
+from revlens.types import SESSION_TTL_HOURS
 
 
 def history_from_dashboards(dash: DataFrame) -> DataFrame:
@@ -26,8 +24,8 @@ def history_from_dashboards(dash: DataFrame) -> DataFrame:
     )
 
 
-def latest_history(history: DataFrame, n: int | None = HISTORY_KEEP) -> DataFrame:
-    """Newest ``n`` entries per user; ``pos`` 1 = newest."""
+def latest_history(history: DataFrame, n: int | None = None) -> DataFrame:
+    """Entries per user, newest first (``pos`` 1); the newest ``n`` where a caller asks for that."""
     order = [F.col("created_at").desc(), F.col("session_id").desc()]
     if n is None:
         w = Window.partitionBy("user_id").orderBy(*order)
@@ -78,16 +76,17 @@ def user_totals(history: DataFrame) -> DataFrame:
                                           F.sum("total_reviews").alias("total_reviews"))
 
 
-def report_rows(results: DataFrame, n: int = 200, cut: int = 80) -> DataFrame:
-    """First ``n`` rows of each session's results, total row count and a shortened example."""
+def report_rows(results: DataFrame, n: int | None = None, cut: int | None = None) -> DataFrame:
+    """Numbered rows of each session's results, total row count and an example.
+
+    ``n`` keeps the first rows of a session only, ``cut`` shortens the example.
+    """
     totals = results.groupBy("session_id").agg(F.count(F.lit(1)).alias("total_rows"))
-    first = first_n_per_group(results, ["session_id"], [F.col("review_id").asc()], n, "row_no")
-    short = F.when(F.length("core_issue") > cut, F.concat(F.substring("core_issue", 1, cut), F.lit("…"))) \
-        .otherwise(F.col("core_issue"))
+    order = [F.col("review_id").asc()]
+    first = (ranked(results, ["session_id"], order, "row_no") if n is None
+             else first_n_per_group(results, ["session_id"], order, n, "row_no"))
+    short = F.col("core_issue") if cut is None else F.when(
+        F.length("core_issue") > cut, F.concat(F.substring("core_issue", 1, cut), F.lit("…"))).otherwise(F.col("core_issue"))
     return first.join(totals, "session_id").select(
         "session_id", "row_no", "review_id", "sentiment", "primary_category", "urgency",
         short.alias("example"), "total_rows")
-
-
-def default_now() -> dt.datetime:
-    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)

@@ -1,7 +1,7 @@
 """Trends across each user's sessions (E1-E5), for every user in one job.
 
-The series keeps at most the newest 50 history entries per user, so every
-per-user window and collected list here is bounded by that constant.
+The series holds every history entry of a user, or the newest ``keep`` where a
+caller asks for that; a user's points stay rows of the series.
 """
 
 from __future__ import annotations
@@ -10,11 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.operators.sessions import latest_history
-from revlens.types import HISTORY_KEEP
 
 
 def session_series(history: DataFrame, dashboards: DataFrame, live: DataFrame | None = None,
-                   keep: int | None = HISTORY_KEEP) -> DataFrame:
+                   keep: int | None = None) -> DataFrame:
     """History entries joined to finished (live) dashboards, ascending in time.
 
     ``overall_score`` comes from the history entry, percentages from the dashboard.
@@ -32,18 +31,16 @@ def session_series(history: DataFrame, dashboards: DataFrame, live: DataFrame |
 
 
 def sentiment_trajectory(series: DataFrame) -> DataFrame:
-    """first/last score, change rounded to 2 places, trend (strict +-5)."""
+    """first/last score, change rounded to 2 places, trend (strict +-5); the points are the series' rows."""
     agg = series.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("session_count"),
         F.min_by("overall_score", "seq").alias("first_score"),
         F.max_by("overall_score", "seq").alias("last_score"),
-        F.array_sort(F.collect_list(F.struct("seq", "session_id", "label", "created_at", "overall_score",
-                                             "positive_pct", "negative_pct"))).alias("points"),
     )
     change = F.bround(F.col("last_score") - F.col("first_score"), 2)
     enough = F.col("session_count") >= 2
     return agg.select(
-        "user_id", "session_count", "first_score", "last_score", "points",
+        "user_id", "session_count", "first_score", "last_score",
         F.when(enough, change).otherwise(F.lit(0.0)).alias("change"),
         F.when(~enough, "insufficient_data").when(change > 5, "improving")
          .when(change < -5, "declining").otherwise("stable").alias("trend"),
@@ -79,7 +76,10 @@ def category_drift(series: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def emerging_issues(series: DataFrame, issues: DataFrame) -> DataFrame:
-    """Previous vs latest session top issues on critical count (missing = 0)."""
+    """Previous vs latest session issues on critical count (missing = 0).
+
+    ``issues`` is the uncut D7 table: a cut list would report what slipped off it as resolved.
+    """
     iss = issues.select("session_id", "category", "critical_count")
     prev = _ends(series, "previous").join(iss, "session_id") \
         .select("user_id", "category", F.col("critical_count").alias("previous_critical"))
@@ -96,7 +96,7 @@ def emerging_issues(series: DataFrame, issues: DataFrame) -> DataFrame:
 
 def trends(series: DataFrame, drift: DataFrame, emerging: DataFrame) -> DataFrame:
     """E5: one row per user with availability, trajectory and counts of each drift/issue status."""
-    traj = sentiment_trajectory(series).drop("points")
+    traj = sentiment_trajectory(series)
     d = drift.groupBy("user_id").agg(*[F.count_if(F.col("status") == s).alias(f"n_{s}")
                                        for s in ["growing", "shrinking", "stable", "new", "dropped"]])
     e = emerging.groupBy("user_id").agg(*[F.count_if(F.col("status") == s).alias(f"n_{s}")

@@ -52,14 +52,13 @@ DERIVED_CTES = [COUNTS_CTE, TOP_ISSUES_CTE, DASH_CTE, """sess AS (
   SELECT user_id, session_id, CAST(created_at AS TIMESTAMP) AS created_at, total_reviews,
          round_even(overall_score, 1) AS overall_score,
          'Analysis — ' || strftime(CAST(created_at AS TIMESTAMP), '%d %b %Y') AS label
-  FROM dashboards)""", """hist50 AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, session_id DESC) AS pos
-                 FROM history) WHERE pos <= 50)""", """series AS (
+  FROM dashboards)""", """newest AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, session_id DESC) AS pos FROM history)""", """series AS (
   SELECT h.user_id, h.session_id, h.created_at, h.total_reviews, h.overall_score, h.label,
          d.positive_pct, d.negative_pct, d.neutral_pct, d.critical_count, d.critical_pct, d.top_category,
          row_number() OVER (PARTITION BY h.user_id ORDER BY h.created_at, h.session_id) AS seq,
          count(*) OVER (PARTITION BY h.user_id) AS n_sessions
-  FROM hist50 h JOIN dashboards d ON h.session_id = d.session_id)"""]
+  FROM history h JOIN dashboards d ON h.session_id = d.session_id)"""]
 
 CAT_CTE = """cats AS (
   SELECT v.session_id, category, {pct} AS pct FROM (

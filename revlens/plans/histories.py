@@ -35,10 +35,17 @@ def a10(spark, sf_dir):
     return S.live_sessions(sessions_table(dash), NOW, 48)
 
 
-@register("a11_latest_history", SQL + "SELECT * FROM hist50")
+@register("a11_latest_history", SQL + "SELECT * FROM newest")
 def a11(spark, sf_dir):
     _, _, hist = all_derived(spark, sf_dir)
-    return S.latest_history(hist, 50)
+    return S.latest_history(hist)
+
+
+@register("a11_newest_three", SQL + "SELECT * FROM newest WHERE pos <= 3")
+def a11_three(spark, sf_dir):
+    """The capped variant, at a cap that the data reach."""
+    _, _, hist = all_derived(spark, sf_dir)
+    return S.latest_history(hist, 3)
 
 
 @register("a12_upsert_sessions", with_feedback(*DERIVED_CTES, SESSIONS_SQL) + f"""
@@ -71,14 +78,26 @@ def a13(spark, sf_dir):
 @register("a14_report_rows", with_feedback() + """
 SELECT f.session_id, row_number() OVER (PARTITION BY f.session_id ORDER BY review_id) AS row_no, review_id,
        sentiment, primary_category, urgency,
-       CASE WHEN length(core_issue) > 80 THEN substring(core_issue, 1, 80) || '…' ELSE core_issue END AS example,
+       core_issue AS example, t.total_rows
+FROM feedback f JOIN (SELECT session_id, count(*) AS total_rows FROM feedback GROUP BY 1) t
+  ON f.session_id = t.session_id""")
+def a14(spark, sf_dir):
+    fb, _, _ = all_derived(spark, sf_dir)
+    return S.report_rows(fb)
+
+
+@register("a14_report_extract", with_feedback() + """
+SELECT f.session_id, row_number() OVER (PARTITION BY f.session_id ORDER BY review_id) AS row_no, review_id,
+       sentiment, primary_category, urgency,
+       CASE WHEN length(core_issue) > 12 THEN substring(core_issue, 1, 12) || '…' ELSE core_issue END AS example,
        t.total_rows
 FROM feedback f JOIN (SELECT session_id, count(*) AS total_rows FROM feedback GROUP BY 1) t
   ON f.session_id = t.session_id
-QUALIFY row_no <= 200""")
-def a14(spark, sf_dir):
+QUALIFY row_no <= 5""")
+def a14_extract(spark, sf_dir):
+    """The cut variant, at limits that the data reach."""
     fb, _, _ = all_derived(spark, sf_dir)
-    return S.report_rows(fb, 200, 80)
+    return S.report_rows(fb, 5, 12)
 
 
 # --- E: trends ---------------------------------------------------------------
@@ -106,7 +125,7 @@ SELECT *, session_count AS n_points FROM traj2""")
 def e02(spark, sf_dir):
     _, dash, hist = all_derived(spark, sf_dir)
     t = E.sentiment_trajectory(E.session_series(hist, dash))
-    return t.withColumn("n_points", F.size("points").cast("bigint")).drop("points")
+    return t.withColumn("n_points", F.col("session_count"))
 
 
 DRIFT_SQL = """firsts AS (SELECT user_id, session_id FROM series WHERE n_sessions >= 2 AND seq = 1),
@@ -123,9 +142,9 @@ drift AS (
               WHEN round_even(latest_pct - first_pct, 2) < -5 THEN 'shrinking' ELSE 'stable' END AS status
   FROM fc FULL OUTER JOIN lc ON fc.user_id = lc.user_id AND fc.category = lc.category),
 pi AS (SELECT p.user_id, i.category, i.critical_count AS previous_critical
-       FROM prevs p JOIN issues i ON p.session_id = i.session_id WHERE i.rank <= 5),
+       FROM prevs p JOIN issues i ON p.session_id = i.session_id),
 li AS (SELECT p.user_id, i.category, i.critical_count AS current_critical
-       FROM lasts p JOIN issues i ON p.session_id = i.session_id WHERE i.rank <= 5),
+       FROM lasts p JOIN issues i ON p.session_id = i.session_id),
 emerging AS (
   SELECT user_id, category, previous_critical, current_critical, current_critical - previous_critical AS change,
          CASE WHEN current_critical - previous_critical > 0 THEN 'emerging'
@@ -146,7 +165,7 @@ def e03(spark, sf_dir):
 def e04(spark, sf_dir):
     fb, dash, hist = all_derived(spark, sf_dir)
     series = E.session_series(hist, dash)
-    return E.emerging_issues(series, D.top_issues(fb))
+    return E.emerging_issues(series, D.top_issues(fb, None))
 
 
 @register("e05_trends", SQL_CATS + ", " + DRIFT_SQL + ", " + TRAJ_SQL + """
@@ -164,7 +183,7 @@ def e05(spark, sf_dir):
     fb, dash, hist = all_derived(spark, sf_dir)
     series = E.session_series(hist, dash)
     drift = E.category_drift(series, D.category_breakdown(fb))
-    emerging = E.emerging_issues(series, D.top_issues(fb))
+    emerging = E.emerging_issues(series, D.top_issues(fb, None))
     return E.trends(series, drift, emerging)
 
 

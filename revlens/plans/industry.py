@@ -11,7 +11,7 @@ from revlens.plans.sqlbits import with_feedback
 
 SQL = with_feedback(*DERIVED_CTES)
 
-ROLLUP_SQL = """analyses AS (
+_ROLLUP = """analyses AS (
   SELECT session_id, user_id, industry, CAST(created_at AS TIMESTAMP) AS created_at, overall_score, positive_pct,
          negative_pct, critical_pct, total_reviews, top_category FROM dashboards),
 per_company AS (
@@ -22,9 +22,6 @@ per_company AS (
          arg_max(critical_pct, (created_at, session_id)) AS critical_pct,
          arg_max(total_reviews, (created_at, session_id)) AS total_reviews
   FROM analyses GROUP BY 1, 2),
-capped AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY industry ORDER BY first_arrival) AS k FROM per_company)
-  WHERE k <= 500),
 votes AS (
   SELECT industry, top_category, count(*) AS votes, min((created_at, session_id)) AS first_vote
   FROM analyses WHERE top_category IS NOT NULL AND top_category <> '' GROUP BY 1, 2),
@@ -42,7 +39,7 @@ bench AS (
            count_if(overall_score > 25 AND overall_score <= 50) AS bucket_26_50,
            count_if(overall_score > 50 AND overall_score <= 75) AS bucket_51_75,
            count_if(overall_score > 75) AS bucket_76_100
-    FROM capped GROUP BY industry) b LEFT JOIN common c ON b.industry = c.industry),
+    FROM {companies} GROUP BY industry) b LEFT JOIN common c ON b.industry = c.industry),
 cmp AS (
   SELECT d.session_id, d.user_id, d.industry, b.company_count,
          round_even(d.overall_score, 2) AS your_score, b.avg_overall_score AS industry_avg_score,
@@ -61,6 +58,10 @@ cmp AS (
          b.common_top_category
   FROM dashboards d JOIN bench b ON d.industry = b.industry WHERE b.company_count >= 5)"""
 
+ROLLUP_SQL = _ROLLUP.replace("{companies}", "per_company")
+CAPPED_SQL = _ROLLUP.replace("{companies}", """(
+    SELECT *, row_number() OVER (PARTITION BY industry ORDER BY first_arrival) AS k FROM per_company QUALIFY k <= 100)""")
+
 ROLLUP_COLS = ("industry, company_count, avg_overall_score, avg_positive_pct, avg_negative_pct, avg_critical_pct, "
                "avg_total_reviews, bucket_0_25, bucket_26_50, bucket_51_75, bucket_76_100, common_top_category")
 
@@ -90,6 +91,13 @@ def f03(spark, sf_dir):
     return _bench(spark, sf_dir)[1]
 
 
+@register("f05_capped_rollup", SQL + ", " + CAPPED_SQL + f" SELECT {ROLLUP_COLS} FROM bench")
+def f05(spark, sf_dir):
+    """The capped variant, at a cap that the data reach."""
+    _, dash, _ = all_derived(spark, sf_dir)
+    return B.benchmark_rollup(B.analyses_from_dashboards(dash), 100)
+
+
 @register("f04_common_top_category", SQL + ", " + ROLLUP_SQL + " SELECT * FROM common")
 def f04(spark, sf_dir):
     _, dash, _ = all_derived(spark, sf_dir)
@@ -116,23 +124,13 @@ def f08(spark, sf_dir):
                  WHEN abs(crit_vs_avg) = greatest(abs(score_vs_avg), abs(neg_vs_avg), abs(crit_vs_avg), abs(pos_vs_avg)) THEN 'critical'
                  ELSE 'positive' END AS dominant FROM cmp)
 SELECT session_id, dominant,
-  CASE WHEN dominant = 'score' THEN 'Your sentiment score is ' || printf('%.1f', round_even(abs(score_vs_avg), 1)) || ' points '
-            || CASE WHEN score_vs_avg >= 0 THEN 'above' ELSE 'below' END || ' the ' || industry || ' industry average.'
-       WHEN dominant = 'critical' AND crit_vs_avg > 0 THEN 'Your critical issue rate is higher than '
-            || CAST(least(99, CAST(round_even((1.0 - score_percentile / 100.0) * 100.0, 0) AS INTEGER)) AS VARCHAR)
-            || '% of ' || industry || ' companies — prioritise urgent fixes.'
-       WHEN dominant = 'critical' THEN 'Your critical issue rate is ' || printf('%.1f', round_even(abs(crit_vs_avg), 1))
-            || '% lower than the ' || industry || ' average — strong operational performance.'
-       WHEN dominant = 'negative' AND neg_vs_avg > 0 THEN 'Your negative review rate is '
-            || printf('%.1f', round_even(abs(neg_vs_avg), 1)) || '% above the ' || industry
-            || ' average — investigate recurring pain points.'
-       WHEN dominant = 'negative' THEN 'Your negative review rate is ' || printf('%.1f', round_even(abs(neg_vs_avg), 1))
-            || '% below the ' || industry || ' average — customers are responding well.'
-       WHEN pos_vs_avg >= 0 THEN 'Your positive review rate is ' || printf('%.1f', round_even(abs(pos_vs_avg), 1))
-            || '% above the ' || industry || ' average — a strong customer satisfaction signal.'
-       ELSE 'Your positive review rate is ' || printf('%.1f', round_even(abs(pos_vs_avg), 1)) || '% below the '
-            || industry || ' average — focus on improving customer experience.' END AS insight
-FROM dom""".replace("\n, dom AS", ", dom AS", 1))
+       industry || ' peers: ' || dominant || ' ' || CASE WHEN delta > 0 THEN 'over' WHEN delta < 0 THEN 'under' ELSE 'level with' END
+       || ' the mean by ' || printf('%.1f', round_even(abs(delta), 1))
+       || CASE WHEN dominant = 'critical' AND delta > 0 THEN ' (worse than '
+               || CAST(least(99, CAST(round_even((1.0 - score_percentile / 100.0) * 100.0, 0) AS INTEGER)) AS VARCHAR)
+               || ' in 100 peers)' ELSE '' END AS insight
+FROM (SELECT *, CASE dominant WHEN 'score' THEN score_vs_avg WHEN 'negative' THEN neg_vs_avg WHEN 'critical' THEN crit_vs_avg
+                              ELSE pos_vs_avg END AS delta FROM dom) """.replace("\n, dom AS", ", dom AS", 1))
 def f09(spark, sf_dir):
     dash, bench = _bench(spark, sf_dir)
     return B.benchmark_insight(B.benchmark_compare(dash, bench)).select("session_id", "dominant", "insight")

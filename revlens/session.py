@@ -1,24 +1,25 @@
 """Session construction and lineage cutting.
 
 Iterative operators (near-duplicate resolution, theme clustering) cut their
-lineage every round with ``DataFrame.checkpoint()``, which writes to the
-shared folder named by ``spark.checkpoint.dir``.  On a cluster that setting
-comes from the cluster configuration; only when it is unset (local tests) do
-we point it at a fresh scratch folder.
+lineage every round: the state is written as a Parquet table into the shared
+folder named by ``spark.checkpoint.dir`` and read back, so the next round's plan
+starts from a scan with its true size and survives lost executors.  On a cluster
+the setting must name a shared folder; only local sessions get a scratch one.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_spark(app: str = "revlens", cpus: int | str = "*", shuffle_partitions: int = 8,
+def get_spark(app: str = "revlens", cpus: int | str | None = "*", shuffle_partitions: int = 8,
               extra: dict | None = None) -> SparkSession:
+    """A session with this library's defaults; ``cpus=None`` leaves the master to the submitting cluster."""
     builder = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        (SparkSession.builder.master(f"local[{cpus}]") if cpus else SparkSession.builder)
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -34,26 +35,22 @@ def get_spark(app: str = "revlens", cpus: int | str = "*", shuffle_partitions: i
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a scratch one only if unset."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if current:
-        return current
-    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not conf:
-        # Local runs and tests only: a cluster names a shared folder itself.
-        conf = tempfile.mkdtemp(prefix="revlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", conf)
-    sc.setCheckpointDir(conf)
-    return sc.getCheckpointDir() or conf
+    """The shared folder of ``spark.checkpoint.dir``; a scratch one only for local sessions without it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="revlens-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to a fresh table in the shared folder and read it back."""
+    path = f"{checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

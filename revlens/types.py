@@ -19,7 +19,6 @@ SENTIMENT_DROP_POINTS = 10.0
 BATCH_SIZE = 15
 MIN_REVIEWS = 5
 MIN_REVIEW_LENGTH = 3
-MAX_REVIEW_LENGTH = 1000
 NEAR_DUP_THRESHOLD = 0.90
 RELEVANCE_FLOOR = 0.45
 CLUSTER_DISTANCE_THRESHOLD = 0.45
@@ -27,9 +26,7 @@ MIN_REVIEWS_FOR_THEMES = 15
 MIN_CATEGORY_SIZE_FOR_THEMES = 4
 MIN_THEME_SIZE = 2
 MIN_BENCHMARK_COMPANIES = 5
-MAX_BENCHMARK_COMPANIES = 500
 SESSION_TTL_HOURS = 48
-HISTORY_KEEP = 50
 SCORE_BUCKETS = ["0-25", "26-50", "51-75", "76-100"]
 ASPECT_ICONS = {"positive": "🟢", "negative": "🔴", "neutral": "🟡"}
 ASPECT_ICON_UNKNOWN = "⚪"

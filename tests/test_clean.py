@@ -14,37 +14,45 @@ def run(spark, text, sid="s"):
     return C.clean_reviews(C.lines_from_text(df))
 
 
+def lines(*rows):
+    return "\n".join(rows)
+
+
+CALM = ["The kettle boils in two minutes flat.", "Courier left the box with a neighbour.", "Hinges squeak when it rains outside.",
+        "Refund landed on Tuesday morning.", "Manual is missing its last chapter."]
+
+
 def test_minimum_gate(spark):
-    r = run(spark, "Good.\nBad.\nOkay.\nFine.")
+    r = run(spark, lines(*CALM[:4]))
     assert r.report.count() == 0
-    assert r.rejected.collect()[0].error == "Please enter at least 5 reviews. You entered 4."
-    ok = run(spark, "Good product.\nBad delivery.\nOkay support.\nFine pricing.\nDecent overall.")
-    assert ok.report.collect()[0].final_count == 5
+    assert r.rejected.collect()[0].error == "too_few_lines: 4 of 5"
+    assert run(spark, lines(*CALM)).report.collect()[0].final_count == 5
+
+
+def test_gate_after_cleaning(spark):
+    """Enough lines arrive, too few remain."""
+    r = run(spark, lines(*CALM[:4], "!!!!", "99999999"))
+    assert r.report.count() == 0 and r.clean.count() == 0
+    assert r.rejected.collect()[0].error == "too_few_after_cleaning: 4 of 5"
 
 
 def test_exact_and_noise_and_length(spark):
-    r = run(spark, "Great product overall.\nGreat product overall.\nTerrible delivery experience.\n"
-                   "Support was very helpful today.\nPricing seems fair to me.\nQuality has improved a lot recently.")
-    rep = r.report.collect()[0]
+    rep = run(spark, lines(CALM[0], *CALM)).report.collect()[0]
     assert rep.exact_duplicates_removed == 1 and rep.final_count == 5
-    r = run(spark, "aaaaaaaaaaaa\n123456789\n!!!!!!!!!!\nGreat product, very happy with quality.\n"
-                   "Terrible delivery, took way too long.\nSupport resolved my issue quickly and politely.\n"
-                   "Pricing feels fair compared to competitors.\nPackaging was sturdy and well designed overall.")
-    rep = r.report.collect()[0]
+    rep = run(spark, lines("zzzzzzzzzz", "20202020", "?!?!?!", *CALM)).report.collect()[0]
     assert rep.noise_removed == 3 and rep.final_count == 5
-    long_review = "This is a sentence. " * 80
-    r = run(spark, long_review + "\nGreat product quality overall here.\nTerrible delivery speed this time.\n"
-                   "Support team was very helpful indeed.\nPricing is fair for what you get.")
+    long_line = "Every part was labelled twice. " * 60
+    df = spark.createDataFrame([("s", 0, lines(long_line, *CALM[:4]))], "session_id string, row_ord long, text string")
+    r = C.clean_reviews(C.lines_from_text(df))
+    assert len(r.clean.orderBy("review_id").first().text) == len(long_line.strip())
+    r = C.clean_reviews(C.lines_from_text(df), hi=1000)
     first = r.clean.orderBy("review_id").first()
     assert len(first.text) <= 1000 and first.text.endswith(".")
     assert [x.review_id for x in r.clean.orderBy("review_id").collect()] == [0, 1, 2, 3, 4]
 
 
-def test_near_duplicates_reference_case(spark):
-    r = run(spark, "Great service!\nGreat service!!\nGreat service.\nTerrible delivery, took weeks to arrive.\n"
-                   "Support team was helpful and quick.\nPricing is reasonable for the quality offered.\n"
-                   "Product quality exceeded my expectations completely.")
-    rep = r.report.collect()[0]
+def test_near_duplicates_in_a_session(spark):
+    rep = run(spark, lines("Lid fits well!", "Lid fits well!!", "Lid fits well.", *CALM[:4])).report.collect()[0]
     assert rep.exact_duplicates_removed == 0 and rep.near_duplicates_removed == 2 and rep.final_count == 5
 
 
@@ -76,7 +84,8 @@ def test_comparison_key_and_length(spark):
     df = spark.createDataFrame([("  Héllo,  WORLD!! \t ok ",)], ["t"])
     assert df.select(X.comparison_key("t")).first()[0] == "héllo world ok"
     df = spark.createDataFrame([("ab",), ("x" * 1200,), ("a. " * 200 + "b" * 700,)], ["t"])
-    out = [r[0] for r in df.select(X.enforce_length("t")).collect()]
+    assert [r[0] and len(r[0]) for r in df.select(X.enforce_length("t")).collect()] == [None, 1200, 1300]
+    out = [r[0] for r in df.select(X.enforce_length("t", hi=1000)).collect()]
     assert out[0] is None and len(out[1]) == 1000 and out[2].endswith(".")
 
 
@@ -102,6 +111,44 @@ def test_block_edges_equal_brute_force():
     assert edges == ref
 
 
+def test_block_edges_long_keys():
+    """Keys of 200 characters and more, where difflib leaves popular characters out, and many different trigrams."""
+    rnd = random.Random(5)
+    keys = []
+    for _ in range(12):
+        base = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rnd.randint(150, 420)))
+        for _ in range(4):
+            k = list(base)
+            for _ in range(rnd.randint(0, 30)):
+                k[rnd.randrange(len(k))] = rnd.choice("abcdefghijklmnopqrstuvwxyz ")
+            keys.append("".join(k))
+    keys = list(dict.fromkeys(keys))
+    n = len(keys)
+    edges = set(block_pair_edges(keys, list(range(n)), keys, list(range(n)), True, 0.9))
+    assert edges == {(i, j) for i in range(n) for j in range(i + 1, n) if SequenceMatcher(None, keys[i], keys[j]).ratio() >= 0.9}
+
+
+def test_tiles_find_every_edge(spark):
+    """Small blocks, many length classes: the same edges as all pairs."""
+    from revlens.operators.neardup import similar_edges
+    rnd = random.Random(13)
+    keys = list(dict.fromkeys("".join(rnd.choice("ab ") for _ in range(rnd.randint(0, 30))) for _ in range(120)))
+    df = spark.createDataFrame([("g", i, k) for i, k in enumerate(keys)], "session_id string, idx long, key string")
+    got = {(r.a_idx, r.b_idx) for r in similar_edges(df, 0.9, ["session_id"], block=10).collect()}
+    n = len(keys)
+    assert got == {(i, j) for i in range(n) for j in range(i + 1, n) if SequenceMatcher(None, keys[i], keys[j]).ratio() >= 0.9}
+
+
+def test_greedy_resolution_of_a_long_chain(spark):
+    """Item i is similar to i + 1 only: more than twelve rounds, every second item stays."""
+    from revlens.operators.neardup import first_independent_set
+    n = 28
+    v = spark.createDataFrame([("g", i) for i in range(n)], "session_id string, idx long")
+    e = spark.createDataFrame([("g", i, i + 1) for i in range(n - 1)], "session_id string, a_idx long, b_idx long")
+    got = {r.idx: r.kept for r in first_independent_set(v, e, ["session_id"]).collect()}
+    assert got == {i: i % 2 == 0 for i in range(n)}
+
+
 def test_near_dedup_matches_sequential_scan(spark):
     from revlens.operators.neardup import near_dedup
     rnd = random.Random(3)
@@ -113,7 +160,7 @@ def test_near_dedup_matches_sequential_scan(spark):
         for _ in range(rnd.randint(0, 4)):
             s[rnd.randrange(len(s))] = rnd.choice("abcdefgh ")
         keys.append("".join(s))
-    df = spark.createDataFrame([("g", i, k) for i, k in enumerate(keys)], "session_id string, idx int, key string")
+    df = spark.createDataFrame([("g", i, k) for i, k in enumerate(keys)], "session_id string, idx long, key string")
     got = {r.idx: r.near_dup for r in near_dedup(df, ["session_id"], 0.9).collect()}
     assert [got[i] for i in range(60)] == near_dedup_reference(keys, 0.9)
 
