@@ -11,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: Spark removes a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of ``sf_dir``, by whatever path Spark's readers understand."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -31,11 +35,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage with fresh size estimates, survives lost executors, and fixes
-    whatever the planner or a retry could otherwise compute differently.
+    whatever the planner or a retry could otherwise compute differently.  The
+    shuffle files of the write go when it is done: nothing reads them again.
     """
-    path = f"{shared_dir(df.sparkSession)}/llm-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def pa_type(name: str) -> pa.DataType:
