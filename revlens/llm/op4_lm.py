@@ -138,6 +138,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _sorted_columns(*columns: np.ndarray) -> list[np.ndarray]:
+    """Rows of non-negative columns in ascending order; in one sort where their bits fit one number."""
+    widths = [int(c.max(initial=0)).bit_length() for c in columns]
+    if sum(widths) > 63:
+        order = np.lexsort(columns[::-1])
+        return [c[order] for c in columns]
+    key = np.zeros(len(columns[0]), np.int64)
+    for c, width in zip(columns, widths):
+        key = key << width | c
+    key.sort()
+    out = []
+    for width in reversed(widths):
+        out.append(key & ((1 << width) - 1))
+        key >>= width
+    return out[::-1]
+
+
 def number_words(found: DataFrame, shards: int) -> DataFrame:
     """(block, ids, counts) per block and word shard, and per shard its N and V (block null).
 
@@ -177,7 +194,7 @@ def number_words(found: DataFrame, shards: int) -> DataFrame:
 
 
 def scores(docs: DataFrame, train: str = "train", b: float = 0.7, m: float = 1.0, block_tokens: int = 2_000_000,
-           shard_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+           shard_tokens: int = 1_500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     ``train`` names the boolean column of the rows to learn from.
@@ -220,8 +237,7 @@ def scores(docs: DataFrame, train: str = "train", b: float = 0.7, m: float = 1.0
             fan = 1 + counts[by_rank] // hot
             shard = (_mix(ids[by_rank][v].astype(np.uint64) * np.uint64(2654435761) + ids[by_rank][w].astype(np.uint64) % fan[v].astype(np.uint64))
                      % np.uint64(shards)).astype(np.int64)
-            order = np.lexsort((doc, w, v, shard))
-            v, w, doc, shard = v[order], w[order], doc[order], shard[order]
+            shard, v, w, doc = _sorted_columns(shard, v, w, doc)
             cuts = np.searchsorted(shard, np.arange(shards + 1))
             home = int(_mix(np.array([block], np.uint64))[0] % np.uint64(shards))
             for s in range(shards):
@@ -233,7 +249,7 @@ def scores(docs: DataFrame, train: str = "train", b: float = 0.7, m: float = 1.0
                 new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
                 at = np.flatnonzero(new)
                 used = np.unique(np.concatenate((a[at], c[at])))
-                message = dump(np.diff(ids[by_rank][used], prepend=0), counts[by_rank][used], np.diff(np.searchsorted(used, a[at]), prepend=0),
+                message = dump(np.diff(ids[by_rank][used], prepend=0), counts[by_rank][used], np.diff(np.searchsorted(used, a[at]), prepend=0).astype(np.int32),
                                np.searchsorted(used, c[at]).astype(np.int32), np.diff(at, append=hi - lo).astype(np.int32), d.astype(np.int32), train_)
                 held = s == home
                 yield pa.RecordBatch.from_pydict({"shard": [s], "block": [block], "message": [message], "base": [dump(sizes, known, base) if held else None],
@@ -246,20 +262,21 @@ def scores(docs: DataFrame, train: str = "train", b: float = 0.7, m: float = 1.0
             got = []
             for block, message, *_ in rows_:
                 ids, counts, a, c, times, d, train_ = load(message)
-                got.append((np.cumsum(ids), counts, np.cumsum(a), c, times, d, train_))
+                got.append((np.cumsum(ids), counts, np.cumsum(a, dtype=np.int32), c, times, d, train_))
             words = np.unique(np.concatenate([g[0] for g in got]))
             counts = np.zeros(len(words), np.int64)
             pairs, weights = [], []
             for ids, n, a, c, times, d, train_ in got:
                 local = np.searchsorted(words, ids)
                 counts[local] = n
-                pairs.append(local[a] * len(words) + local[c])
+                pairs.append(local[a] * len(words) + local[c])  # ascending in each message
                 ends = np.cumsum(train_[d], dtype=np.int64)
                 stop = np.cumsum(times)
                 upto = np.concatenate(([0], ends))
                 weights.append(upto[stop] - upto[stop - times])
             every, back = np.unique(np.concatenate(pairs), return_inverse=True)
             seen = np.bincount(back, weights=np.concatenate(weights), minlength=len(every))
+            del pairs, weights
             v, w = every // max(len(words), 1), every % max(len(words), 1)
             p1 = (counts + 0.5) / below
             on = np.flatnonzero(seen > 0)
