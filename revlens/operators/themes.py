@@ -7,13 +7,13 @@ cluster is just (sum vector, size).  Average linkage is reducible, so merging
 every reciprocal-nearest-neighbour pair below the threshold in a round gives
 the same clusters as merging one pair at a time.  Each round:
 
-* clusters of a group are cut into bounded blocks; block pairs of the same
-  group meet through an equi-join on the group key; one matrix product per
-  block pair yields each cluster's best partner in that block (no
-  cluster-pair rows are emitted);
+* clusters of a group are dealt to bounded blocks and every two blocks meet
+  in a tile of their own (the shuffle key), so one large group spreads over
+  many tasks; one matrix product per tile yields each cluster's best partner
+  in it (no cluster-pair rows are emitted);
 * a min per cluster gives its nearest neighbour; mutual pairs below the
   threshold merge (id = smaller id, sums added);
-* state is checkpointed to the shared checkpoint folder.
+* state is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.functions.exprs import dense_index, first_n_per_group, ranked
+from revlens.functions.exprs import ranked
+from revlens.functions.tiles import self_tiles, tile_groups
 from revlens.session import cut_lineage
 from revlens.types import (CLUSTER_DISTANCE_THRESHOLD, MIN_CATEGORY_SIZE_FOR_THEMES, MIN_REVIEWS_FOR_THEMES,
                            MIN_THEME_SIZE)
@@ -36,77 +37,64 @@ def _unit(c):
     return F.when(norm > 0, F.transform(c, lambda x: x.cast("double") / norm))
 
 
-def _best_partner_fn(it):
-    """For each block pair, every cluster's nearest other cluster (distance, id) within the pair."""
-    for pdf in it:
-        outs = []
-        for a, b, same in zip(pdf["a"], pdf["b"], pdf["same"]):
-            aid = np.array([x["cid"] for x in a], dtype=np.int64)
-            am = np.stack([np.asarray(x["s"], dtype=np.float64) / x["n"] for x in a])
-            bid = np.array([x["cid"] for x in b], dtype=np.int64)
-            bm = np.stack([np.asarray(x["s"], dtype=np.float64) / x["n"] for x in b])
+def _nearest(clusters: DataFrame, block: int) -> DataFrame:
+    """GROUP + cid -> (nn, dist): nearest other cluster of the same group (ties: smaller id)."""
+    tiles, tile = self_tiles(clusters, GROUP, "cid", block)
+    types = dict(clusters.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in GROUP) + ", cid long, nn long, dist double"
+
+    def run(batches):
+        for g in tile_groups(batches, tile):
+            head = g.iloc[0]
+            same = head["_i"] == head["_j"]
+            sides = [g if same else g[~g["_right"]], g if same else g[g["_right"]]]
+            if min(map(len, sides)) == 0:
+                continue
+            (aid, am), (bid, bm) = [(x["cid"].to_numpy(), np.stack(x["s"].to_list()) / x["n"].to_numpy()[:, None]) for x in sides]
             d = 1.0 - am @ bm.T
             if same:
                 np.fill_diagonal(d, np.inf)
-            # a -> best in b (ties: smaller id)
-            for src, dst, mat in ((aid, bid, d), (bid, aid, d.T)):
-                if mat.shape[1] == 0:
-                    continue
-                order = np.lexsort((np.broadcast_to(dst, mat.shape), mat), axis=1)[:, 0]
-                best = mat[np.arange(mat.shape[0]), order]
+            for src, dst, mat in [(aid, bid, d)] + ([] if same else [(bid, aid, d.T)]):
+                best = mat.min(axis=1)
+                nn = np.where(mat == best[:, None], dst[None, :], np.iinfo(np.int64).max).min(axis=1)
                 ok = np.isfinite(best)
-                outs.append(pd.DataFrame({"cid": src[ok], "nn": dst[order][ok], "dist": best[ok]}))
-                if same:
-                    break
-        yield pd.concat(outs) if outs else pd.DataFrame({"cid": pd.Series([], dtype="int64"),
-                                                         "nn": pd.Series([], dtype="int64"),
-                                                         "dist": pd.Series([], dtype="float64")})
+                out = pd.DataFrame({"cid": src[ok], "nn": nn[ok], "dist": best[ok]})
+                for k in GROUP:
+                    out.insert(0, k, head[k])
+                yield out[[*GROUP, "cid", "nn", "dist"]]
 
+    found = tiles.mapInPandas(run, schema)
+    best = found.groupBy(*GROUP, "cid").agg(F.min(F.struct("dist", "nn")).alias("m"))
+    return best.select(*GROUP, "cid", "m.nn", "m.dist")
 
-def _nearest(clusters: DataFrame, block: int) -> DataFrame:
-    """cid -> (nn, dist): nearest other cluster of the same group."""
-    c = dense_index(clusters.withColumn("_b", F.pmod(F.col("cid"), F.lit(1024))), GROUP, ["_b", "cid"], ["_b"], "_i")
-    c = c.withColumn("blk", F.floor(F.col("_i") / block))
-    blocks = c.groupBy(*GROUP, "blk").agg(F.collect_list(F.struct("cid", "n", "s")).alias("m"))
-    x, y = blocks.alias("x"), blocks.alias("y")
-    cond = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in GROUP] + [F.col("x.blk") <= F.col("y.blk")]
-    pairs = x.join(y, cond).select(F.col("x.m").alias("a"), F.col("y.m").alias("b"),
-                                   (F.col("x.blk") == F.col("y.blk")).alias("same"))
-    cand = pairs.mapInPandas(_best_partner_fn, "cid long, nn long, dist double")
-    return first_n_per_group(cand, ["cid"], [F.col("dist").asc(), F.col("nn").asc()], 1, "_r").drop("_r")
-
-
-def average_linkage(items: DataFrame, threshold: float = CLUSTER_DISTANCE_THRESHOLD, block: int = 1024,
-                    max_rounds: int = 10_000) -> DataFrame:
+
+def average_linkage(items: DataFrame, threshold: float = CLUSTER_DISTANCE_THRESHOLD, block: int = 1024) -> DataFrame:
     """Final cluster id per item.
 
-    ``items``: GROUP keys + ``item`` (long, unique) + ``vec`` (array).  Zero vectors stay singletons.
-    Returns GROUP + item + cid.
+    ``items``: GROUP keys + ``item`` (long, unique in its group) + ``vec`` (array).  Zero vectors stay singletons.
+    Returns GROUP + item + cid (the cluster's smallest item).
     """
+    own = [*GROUP, "cid"]
     it = items.withColumn("u", _unit(F.col("vec")))
     members = cut_lineage(it.select(*GROUP, "item", F.col("item").alias("cid")))
     live = cut_lineage(it.filter(F.col("u").isNotNull()).select(*GROUP, F.col("item").alias("cid"),
                                                                 F.lit(1).cast("long").alias("n"), F.col("u").alias("s")))
-    for _ in range(max_rounds):
-        nn = _nearest(live, block)
-        a, b = nn.alias("a"), nn.alias("b")
-        mutual = (a.join(b, (F.col("a.nn") == F.col("b.cid")) & (F.col("b.nn") == F.col("a.cid")))
-                  .filter((F.col("a.cid") < F.col("a.nn")) & (F.col("a.dist") < threshold))
-                  .select(F.col("a.cid").alias("keep"), F.col("a.nn").alias("gone")))
-        mutual = cut_lineage(mutual)
+    while True:  # every round merges at least the closest pair, or ends
+        nn = cut_lineage(_nearest(live, block))
+        back = nn.select(*GROUP, F.col("cid").alias("nn"), F.col("nn").alias("cid"))
+        mutual = cut_lineage(nn.join(back, [*GROUP, "cid", "nn"]).filter((F.col("cid") < F.col("nn")) & (F.col("dist") < threshold))
+                             .select(*GROUP, F.col("cid").alias("keep"), F.col("nn").alias("gone")))
         if mutual.isEmpty():
-            break
-        ka = live.select(F.col("cid").alias("keep"), F.col("n").alias("na"), F.col("s").alias("sa"), *GROUP)
-        kb = live.select(F.col("cid").alias("gone"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-        merged = mutual.join(ka, "keep").join(kb, "gone").select(
+            return members
+        ka = live.select(*GROUP, F.col("cid").alias("keep"), F.col("n").alias("na"), F.col("s").alias("sa"))
+        kb = live.select(*GROUP, F.col("cid").alias("gone"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+        merged = mutual.join(ka, [*GROUP, "keep"]).join(kb, [*GROUP, "gone"]).select(
             *GROUP, F.col("keep").alias("cid"), (F.col("na") + F.col("nb")).alias("n"),
             F.zip_with("sa", "sb", lambda p, q: p + q).alias("s"))
-        touched = mutual.select(F.col("keep").alias("cid")).unionByName(mutual.select(F.col("gone").alias("cid")))
-        live = cut_lineage(live.join(touched, "cid", "left_anti").unionByName(merged))
-        remap = mutual.select(F.col("gone").alias("cid"), F.col("keep").alias("new_cid"))
-        members = cut_lineage(members.join(remap, "cid", "left")
-                              .select(*GROUP, "item", F.coalesce("new_cid", "cid").alias("cid")))
-    return members
+        touched = mutual.select(*GROUP, F.col("keep").alias("cid")).unionByName(mutual.select(*GROUP, F.col("gone").alias("cid")))
+        live = cut_lineage(live.join(touched, own, "left_anti").unionByName(merged))
+        remap = mutual.select(*GROUP, F.col("gone").alias("cid"), F.col("keep").alias("new_cid"))
+        members = cut_lineage(members.join(remap, own, "left").select(*GROUP, "item", F.coalesce("new_cid", "cid").alias("cid")))
 
 
 def theme_inputs(results: DataFrame) -> DataFrame:
@@ -121,25 +109,25 @@ def theme_inputs(results: DataFrame) -> DataFrame:
 
 
 def cluster_themes(results: DataFrame, threshold: float = CLUSTER_DISTANCE_THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(themes, theme_members, unique_reviews)."""
-    r = theme_inputs(results).withColumn("item", F.xxhash64("session_id", "review_id"))
+    """(themes, theme_members, unique_reviews).  ``review_id`` is unique in its session."""
+    r = theme_inputs(results).withColumn("item", F.col("review_id").cast("long"))
+    own, cluster = [*GROUP, "item"], [*GROUP, "cid"]
     clusterable = r.filter(F.col("category_total") >= MIN_CATEGORY_SIZE_FOR_THEMES)
     members = average_linkage(clusterable.select(*GROUP, "item", "vec"), threshold)
-    sizes = members.groupBy("cid").agg(F.count(F.lit(1)).alias("size"))
-    m = members.join(sizes, "cid").join(r.select("item", "review_id", "review", "urgency", "vec"), "item")
-    in_theme = m.filter(F.col("size") >= MIN_THEME_SIZE)
+    sizes = members.groupBy(*cluster).agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= MIN_THEME_SIZE)
+    in_theme = members.join(sizes, cluster).join(r.select(*GROUP, "item", "review_id", "review", "urgency", "vec"), own)
     # I3 representative: highest cosine to the mean raw vector (zero norm -> 1e-12), first on tie
-    dims = in_theme.select("cid", F.posexplode("vec").alias("d", "x")).groupBy("cid", "d") \
+    dims = in_theme.select(*cluster, F.posexplode("vec").alias("d", "x")).groupBy(*cluster, "d") \
         .agg(F.avg(F.col("x").cast("double")).alias("mx"))
-    centroid = dims.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("d", "mx"))).alias("c")) \
-        .select("cid", F.transform("c", lambda z: z["mx"]).alias("centroid"))
+    centroid = dims.groupBy(*cluster).agg(F.array_sort(F.collect_list(F.struct("d", "mx"))).alias("c")) \
+        .select(*cluster, F.transform("c", lambda z: z["mx"]).alias("centroid"))
     dot = F.aggregate(F.zip_with(F.col("vec"), F.col("centroid"), lambda p, q: p.cast("double") * q),
                       F.lit(0.0), lambda acc, v: acc + v)
     nv = F.sqrt(F.aggregate(F.col("vec"), F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double")))
     nc = F.sqrt(F.aggregate(F.col("centroid"), F.lit(0.0), lambda acc, v: acc + v * v))
     den = F.when(nv * nc == 0, F.lit(1e-12)).otherwise(nv * nc)
-    scored = in_theme.join(centroid, "cid").withColumn("sim", dot / den)
-    themes = scored.groupBy(*GROUP, "cid").agg(
+    scored = in_theme.join(centroid, cluster).withColumn("sim", dot / den)
+    themes = scored.groupBy(*cluster).agg(
         F.count(F.lit(1)).alias("count"),
         F.count_if(F.lower("urgency") == "critical").alias("critical_count"),
         F.max_by("review", F.struct(F.col("sim"), -F.col("review_id"))).alias("theme_quote"),
@@ -148,7 +136,7 @@ def cluster_themes(results: DataFrame, threshold: float = CLUSTER_DISTANCE_THRES
     themes = ranked(themes, ["session_id", "category"],
                     [F.col("count").desc(), F.col("critical_count").desc(), F.col("cid").asc()], "rank")
     theme_members = in_theme.select("session_id", "category", "cid", "review_id")
-    unique = (r.join(in_theme.select("item"), "item", "left_anti")
+    unique = (r.join(in_theme.select(*own), own, "left_anti")
               .select("session_id", "category", F.col("review").alias("quote"), "review_id", "urgency", "sentiment"))
     return themes, theme_members, unique
 
