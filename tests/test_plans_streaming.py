@@ -1,6 +1,4 @@
 import json
-import os
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -33,9 +31,9 @@ def test_plan_parse_verify_dispose(spark):
     v = J.verify_plans(J.parse_plans(df), issues)
     d = {r.attempt: r for r in J.plan_dispositions(v).collect()}
     assert d[1].disposition == "accepted" and d[1].grounding == "passed"
-    assert d[2].parse_error == "Schema validation failed" and d[2].disposition == "retry"
-    assert d[3].parse_error == "JSON parsing failed"
-    assert d[4].grounding.startswith("Only 0 recommendation rationale") and d[4].disposition == "retry"
+    assert d[2].parse_error == "bad_schema" and d[2].disposition == "retry"
+    assert d[3].parse_error == "bad_json"
+    assert d[4].grounding.startswith("rationales_with_numbers: 0") and d[4].disposition == "retry"
     assert d[5].disposition == "accepted_ungrounded"
     recs = J.plan_recommendations(J.parse_plans(df.filter("attempt = 1"))).orderBy("rank").collect()
     assert [r.rank for r in recs] == [1, 2, 3]
