@@ -6,16 +6,17 @@ r"""MinHash near-duplicate documents, candidates checked by odd sketches.
    so the XOR of two sketches holds the parities of the samples that differ and its
    population count estimates high similarities precisely.
 2. Documents with equal sets (digest of the set) form a class, its smallest id stands for it.
-3. Banding: representatives that agree in a band share a bucket.  First every member is
-   paired with the smallest and the largest id of its bucket (two pairs per row, however
-   large the bucket).  Pairs whose set sizes or sketches rule out the threshold go
-   (see ``sketch_limit``); the rest is compared on the full shingle sets, as strings.
-4. The links give components.  Buckets that still hold more than one component are then
-   compared in full between the components, block against block, by sketches in
-   memory; only pairs that sketches allow come out and are compared on the full
-   sets.  So no pair of a large group of copies is listed but those that may still join
-   two components.
-5. Links and equal sets give the final components.
+3. Banding: representatives that agree in a band share a bucket.  Within a bucket,
+   block against block, pairs whose set sizes and sketches allow the threshold (see
+   ``sketch_limit``) are candidates; a task gives a spanning forest of its candidates, so
+   its rows stay in proportion to its members.  Components of those forests are the
+   candidate groups: both ends of every candidate are in one group.
+4. The texts of a group meet, block against block.  A candidate whose ends are not yet
+   in one component of the task is compared on the full shingle sets; links that hold are
+   confirmed on the sets of strings and come out as a spanning forest.
+5. Links and equal sets give the components.
+
+So a large group of copies costs comparisons in memory, but never a row per pair.
 
 At the threshold 0.85 a pair misses all bands with probability 5e-11, at 0.8 with 5e-8.
 
@@ -39,9 +40,9 @@ from revlens.llm.common import connected_components, map_batches, texts, written
 
 BANDS, ROWS, BITS = 32, 4, 256
 SHINGLE = 5
-#: pairs of one hub, or members of one bucket, that a task compares together
-GROUP = 4096
-BLOCK = 512
+#: documents, and shingles, of a block that a task holds at once
+BLOCK = 1024
+TILE_SHINGLES = 2_000_000
 
 
 def _splitmix(x: np.ndarray) -> np.ndarray:
@@ -159,92 +160,121 @@ def sign(docs: DataFrame) -> DataFrame:
     return map_batches(docs, run, SIGNED)
 
 
-def _near(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (x, y) whose set sizes and odd sketches allow the threshold."""
-    def side(c):
-        return sketches.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), *[F.col(f"k{i}").alias(f"{c}{i}") for i in range(WORDS)])
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
-    differ = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(1, WORDS)),
-                 F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
-    return (both.where(F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num)
-            .where(differ <= sketch_limit(num / den)).select("x", "y"))
-
-
-def verify(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (x, y) with den * |intersection| >= num * |union| on the full shingle sets.
-
-    The text of y goes once to each group of at most about GROUP pairs of y, the text
-    of x with its pair; sets are built in the task from the texts.
-    """
-    fan = pairs.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("fan"))
-    dealt = pairs.join(fan, "y").select("x", "y", F.expr("pmod(xxhash64(x), fan)").alias("part"))
-    dealt = written(dealt, "pairs")
-    body = docs.select("doc_id", "text").dropDuplicates(["doc_id"])
-    need = dealt.select(F.col("x").alias("doc_id")).union(dealt.select("y")).distinct()
-    body = written(body.join(need, "doc_id", "left_semi"), "texts")
-    hubs = dealt.select("y", "part").distinct().join(body.withColumnRenamed("doc_id", "y"), "y")
-    members = dealt.join(body.withColumnRenamed("doc_id", "x"), "x")
-    rows = (hubs.select("y", "part", F.lit(None).cast("long").alias("x"), "text")
-            .unionByName(members.select("y", "part", "x", "text")))
-    rows = rows.repartition("y", "part").sortWithinPartitions("y", "part", F.col("x").asc_nulls_first())
+class _Forest:
+    """Union-find that keeps the edges that joined two components."""
 
-    def run(batches):
-        hub: set[bytes] = set()
-        for b in batches:
-            xs, ys = [], []
-            for y, x, text in zip(b.column("y").to_pylist(), b.column("x").to_pylist(), texts(b.column("text"))):
-                own = shingles(words(text))
-                if x is None:
-                    hub = own
-                    continue
-                both = len(hub & own)
-                if den * both >= num * (len(hub) + len(own) - both):
-                    xs.append(x)
-                    ys.append(y)
-            yield pa.RecordBatch.from_pydict({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
-
-    return rows.select("y", "part", "x", "text").mapInArrow(run, "x long, y long")
-
-
-def _between_components(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of a bucket in different components that sizes and sketches allow, found in memory.
-
-    Members (bucket, doc_id, comp, n_shingles, k0..) are dealt to blocks of about BLOCK and
-    every two blocks of a bucket meet in one group; rows come sorted by group.
-    """
-    fan = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("fan"))
-    rows = members.join(fan, "bucket").withColumn("own", F.expr("pmod(xxhash64(doc_id), fan)"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("fan") - 1)))
-    sketch = F.concat(*[F.lpad(F.hex(f"k{i}"), 16, "0") for i in range(WORDS)])
-    rows = rows.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own",
-                       "doc_id", "comp", "n_shingles", F.unhex(sketch).alias("sketch"))
-    rows = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    def __init__(self):
+        self.root: dict[int, int] = {}
+        self.edges: list[tuple[int, int]] = []
+
+    def find(self, x: int) -> int:
+        root = self.root
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        a, b = self.find(x), self.find(y)
+        if a != b:
+            self.root[max(a, b)] = min(a, b)
+            self.edges.append((max(x, y), min(x, y)))
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"x": pa.array([e[0] for e in self.edges], pa.int64()), "y": pa.array([e[1] for e in self.edges], pa.int64())})
+
+
+def _tiles(rows: DataFrame, key: str, fan: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of a key dealt to its ``fan`` blocks, every two blocks in a tile of their own (own: the row's block)."""
+    own = rows.join(fan, key).withColumn("own", F.expr("pmod(xxhash64(doc_id), fan)"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("fan") - 1)))
+    own = own.select(key, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", *columns)
+    return own.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
+
+
+def _each_tile(batches, key: str, columns: list[str]) -> Iterator[tuple[bool, dict[str, list]]]:
+    """(whether it is a block with itself, columns) of each tile of sorted batches."""
+    at, held = None, None
+    for b in batches:
+        for row in zip(*(b.column(c) for c in (key, "lo", "hi", "own", *columns))):
+            row = [v.as_py() for v in row]
+            if at != row[:3]:
+                if held and len(held["doc_id"]) > 1:
+                    yield at[1] == at[2], held
+                at, held = row[:3], {c: [] for c in ("own", *columns)}
+            for c, v in zip(("own", *columns), row[3:]):
+                held[c].append(v)
+    if held and len(held["doc_id"]) > 1:
+        yield at[1] == at[2], held
+
+
+SKETCH = [f"k{i}" for i in range(WORDS)]
+
+
+def _candidates(tile: dict[str, list], same: bool, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(j, places i < j) of the tile's pairs whose set sizes and odd sketches allow the threshold."""
+    n, own = np.array(tile["n_shingles"], np.int64), np.array(tile["own"])
+    odd = np.array([tile[k] for k in SKETCH], np.int64)
     limit = sketch_limit(num / den)
+    for j in range(1, len(n)):
+        differ = np.bitwise_count((odd[:, :j] ^ odd[:, j:j + 1]).view(np.uint64)).sum(axis=0, dtype=np.int64)
+        near = (differ <= limit) & (np.minimum(n[:j], n[j]) * den >= np.maximum(n[:j], n[j]) * num)
+        if not same:
+            near &= own[:j] != own[j]
+        at = np.flatnonzero(near)
+        if len(at):
+            yield j, at
+
+
+def candidate_groups(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Spanning forests (x, y) of the candidates in each bucket; members: bucket, doc_id, n_shingles, sketch."""
+    columns = ["doc_id", "n_shingles", *SKETCH]
+    fan = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("fan"))
+
+    def run(batches):
+        for same, tile in _each_tile(batches, "bucket", columns):
+            forest, ids = _Forest(), tile["doc_id"]
+            for j, at in _candidates(tile, same, num, den):
+                for i in at.tolist():
+                    forest.join(ids[i], ids[j])
+            if forest.edges:
+                yield forest.batch()
 
-    def run(batches) -> Iterator:
-        key, held = None, []
+    return _tiles(members, "bucket", fan, columns).mapInArrow(run, "x long, y long").distinct()
 
-        def found():
-            xs, ys = [], []
-            for j, (own, d, comp, n, s) in enumerate(held):
-                for own2, d2, comp2, n2, s2 in held[:j]:
-                    if (comp != comp2 and (key[1] == key[2] or own != own2) and min(n, n2) * den >= max(n, n2) * num
-                            and (s ^ s2).bit_count() <= limit):
-                        xs.append(max(d, d2))
-                        ys.append(min(d, d2))
-            return pa.RecordBatch.from_pydict({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
 
-        for b in batches:
-            for bucket, lo, hi, own, d, comp, n, s in zip(*(c.to_pylist() for c in b.columns)):
-                if key != (bucket, lo, hi):
-                    if len(held) > 1:
-                        yield found()
-                    key, held = (bucket, lo, hi), []
-                held.append((own, d, comp, n, int.from_bytes(s)))
-        if len(held) > 1:
-            yield found()
+def links(nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Spanning forests (x, y) of the links in each group; nodes: grp, doc_id, n_shingles, sketch, text."""
+    columns = ["doc_id", "n_shingles", *SKETCH, "text"]
+    fan = nodes.groupBy("grp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / TILE_SHINGLES)).alias("fan"))
 
-    return rows.mapInArrow(run, "x long, y long").distinct()
+    def run(batches):
+        for same, tile in _each_tile(batches, "grp", columns):
+            forest, ids, body = _Forest(), tile["doc_id"], tile["text"]
+            hashes: dict[int, np.ndarray] = {}
+
+            def held(i):
+                if i not in hashes:
+                    hashes[i] = shingle_hashes(words(body[i] or ""))
+                return hashes[i]
+
+            def linked(a, b, both):
+                return den * both >= num * (a + b - both)
+
+            for j, at in _candidates(tile, same, num, den):
+                for i in at.tolist():
+                    if forest.find(ids[i]) == forest.find(ids[j]):
+                        continue
+                    x, y = held(i), held(j)
+                    if not linked(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))):
+                        continue
+                    x, y = shingles(words(body[i] or "")), shingles(words(body[j] or ""))
+                    if linked(len(x), len(y), len(x & y)):
+                        forest.join(ids[i], ids[j])
+            if forest.edges:
+                yield forest.batch()
+
+    return _tiles(nodes, "grp", fan, columns).mapInArrow(run, "x long, y long").distinct()
 
 
 def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,26 +287,17 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, id_col: str
     nodes = reps.dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", *[f"k{i}" for i in range(WORDS)])
 
     buckets = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    ends = buckets.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    shared = written(buckets.join(ends, "bucket"), "buckets")
-    stars = (shared.where("doc_id > lo").select(F.col("doc_id").alias("x"), F.col("lo").alias("y"))
-             .union(shared.where("doc_id < hi").select(F.col("hi").alias("x"), F.col("doc_id").alias("y"))).distinct())
-    stars = written(_near(stars, nodes, num, den), "stars")
-    links = written(verify(stars, body, num, den), "links")
-
-    first = connected_components(links, "x", "y")
-    placed = (shared.select("bucket", "doc_id").join(first, F.col("doc_id") == F.col("node"), "left")
-              .select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("comp")))
-    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("bucket")
-    members = placed.join(open_, "bucket", "left_semi").join(nodes, "doc_id")
-    rest = _between_components(members, num, den).join(stars, ["x", "y"], "left_anti")
-    more = written(verify(rest, body, num, den), "links")
+    ends = buckets.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("bucket")
+    members = written(buckets.join(ends, "bucket", "left_semi"), "buckets").join(nodes, "doc_id")
+    groups = connected_components(candidate_groups(members, num, den), "x", "y").select(F.col("node").alias("doc_id"), F.col("component").alias("grp"))
+    texts_ = body.join(groups, "doc_id").dropDuplicates(["doc_id"])
+    found = links(texts_.join(nodes, "doc_id"), num, den)
 
     # rows that share an id tie their classes together
     same = usable.select("doc_id", "digest").distinct().join(classes, "digest").where("doc_id != rep").select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))
     repeated = usable.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a != b").select(F.col("doc_id").alias("x"))
     ties = same.join(repeated, "x", "left_semi")
-    last = connected_components(links.union(more).union(ties), "x", "y")
+    last = connected_components(found.union(ties), "x", "y")
 
     out = (signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
            .withColumn("node", F.when(F.col("n_shingles") > 0, F.col("rep"))).join(last, "node", "left"))

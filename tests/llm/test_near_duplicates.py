@@ -68,9 +68,8 @@ def test_repeated_and_null_rows(spark):
 
 
 def test_large_group_of_copies(spark, rng, monkeypatch):
-    """A bucket over several blocks and hubs over several groups give the same components."""
+    """Buckets and groups over several blocks give the same components."""
     monkeypatch.setattr(op3_minhash, "BLOCK", 8)
-    monkeypatch.setattr(op3_minhash, "GROUP", 8)
     base = [f"w{i}" for i in range(100)]
     docs = []
     for i in range(60):
