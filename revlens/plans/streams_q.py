@@ -6,11 +6,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from revlens.operators import benchmarks as B
+from revlens.operators import clean as C
 from revlens.plans.catalog import register
+from revlens.plans.cleaning import LINES_SQL
 from revlens.plans.derived import all_derived
 from revlens.plans.histories import ALERTS_SQL, SQL as HIST_SQL
 from revlens.plans.industry import ROLLUP_COLS, ROLLUP_SQL, SQL as IND_SQL
 from revlens.streaming import streams as S
+from revlens.types import EMOTIONS
+
+TTL_HOURS = 9000
 
 
 def _events_path(sf_dir):
@@ -38,11 +43,59 @@ def s01(spark, sf_dir):
     return spark.read.parquet(out)
 
 
-@register("s04_stream_clean")
-def s04(spark, sf_dir):
+def _event_reviews(ev):
+    """Events as classified reviews: the event's type, value and user say what a classifier would."""
+    emo = F.col("user_id") % 8
+    return S.with_sentiment(ev).select(
+        "ts", (F.col("user_id") % 4).alias("company_id"), F.col("event_type").alias("category"), "sentiment",
+        F.when(F.col("value") > 60, "critical").when(F.col("value") > 20, "medium").otherwise("low").alias("urgency"),
+        F.element_at(F.array(*[F.lit(e) for e in EMOTIONS]), (emo + 1).cast("int")).alias("emotion"),
+        F.when(F.col("value") > 10, "high").otherwise("low").alias("confidence"))
+
+
+def _breakdown_sql(windows: str, length: str) -> str:
+    emotions = ", ".join(f"count_if(emotion = '{e}') AS emotion_{e}" for e in EMOTIONS)
+    return f"""WITH e AS (
+  SELECT ts, user_id % 4 AS company_id, event_type AS category,
+         CASE WHEN event_type = 'error' THEN 'negative' WHEN event_type IN ('view', 'click') THEN 'neutral' ELSE 'positive' END AS sentiment,
+         CASE WHEN value > 60 THEN 'critical' WHEN value > 20 THEN 'medium' ELSE 'low' END AS urgency,
+         {EMOTIONS!r}[user_id % 8 + 1] AS emotion, CASE WHEN value > 10 THEN 'high' ELSE 'low' END AS confidence
+  FROM events),
+x AS (SELECT *, unnest({windows}) AS window_start FROM e),
+d AS (
+  SELECT window_start, window_start + INTERVAL {length} AS window_end, company_id, category, count(*) AS total,
+         count_if(sentiment = 'positive') AS sentiment_positive, count_if(sentiment = 'negative') AS sentiment_negative,
+         count_if(sentiment = 'neutral') AS sentiment_neutral, count_if(urgency = 'critical') AS urgency_critical,
+         count_if(urgency = 'medium') AS urgency_medium, count_if(urgency = 'low') AS urgency_low, {emotions},
+         count_if(confidence = 'high') AS confidence_high, count_if(confidence = 'medium') AS confidence_medium,
+         count_if(confidence = 'low') AS confidence_low
+  FROM x GROUP BY 1, 2, 3, 4)
+SELECT *, round_even(CAST(sentiment_positive AS DOUBLE) / total * 100.0, 1) AS positive_pct,
+       round_even(CAST(urgency_critical AS DOUBLE) / total * 100.0, 1) AS critical_pct,
+       round_even(CAST(sentiment_positive - sentiment_negative AS DOUBLE) / total * 100.0 + 50.0, 1) AS overall_score
+FROM d WHERE window_end <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"""
+
+
+def _breakdown(spark, sf_dir, **windows):
     ev = S.event_stream(spark, _events_path(sf_dir))
-    out = S.run_to_table(S.stream_clean(ev), "clean")
-    return spark.read.parquet(out)
+    return spark.read.parquet(S.run_to_table(S.stream_breakdown(_event_reviews(ev), ["company_id"], **windows), "breakdown"))
+
+
+@register("s01_stream_breakdown", _breakdown_sql("[date_trunc('day', ts)]", "1 DAY"))
+def s01b(spark, sf_dir):
+    return _breakdown(spark, sf_dir)
+
+
+@register("s01_stream_sliding", _breakdown_sql("[date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]", "2 DAY"))
+def s01s(spark, sf_dir):
+    return _breakdown(spark, sf_dir, window="2 days", slide="1 day")
+
+
+@register("s04_stream_clean", "WITH " + LINES_SQL + " SELECT DISTINCT session_id, text FROM flagged WHERE NOT noise")
+def s04(spark, sf_dir):
+    docs = S.parquet_stream(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+    lines = C.lines_from_text(docs.select(F.col("source").alias("session_id"), F.col("doc_id").alias("row_ord"), "text"))
+    return spark.read.parquet(S.run_to_table(S.stream_clean(lines.select("session_id", "text")), "clean"))
 
 
 def _dashboard_files(spark, sf_dir):
@@ -57,11 +110,15 @@ def _dashboard_files(spark, sf_dir):
 
 @register("s02_stream_alerts", HIST_SQL + ", " + ALERTS_SQL + """
 SELECT user_id, session_id, event, critical_pct, current_score, previous_score, drop, new_issue, previous_issue
-FROM alerts""")
+FROM alerts WHERE event = 'critical_spike' OR session_id IN (
+  SELECT session_id FROM (
+    SELECT session_id, created_at - lag(created_at) OVER (PARTITION BY user_id ORDER BY created_at, session_id) AS age FROM history)
+  WHERE age <= INTERVAL 9000 HOUR)""")
 def s02(spark, sf_dir):
+    """Sessions are a year apart or more: with TTL_HOURS some previous ones count and some are too old."""
     path = _dashboard_files(spark, sf_dir)
     src = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    out = S.run_to_table(S.stream_alerts(src, ttl_hours=None), "alerts")
+    out = S.run_to_table(S.stream_alerts(src, ttl_hours=TTL_HOURS), "alerts")
     return spark.read.parquet(out)
 
 
@@ -71,4 +128,4 @@ def s03(spark, sf_dir):
     src = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
     table = S.scratch_path(spark, "bench-table")
     S.stream_benchmarks(src, table).awaitTermination()
-    return B.benchmark_rollup(spark.read.parquet(table))
+    return B.benchmark_rollup(S.read_analyses(spark, table))

@@ -7,7 +7,6 @@ named by ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -16,26 +15,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from revlens.functions import text as X
 from revlens.functions.exprs import pct
 from revlens.operators import benchmarks as B
 from revlens.session import checkpoint_dir
-from revlens.types import CRITICAL_SPIKE_PCT, SENTIMENT_DROP_POINTS, SESSION_TTL_HOURS
+from revlens.types import (CONFIDENCES, CRITICAL_SPIKE_PCT, EMOTIONS, SENTIMENT_DROP_POINTS, SENTIMENTS, SESSION_TTL_HOURS,
+                           URGENCIES)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
+    return f"{checkpoint_dir(spark)}/streams/{name}-{uuid.uuid4().hex[:8]}"
 
 
-def event_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Events as a stream; ``ts`` cast from TIMESTAMP_NTZ to TIMESTAMP (UTC) for the watermark."""
+def _is_file(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
+
+
+def parquet_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """The Parquet files of a folder, or one file, as a stream; any path that Spark reads."""
     schema = spark.read.parquet(path).schema
     r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    if os.path.isfile(path):  # a single file: stream its folder, filtered to that name
-        r = r.option("pathGlobFilter", os.path.basename(path))
-        path = os.path.dirname(path)
-    return r.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    if _is_file(spark, path):  # a single file: stream its folder, filtered to that name
+        path, _, name = path.rpartition("/")
+        r = r.option("pathGlobFilter", name)
+    return r.parquet(path)
+
+
+def event_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """Events as a stream; ``ts`` cast from TIMESTAMP_NTZ to TIMESTAMP (UTC) for the watermark."""
+    return parquet_stream(spark, path, max_files).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def with_sentiment(events: DataFrame) -> DataFrame:
@@ -62,10 +73,35 @@ def stream_dashboard(events: DataFrame, window: str = "1 day", slide: str | None
                       .alias("overall_score"))
 
 
-def stream_clean(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Stateless projections plus de-duplication inside the watermark."""
-    e = events.withColumn("props", F.trim("props"))
-    return e.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
+def stream_breakdown(reviews: DataFrame, keys: list, window: str = "1 day", slide: str | None = None,
+                     watermark: str = "1 day") -> DataFrame:
+    """The dashboard's counters (D1-D5, D8) per key, category and event-time window; append, closed windows only.
+
+    ``reviews``: ts, keys, sentiment, category, urgency, emotion, confidence.  One aggregation
+    holds all counters, so summing its rows over categories gives the session-level ones.
+    """
+    e = reviews.withWatermark("ts", watermark)
+    w = F.window("ts", window, slide) if slide else F.window("ts", window)
+    counters = [F.count_if(F.col(c) == v).alias(f"{c}_{v}") for c, values in (
+        ("sentiment", SENTIMENTS), ("urgency", URGENCIES), ("emotion", EMOTIONS), ("confidence", CONFIDENCES)) for v in values]
+    agg = e.groupBy(w.alias("w"), *keys, "category").agg(F.count(F.lit(1)).alias("total"), *counters)
+    n = [c for c in agg.columns if c not in ("w", "category", *keys)]
+    return agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "category", *n,
+                      pct("sentiment_positive", "total").alias("positive_pct"), pct("urgency_critical", "total").alias("critical_pct"),
+                      F.bround((F.col("sentiment_positive") - F.col("sentiment_negative")) / F.col("total") * 100.0 + 50.0, 1).alias("overall_score"))
+
+
+def stream_clean(lines: DataFrame, watermark: str | None = None, ts: str = "ts") -> DataFrame:
+    """B1-B5 on each line and exact de-duplication per session.
+
+    ``lines``: session_id, text (and ``ts``).  With a watermark a text is remembered for that
+    long, so the state stays bounded; without one, for the whole stream.
+    """
+    e = lines.withColumn("text", X.normalise(X.emoji_to_text("text")))
+    e = e.filter(~X.is_noise("text"))
+    if watermark is None:
+        return e.dropDuplicates(["session_id", "text"])
+    return e.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(["session_id", "text"])
 
 
 ALERT_OUT = ("user_id long, session_id string, event string, critical_pct double, current_score double, "
@@ -75,62 +111,73 @@ ALERT_STATE = "prev_session string, prev_score double, prev_issue string, prev_t
 
 def _alerts_fn(ttl_hours: float | None):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in ALERT_OUT.split(", ")]
         if state.hasTimedOut:
             state.remove()
+            yield pd.DataFrame(columns=names)
             return
-        prev = state.get if state.exists else None
-        rows = pd.concat(list(pdfs)).sort_values(["created_at", "session_id"])
-        out = []
-        for r in rows.itertuples(index=False):
-            if float(r.critical_pct) > CRITICAL_SPIKE_PCT:
-                out.append((key[0], r.session_id, "critical_spike", float(r.critical_pct), None, None, None, None, None))
-            if prev is not None:
-                p_session, p_score, p_issue, p_ts = prev
-                fresh = ttl_hours is None or (pd.Timestamp(r.created_at) - pd.Timestamp(p_ts)
-                                              <= pd.Timedelta(hours=ttl_hours))
-                if fresh:
-                    drop = float(p_score) - float(r.overall_score)
-                    if drop > SENTIMENT_DROP_POINTS:
-                        out.append((key[0], r.session_id, "sentiment_drop", None, float(r.overall_score),
-                                    float(p_score), round(drop, 2), None, None))
-                    cur = r.top_issue if isinstance(r.top_issue, str) else None
-                    if cur and cur != p_issue:
-                        out.append((key[0], r.session_id, "new_top_issue", None, None, None, None, cur, p_issue))
-            prev = (r.session_id, float(r.overall_score), r.top_issue if isinstance(r.top_issue, str) else None,
-                    pd.Timestamp(r.created_at).to_pydatetime())
-        state.update(prev)
+        held = [state.get] if state.exists else []
+        now = pd.concat(list(pdfs)).sort_values(["created_at", "session_id"], ignore_index=True)
+        cols = ["session_id", "overall_score", "top_issue", "created_at"]
+        rows = pd.concat([pd.DataFrame(held, columns=cols), now[cols]], ignore_index=True) if held else now[cols]
+        before = rows.shift().iloc[len(held):].reset_index(drop=True)  # the row before each new one, the state's first
+        fresh = before["session_id"].notna()
+        if ttl_hours is not None:
+            fresh &= pd.to_datetime(now["created_at"]) - pd.to_datetime(before["created_at"]) <= pd.Timedelta(hours=ttl_hours)
+        score, previous = now["overall_score"].astype(float), before["overall_score"].astype(float)
+        issue, was = now["top_issue"], before["top_issue"]
+        base = pd.DataFrame({"user_id": key[0], "session_id": now["session_id"]})
+        spike = base.assign(event="critical_spike", critical_pct=now["critical_pct"])[now["critical_pct"] > CRITICAL_SPIKE_PCT]
+        drop = base.assign(event="sentiment_drop", current_score=score, previous_score=previous,
+                           drop=(previous - score).round(2))[fresh & (previous - score > SENTIMENT_DROP_POINTS)]
+        changed = fresh & issue.notna() & (issue != was)
+        other = base.assign(event="new_top_issue", new_issue=issue, previous_issue=was)[changed]
+        last = rows.iloc[-1]
+        top = last["top_issue"] if isinstance(last["top_issue"], str) else None
+        state.update((last["session_id"], float(last["overall_score"]), top, pd.Timestamp(last["created_at"]).to_pydatetime()))
         if ttl_hours is not None:
-            state.setTimeoutDuration(int(ttl_hours * 3600 * 1000))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in ALERT_OUT.split(", ")])
+            until = pd.Timestamp(last["created_at"]) + pd.Timedelta(hours=ttl_hours)
+            state.setTimeoutTimestamp(max(int(until.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        out = pd.concat([spike, drop, other]).reindex(columns=names)
+        for c in ("session_id", "event", "new_issue", "previous_issue"):
+            out[c] = out[c].astype(object).where(out[c].notna(), None)
+        yield out
     return fn
 
 
 def stream_alerts(dashboards: DataFrame, ttl_hours: float | None = SESSION_TTL_HOURS) -> DataFrame:
-    """G1-G3 against the same user's previous dashboard, held as keyed state (48 h TTL)."""
+    """G1-G3 against the same user's previous dashboard, held as keyed state.
+
+    A previous dashboard older than ``ttl_hours`` does not count; once event time has passed a
+    user's last dashboard by that long, the user is forgotten.  A user's rows of one trigger are ordered in memory: their number is
+    bounded by the trigger's files (``maxFilesPerTrigger``).
+    """
+    if ttl_hours is not None:
+        dashboards = dashboards.withWatermark("created_at", f"{int(ttl_hours * 3600)} seconds")
     return dashboards.groupBy("user_id").applyInPandasWithState(
         _alerts_fn(ttl_hours), ALERT_OUT, ALERT_STATE, "append",
-        GroupStateTimeout.ProcessingTimeTimeout if ttl_hours is not None else GroupStateTimeout.NoTimeout)
+        GroupStateTimeout.EventTimeTimeout if ttl_hours is not None else GroupStateTimeout.NoTimeout)
+
+
+def add_analyses(batch: DataFrame, batch_id: int, table_path: str) -> None:
+    """One micro-batch as its own immutable folder; a repeated batch replaces itself only."""
+    batch.select("session_id", "user_id", "industry", "created_at", *B.MEASURES, "top_category") \
+        .write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
+
+
+def read_analyses(spark: SparkSession, table_path: str) -> DataFrame:
+    """The newest row of every session, by (created_at, batch)."""
+    t = spark.read.parquet(table_path)
+    cols = [c for c in t.columns if c not in ("session_id", "batch")]
+    return t.groupBy("session_id").agg(F.max_by(F.struct(*cols), F.struct("created_at", "batch", *B.MEASURES)).alias("r")).select("session_id", "r.*")
 
 
 def stream_benchmarks(analyses: DataFrame, table_path: str, trigger_available_now: bool = True):
-    """S3: fold each micro-batch into a latest-per-company table (idempotent per user), then roll up.
+    """S3: append each micro-batch of analyses to a table (idempotent per batch).
 
-    Returns the started query; the industry table is ``benchmark_rollup`` over ``table_path``.
+    Returns the started query; the industry table is ``benchmark_rollup`` over ``read_analyses``.
     """
-    spark = analyses.sparkSession
-
-    def upsert(batch: DataFrame, epoch_id: int) -> None:
-        b = batch.select("session_id", "user_id", "industry", "created_at", *B.MEASURES, "top_category")
-        try:
-            old = spark.read.parquet(table_path)
-            merged = old.unionByName(b)
-        except Exception:  # first batch: no table yet
-            merged = b
-        # one row per session; rewrite to a new version folder, then point readers at it
-        merged.dropDuplicates(["session_id"]).write.mode("overwrite").parquet(table_path + f".v{epoch_id}")
-        spark.read.parquet(table_path + f".v{epoch_id}").write.mode("overwrite").parquet(table_path)
-
-    w = analyses.writeStream.foreachBatch(upsert).option("checkpointLocation", table_path + ".ckpt")
+    w = analyses.writeStream.foreachBatch(lambda batch, i: add_analyses(batch, i, table_path)).option("checkpointLocation", table_path + ".ckpt")
     return (w.trigger(availableNow=True) if trigger_available_now else w).start()
 
 
