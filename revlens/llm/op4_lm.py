@@ -16,8 +16,8 @@ send their pairs, each with the documents it is in, to shards by context (a cont
 more than a quarter of a shard is dealt further by the word that follows).  A shard
 counts its pairs over all blocks, builds the trie of its contexts (monotone pointers,
 successors relative to their context, quantised probabilities) as flat bytes,
-reads them in place, looks up all pairs by successor search and returns sums
-per document.  So a text's pairs are scored where their contexts' level lies, and
+reads them in place, looks up all pairs by successor search and returns to each
+block the sums of its documents.  So a text's pairs are scored where their contexts' level lies, and
 memory per task depends on block and shard size only.
 
 Cases: null text is empty (the end token alone); null ids are scored and never trained on; rows that
@@ -68,6 +68,7 @@ def load(data: bytes) -> list[np.ndarray]:
     return out
 
 
+SCORED = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 BLOCKS = "block long, doc_ids array<long>, flags binary, tokens binary, words array<binary>, counts binary"
 
 
@@ -256,8 +257,7 @@ def scores(docs: DataFrame, train: str = "train", b: float = 0.7, m: float = 1.0
                                                   "doc_ids": [doc_ids if held else None]}, schema=schema)
 
     def score(batches):
-        ddl = "block long, place long, doc_id long, n_tokens long, n_known long, base_score double, score double"
-        schema = pa_schema(ddl)
+        schema = pa_schema("block long, sums binary, base binary, doc_ids array<long>")
         for _, rows_ in _groups(batches, "shard", ["block", "message", "base", "doc_ids"]):
             got = []
             for block, message, *_ in rows_:
@@ -290,13 +290,21 @@ def scores(docs: DataFrame, train: str = "train", b: float = 0.7, m: float = 1.0
                 own = np.repeat(value[back[at:at + len(a)]], times)
                 at += len(a)
                 sums = np.bincount(d, weights=own, minlength=len(train_))
-                docs_ = np.arange(len(train_)) if base is not None else np.unique(d)
-                extra = load(base) if base is not None else [None] * 3
-                none = pa.nulls(len(docs_))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(docs_), block)), pa.array(docs_.astype(np.int64))]
-                    + [pa.array(x, t) if x is not None else none.cast(t) for x, t in zip((doc_ids, *extra), schema.types[2:6])]
-                    + [pa.array(sums[docs_])], schema=schema)
+                at_docs = np.flatnonzero(np.bincount(d, minlength=len(train_)))
+                yield pa.RecordBatch.from_pydict({"block": [block], "sums": [dump(np.diff(at_docs, prepend=0), sums[at_docs])], "base": [base], "doc_ids": [doc_ids]},
+                                                 schema=schema)
+
+    def total_up(batches):
+        schema = pa_schema(SCORED)
+        for _, parts_ in _groups(batches, "block", ["sums", "base", "doc_ids"]):
+            base, doc_ids = next(r[1:] for r in parts_ if r[1] is not None)
+            n_tokens, n_known, base_score = load(base)
+            score_ = np.zeros(len(n_tokens))
+            for sums, _, _ in parts_:
+                steps, values = load(sums)
+                score_[np.cumsum(steps)] += values
+            yield pa.RecordBatch.from_pydict({"doc_id": doc_ids, "n_tokens": n_tokens, "n_known": n_known, "train_tokens": np.full(len(n_tokens), n_all),
+                                              "base_score": base_score, "score": score_}, schema=schema)
 
     side = numbered.where("block IS NOT NULL").select("block", *[F.lit(None).cast(t).alias(c) for c, t in (
         ("doc_ids", "array<bigint>"), ("flags", "binary"), ("tokens", "binary"), ("n_words", "int"))], "places", "ids", "counts")
@@ -304,10 +312,8 @@ def scores(docs: DataFrame, train: str = "train", b: float = 0.7, m: float = 1.0
     meet = whole.unionByName(side).repartition("block").sortWithinPartitions("block")
     sent = meet.mapInArrow(send, "shard long, block long, message binary, base binary, doc_ids array<long>")
     sent = sent.repartition(shards, "shard").sortWithinPartitions("shard", "block")
-    parts = sent.mapInArrow(score, "block long, place long, doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return (parts.groupBy("block", "place").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.max("n_known").alias("n_known"),
-                                                F.max("base_score").alias("base_score"), F.sum("score").alias("score"))
-            .select("doc_id", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score"))
+    parts = sent.mapInArrow(score, "block long, sums binary, base binary, doc_ids array<long>")
+    return parts.repartition("block").sortWithinPartitions("block").mapInArrow(total_up, SCORED)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5):
