@@ -53,4 +53,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from revlens.plans import classification, cleaning, dashboards, histories, industry, retrieval_q, themes_q, plans_q, streams_q  # noqa: F401
+    from revlens.plans import classification, cleaning, dashboards, files_q, histories, industry, retrieval_q, themes_q, plans_q, streams_q  # noqa: F401

@@ -247,10 +247,15 @@ def g05(spark, sf_dir):
 
 @register("g06_alert_outbox", SQL + ", " + ALERTS_SQL + ", " + SUBS_SQL + f"""
 SELECT '1.0' AS version, m.event, {NOW_SQL} AS triggered_at, m.session_id, m.user_id, c.c_name AS company_name,
-       c.c_mktsegment AS industry, m.url
+       c.c_mktsegment AS industry, m.url, coalesce(critical_count, -1) AS critical_count, coalesce(drop, -1) AS drop,
+       coalesce(new_issue, '') AS new_issue
 FROM matched m LEFT JOIN customer c ON m.user_id = c.c_custkey""")
 def g06(spark, sf_dir):
     _, dash, hist = all_derived(spark, sf_dir)
     subs = G.subscriptions_from_customers(read_table(spark, sf_dir, "customer"))
     out = G.alert_outbox(G.match_subscriptions(G.alerts(hist, dash), subs), profiles(spark, sf_dir), NOW)
-    return out.drop("data")
+    data = "critical_count bigint, critical_pct double, drop double, new_issue string"
+    out = out.withColumn("d", F.from_json("data", data))
+    return out.select("version", "event", "triggered_at", "session_id", "user_id", "company_name", "industry", "url",
+                      F.coalesce("d.critical_count", F.lit(-1).cast("bigint")).alias("critical_count"),
+                      F.coalesce("d.drop", F.lit(-1.0)).alias("drop"), F.coalesce("d.new_issue", F.lit("")).alias("new_issue"))
