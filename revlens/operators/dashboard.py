@@ -19,8 +19,8 @@ from revlens.types import NO_SECONDARY
 SESSION_KEYS = ["session_id"]
 
 
-def _counts(df: DataFrame, keys=None) -> DataFrame:
-    """All per-session counters in one aggregation."""
+def _counts(df: DataFrame, keys=None, *more) -> DataFrame:
+    """All per-session counters (and ``more``) in one aggregation."""
     keys = keys or SESSION_KEYS
     s, u, c = F.col("sentiment"), F.col("urgency"), F.col("confidence")
     sec = F.coalesce(F.col("secondary_category"), F.lit(NO_SECONDARY))
@@ -35,7 +35,7 @@ def _counts(df: DataFrame, keys=None) -> DataFrame:
         F.count_if(c == "high").alias("high_confidence_count"),
         F.count_if(c == "medium").alias("medium_confidence_count"),
         F.count_if(c == "low").alias("low_confidence_count"),
-        F.count_if(sec != NO_SECONDARY).alias("multi_aspect_count"),
+        F.count_if(sec != NO_SECONDARY).alias("multi_aspect_count"), *more,
     )
 
 
@@ -189,8 +189,17 @@ def dashboard(df: DataFrame, keys=None) -> DataFrame:
     ``category_breakdown``, ``emotion_breakdown``, ``urgency_matrix``, ``top_issues``.
     """
     keys = keys or SESSION_KEYS
-    t = _counts(df, keys)
-    wide = t.select(
+    # one pass over the fact: counters per (session, category); the session level sums that small table
+    neg = F.col("sentiment") == "negative"
+    per = _counts(df, [*keys, "primary_category"], F.min("review_id").alias("_first"), F.count_if(neg).alias("_neg"),
+                  F.count_if(neg & (F.col("urgency") == "critical")).alias("_neg_critical"))
+    named = F.col("primary_category").isNotNull()
+    issue_order = F.when(named & (F.col("_neg") > 0), F.struct(-F.col("_neg_critical"), -F.col("_neg"), F.col("primary_category")))
+    t = per.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in per.columns if c not in (*keys, "primary_category") and not c.startswith("_")],
+        F.max_by("primary_category", F.when(named, F.struct(F.col("total_reviews"), -F.col("_first")))).alias("top_category"),
+        F.min_by("primary_category", issue_order).alias("top_issue"), F.min_by("_neg_critical", issue_order).alias("top_issue_critical_count"))
+    out = t.select(
         *keys, "total_reviews", "positive_count", "negative_count", "neutral_count",
         pct("positive_count", "total_reviews").alias("positive_pct"),
         pct("negative_count", "total_reviews").alias("negative_pct"),
@@ -203,12 +212,7 @@ def dashboard(df: DataFrame, keys=None) -> DataFrame:
         (F.col("total_reviews") - F.col("multi_aspect_count")).alias("single_aspect_count"),
         "high_confidence_count", "medium_confidence_count", "low_confidence_count",
         pct("low_confidence_count", "total_reviews").alias("low_pct"),
-    )
-    cats = category_breakdown(df, keys).filter(F.col("rank") == 1).select(*keys, F.col("category").alias("top_category"))
-    issue = top_issues(df, 1, keys).select(*keys, F.col("category").alias("top_issue"),
-                                           F.col("critical_count").alias("top_issue_critical_count"))
-    out = wide.join(cats, keys, "left").join(issue, keys, "left") \
-        .withColumn("top_category", F.coalesce("top_category", F.lit(NO_SECONDARY)))
+        F.coalesce("top_category", F.lit(NO_SECONDARY)).alias("top_category"), "top_issue", "top_issue_critical_count")
     return health_score(out)
 
 

@@ -11,9 +11,10 @@ from revlens.operators import dashboard as D
 from revlens.operators import sessions as S
 from revlens.operators import trends as E
 from revlens.plans.catalog import register
-from revlens.plans.derived import CAT_CTE, DERIVED_CTES, all_derived, profiles, sessions_table
+from revlens.plans.derived import CAT_CTE, DERIVED_CTES, all_derived, dashboards, history, profiles, sessions_table
 from revlens.plans.sqlbits import spct, with_feedback
-from revlens.sources.tables import read_table
+from revlens.session import cut_lineage
+from revlens.sources.tables import feedback, read_table
 
 NOW = dt.datetime(1998, 1, 3, 20, 0, 0)
 NOW_SQL = "TIMESTAMP '1998-01-03 20:00:00'"
@@ -180,8 +181,10 @@ SELECT t.user_id, t.session_count >= 2 AS available, t.session_count, t.trend, t
        coalesce(n_resolved, 0) AS n_resolved, coalesce(n_unchanged, 0) AS n_unchanged
 FROM traj2 t LEFT JOIN dc ON t.user_id = dc.user_id LEFT JOIN ec ON t.user_id = ec.user_id""".replace("\n, dc AS", ", dc AS", 1))
 def e05(spark, sf_dir):
-    fb, dash, hist = all_derived(spark, sf_dir)
-    series = E.session_series(hist, dash)
+    fb = cut_lineage(feedback(spark, sf_dir).select("session_id", "user_id", "industry", "created_at", "review_id", "sentiment", "primary_category",
+                                                    "secondary_category", "urgency", "core_issue", "confidence"))
+    dash = dashboards(fb)
+    series = cut_lineage(E.session_series(history(dash), dash))
     drift = E.category_drift(series, D.category_breakdown(fb))
     emerging = E.emerging_issues(series, D.top_issues(fb, None))
     return E.trends(series, drift, emerging)
