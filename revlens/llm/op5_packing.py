@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -29,31 +31,53 @@ from pyspark.sql import DataFrame, Window, functions as F
 from revlens.llm.common import map_batches, texts, written
 
 CACHE = 400_000
-_latin = re.compile(rb"[A-Za-z]+\Z")
-_marked = re.compile(rb"([A-Za-z]+|(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,!?;:]+)\Z")
+#: Latin letters of one script block, whose case folding and composition never depend on neighbours
+_latin = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+\Z")
+_marked = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,!?;:]+)\Z")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte: itself where printable, else from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
 
 
 class WordIds(dict):
-    """word (bytes without white space) -> its ids as little-endian unsigned 32-bit bytes."""
+    """word (bytes without white space) -> its ids as little-endian unsigned 32-bit bytes.
+
+    A word of Latin letters is one piece of the vocabulary's pattern, so its merges are asked
+    of the model at once; marks at its end are a piece of their own; anything else goes
+    through the whole tokenizer.
+    """
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.model = self.tokenizer.model
 
     def __missing__(self, word: bytes) -> bytes:
         if m := _marked.match(word):
-            ids = self[m[1]] + self._ids(m[2])
-        elif _latin.match(word) and not word.islower():
-            ids = self[word.lower()]
+            ids = self[m[1]] + self[m[2]]
+        elif _latin.match(word):
+            low = word.decode("utf-8").lower().encode("utf-8")
+            if low != word:
+                ids = self[low]
+            else:
+                ids = _packed(t.id for t in self.model.tokenize(low.decode("latin-1").translate(_LETTERS)))
         else:
-            ids = self._ids(word)
+            ids = _packed(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids)
         if len(self) < CACHE and len(word) <= 64:
             self[word] = ids
         return ids
 
-    def _ids(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+
+def _packed(ids) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.array([*ids], "<u4").tobytes()
 
 
 @lru_cache(maxsize=1)

@@ -153,6 +153,17 @@ def test_fullest_is_the_best_subset(rng):
         assert sum(n * k for n, k in got) == best_sum(lengths, room)
 
 
+def test_word_ids_equal_the_tokenizer(rng):
+    known = op5_packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    letters = ["a", "B", "z", "é", "É", "ß", "ÿ", "Ö", "'", "s", "t", ".", ",", "!?", "1", "-", "漢", "e\u0301", "ſ", "İ", "µ", "×", "\x1c", "\u00a0", "😀"]
+    for _ in range(5000):
+        word = "".join(rng.choice(letters) for _ in range(rng.randint(1, 9)))
+        want = known.tokenizer.encode(word, add_special_tokens=False).ids
+        assert list(np.frombuffer(known[word.encode()], "<u4")) == want, word
+    text = " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(500))
+    assert list(np.frombuffer(b"".join(map(known.__getitem__, text.encode().split())), "<u4")) == known.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_round_trip(spark, rng):
     from tokenizers import Tokenizer
     path = public_tokenizers.path("word_bpe_49k.json")
