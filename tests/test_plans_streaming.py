@@ -53,3 +53,40 @@ def test_stream_dashboard_closed_windows(spark):
     assert out.count() > 0
     assert out.agg(F.max("window_end")).first()[0] <= wm
     assert out.agg(F.sum("total")).first()[0] < batch.count()   # the open window is held back
+
+
+def analyses(spark, rows):
+    return spark.createDataFrame(rows, "session_id string, user_id long, industry string, created_at timestamp, overall_score double, "
+                                       "positive_pct double, negative_pct double, critical_pct double, total_reviews long, top_category string")
+
+
+def test_benchmark_table_survives_a_repeated_batch(spark):
+    """A batch written again replaces itself; of a session's rows the newest by (created_at, batch) counts."""
+    import datetime as dt
+    d = lambda day: dt.datetime(2024, 1, day)
+    first = analyses(spark, [("a", 1, "X", d(1), 10.0, 1.0, 1.0, 1.0, 5, "c"), ("b", 2, "X", d(2), 20.0, 1.0, 1.0, 1.0, 5, "c")])
+    second = analyses(spark, [("a", 1, "X", d(3), 70.0, 1.0, 1.0, 1.0, 5, "c"), ("b", 2, "X", d(1), 90.0, 1.0, 1.0, 1.0, 5, "c")])
+    table = S.scratch_path(spark, "t-bench")
+    S.add_analyses(first, 0, table)
+    S.add_analyses(second, 1, table)
+    S.add_analyses(second, 1, table)  # a restart runs the batch again
+    got = {r.session_id: r.overall_score for r in S.read_analyses(spark, table).collect()}
+    assert got == {"a": 70.0, "b": 20.0}
+
+
+def test_alert_state_expires_by_event_time(spark):
+    """The second dashboard is too late to compare with the first, the third is not."""
+    import datetime as dt
+    d = lambda day: dt.datetime(2024, 1, day)
+    rows = [("a", 1, "X", d(1), 90.0, 1.0, 1.0, 1.0, 5, "c"), ("b", 1, "X", d(9), 50.0, 1.0, 1.0, 30.0, 5, "c"), ("c", 1, "X", d(10), 20.0, 1.0, 1.0, 1.0, 5, "c")]
+    path = S.scratch_path(spark, "t-alerts")
+    analyses(spark, rows).withColumn("top_issue", F.lit(None).cast("string")).write.parquet(path)
+    out = spark.read.parquet(S.run_to_table(S.stream_alerts(S.parquet_stream(spark, path), ttl_hours=48), "t-alerts-out"))
+    assert sorted((r.session_id, r.event, r.drop) for r in out.collect()) == [("b", "critical_spike", None), ("c", "sentiment_drop", 30.0)]
+
+
+def test_stream_clean_drops_noise_and_repeats(spark):
+    path = S.scratch_path(spark, "t-clean")
+    spark.createDataFrame([("s", "Fine  day"), ("s", "Fine day"), ("t", "Fine day"), ("s", "!!!!"), ("s", None)], "session_id string, text string").write.parquet(path)
+    out = spark.read.parquet(S.run_to_table(S.stream_clean(S.parquet_stream(spark, path)), "t-clean-out"))
+    assert sorted((r.session_id, r.text) for r in out.collect()) == [("s", "Fine day"), ("t", "Fine day")]

@@ -57,3 +57,28 @@ def test_themes_and_reconcile(spark):
     assert [r["count"] for r in t] == [9, 9]
     assert unique.count() == 2                     # category "Price" has < 4 reviews
     assert all(r.ok for r in I.reconcile(themes, unique, df).collect())
+
+
+def test_average_linkage_over_many_rounds(spark):
+    """Nested distances: one merge a round, more than twelve rounds, several tiles."""
+    n = 16
+    angles, at = [], 0.0
+    for i in range(n):
+        angles.append(at)
+        at += 0.004 * 1.35 ** i
+    vecs = [np.array([np.cos(a), np.sin(a)]) for a in angles]
+    df = spark.createDataFrame([("s", "c", "x", i, v.tolist()) for i, v in enumerate(vecs)],
+                               "session_id string, category string, sentiment string, item long, vec array<double>")
+    got = {r.item: r.cid for r in I.average_linkage(df, 0.45, block=6).collect()}
+    ref = I.average_linkage_reference(vecs, 0.45)
+    assert [got[i] for i in range(n)] == ref
+
+
+def test_stored_index_is_built_once(spark, tmp_path):
+    rows = [("1", None, "t", "late parcel", "ship earlier", "high", None, None, ["late"]), ("2", "A", "t", "rude staff", "train them", "high", "low", "long_term", None)]
+    s = spark.createDataFrame(rows, "id string, industry string, issue_type string, problem string, solution string, impact string, effort string, timeframe string, tags array<string>")
+    path = f"{tmp_path.as_posix()}/index"
+    built = H.stored_solution_index(s, H.letter_counts_encoder, path)
+    assert {(r.id, r.industry, r.effort, r.timeframe) for r in built.collect()} == {("1", "General", "medium", "short_term"), ("2", "A", "low", "long_term")}
+    assert H.stored_solution_index(s.limit(0), H.letter_counts_encoder, path).count() == 2
+    assert H.stored_solution_index(s.filter("id = '1'"), H.letter_counts_encoder, path, force=True).count() == 1
