@@ -43,6 +43,8 @@ SHINGLE = 5
 #: documents, and shingles, of a block that a task holds at once
 BLOCK = 1024
 TILE_SHINGLES = 2_000_000
+#: members of candidate groups (two longs each) up to this number go to all tasks to pick their texts
+BROADCAST_NODES = 500_000
 
 
 def _splitmix(x: np.ndarray) -> np.ndarray:
@@ -290,6 +292,8 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, id_col: str
     ends = buckets.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("bucket")
     members = written(buckets.join(ends, "bucket", "left_semi"), "buckets").join(nodes, "doc_id")
     groups = connected_components(candidate_groups(members, num, den), "x", "y").select(F.col("node").alias("doc_id"), F.col("component").alias("grp"))
+    if groups.count() <= BROADCAST_NODES:  # else a shuffle of all texts by id
+        groups = F.broadcast(groups)
     texts_ = body.join(groups, "doc_id").dropDuplicates(["doc_id"])
     found = links(texts_.join(nodes, "doc_id"), num, den)
 
