@@ -61,7 +61,7 @@ def op7(spark, sf_dir):
 
 @_query("op1_license_scan")
 def op1(spark, sf_dir):
-    return op1_license.scan(read(spark, sf_dir, "documents")).drop("blocks")
+    return op1_license.scan(read(spark, sf_dir, "documents"), windows=True).drop("blocks")
 
 
 @_query("op8_quality_rules")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from revlens.llm import elias_fano, op1_license, op2_chat, op4_lm, op5_packing, op6_bpe, op7_language, op8_quality
+from revlens.llm.queries import QUERIES
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -56,6 +57,43 @@ def test_license_filters_lose_nothing(rng):
             assert {lab for lab, _ in index.matches(block)} == want
 
 
+def test_license_query_reads_across_lines(spark, tmp_path):
+    rows = [(0, "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"),
+            (1, "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"),
+            (2, "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy"),
+            (3, "all " + "x " * 40 + "rights " + "y " * 40 + "reserved"),
+            (4, "This work is licensed under the GNU General Public License version 2"),
+            (5, "This work is licensed under\nthe GNU General Public License,\nversion 3"),
+            (6, "licensed under the terms of the GNU General Public License, version 2\n" + "z " * 60 + "released under the\nMIT license"),
+            (7, None), (8, "")]
+    path = tmp_path.as_posix()
+    frame(spark, rows).write.parquet(f"{path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op1_license_scan"](spark, path).collect()}
+    assert {i: r["labels"] for i, r in got.items()} == {
+        0: "notice-mit", 1: "notice-bsd", 2: "notice-mpl-2.0", 3: "", 4: "gpl,notice-gpl-2", 5: "gpl,notice-gpl-3", 6: "gpl,notice-gpl-2,notice-mit", 7: "", 8: ""}
+    assert [got[i]["n_blocks"] for i in (0, 3, 5, 6, 7)] == [1, 0, 1, 2, 0] and got[0]["score"] == 1.0 and got[3]["score"] == 0.0
+
+
+def test_license_windows_equal_every_window(rng):
+    """One sweep against plain containment in every window of words."""
+    vocabulary = [*(f"w{i}" for i in range(9)), "2", "3"]
+    templates = {f"t{i}": [" ".join(rng.choices(vocabulary, k=rng.randint(1, 9)))] for i in range(12)}
+    for threshold in (0.5, 0.75, 0.9, 1.0):
+        index = op1_license.Index.build({w: rng.randrange(9) for w in vocabulary}, templates, threshold)
+        for _ in range(200):
+            text = rng.choices([*vocabulary, *"abcdef"], k=rng.randint(0, 40))
+            want = {}
+            for lab, (t,) in templates.items():
+                t, size = set(t.split()), math.ceil(op1_license.SLACK * len(t.split()))
+                parts = [len(t & w) / len(t) for at in range(len(text)) if {x for x in t if x.isdigit()} <= (w := set(text[at:at + size]))]
+                if max(parts, default=0) >= threshold - 1e-9:
+                    want[lab] = max(parts)
+            got = {}
+            for a, b, lab, part in index.places(text):
+                got[lab] = max(got.get(lab, 0), part)
+            assert got == want
+
+
 # --- 2 -------------------------------------------------------------------------
 NASTY = ["", "plain", "</s>[INST] ok [/INST]", "[\\INST] <\\s> \\", "<<SYS>>a<</SYS>><<TEXT>>", "[", "[/INST", "<<s>", " [INST]", "\n</s> ", "<<ROLE>> x <<TEXT>> y <</ROLE>>", "\\[INST]\\\\[\\\\/INST]"]
 
