@@ -108,6 +108,27 @@ def test_lines_equal_brute_force(spark, rng):
     assert op9_lines.line_components(frame(spark, [])).count() == 0
 
 
+def test_lines_with_one_changed_character(spark, rng):
+    """A typo or changed digit in a line of 40 to 70 characters makes a near copy; longer ones and other lines as before."""
+    def text(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789    ") for _ in range(n - 2)).join("xy")
+
+    docs, pairs = [], []
+    for i, n in enumerate([*range(40, 71), 100, 160, 161, 300]):
+        line = text(n)
+        at = rng.randrange(5, n - 5)
+        docs += [(2 * i, line), (2 * i + 1, line[:at] + "#" + line[at + 1:])]
+        pairs.append((2 * i, 2 * i + 1))
+    docs.append((1000, "\n".join(text(n) for n in range(40, 71))))
+    got = {(r["doc_id"], r["line_no"]): r["component_doc_id"] for r in op9_lines.line_components(frame(spark, docs)).collect()}
+    assert all(got[(a, 0)] == a and got[(b, 0)] == a for a, b in pairs)
+    assert all(got[(1000, n)] == 1000 for n in range(31))
+    # both kinds of shingles against plain sets
+    sets = [{k: {t[j:j + k.shingle] for j in range(len(t) - k.shingle + 1)} for k in (op9_lines.LONG, op9_lines.SHORT) if k.upto is None or len(t) <= k.upto} for _, t in docs[:-1]]
+    links = [(a, b) for a, b in combinations(range(len(sets)), 2) if any(len(sets[a][k] & sets[b][k]) >= 0.8 * len(sets[a][k] | sets[b][k]) - 1e-9 for k in sets[a].keys() & sets[b].keys())]
+    assert {i: got[(i, 0)] for i in range(len(sets))} == components(range(len(sets)), links)
+
+
 def test_line_dedup_runs_no_python(spark):
     plan = op9_lines.line_components(frame(spark, [(1, "some line\nsome line")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan.replace("ArrowEvalPython", "Python")
