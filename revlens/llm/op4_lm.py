@@ -1,12 +1,14 @@
 r"""LM scoring with an Elias-Fano n-gram trie.
 
-A smoothed bigram model: with c the training counts, N tokens, V distinct tokens,
+A smoothed model of ``order`` 2 or 3: with c the training counts, N tokens, V distinct tokens,
 
     p1(w)     = (c(w) + 0.5) / (N + 0.5 (V + 1))
     p2(w | v) = ((1 - b) c(v w) + (m + b c(v)) p1(w)) / (c(v) + m)
+    p3(w | u v) = ((1 - b) c(u v w) + (m + b c(u v)) p2(w | v)) / (c(u v) + m)
 
-which sums to one over the V tokens and one unknown.  A pair that was seen has its
-log10 p2 quantised in the trie; an unseen one backs off to p1 with the context's weight.
+which sum to one over the V tokens and one unknown.  A pair (triple) that was seen has its
+log10 p2 (p3) quantised in the trie; an unseen one backs off to p1 (p2) with the context's
+weight.  A text's first token has one token before it and stays with p2.
 A text's tokens are its words and one end; its first word follows a begin mark.
 
 The corpus does not pass through one place.  Texts become blocks of about
@@ -17,7 +19,10 @@ more than a quarter of a shard is dealt further by the word that follows).  A sh
 counts its pairs over all blocks, builds the trie of its contexts (monotone pointers,
 successors relative to their context, quantised probabilities) as flat bytes,
 reads them in place, looks up all pairs by successor search and returns to each
-block the sums of its documents.  So a text's pairs are scored where their contexts' level lies, and
+block the sums of its documents.  3. At order 3 it returns the counts of the block's pairs too.
+A block then sends its triples with a seen context, likewise, to shards by both words of the
+context, with the context's count and p2; these shards build their level and return the
+sums of log10 p3 - log10 p2.  So a text's pairs are scored where their contexts' level lies, and
 memory per task depends on block and shard size only.
 
 Cases: null text is empty (the end token alone); null ids are scored and never trained on; rows that
@@ -72,6 +77,9 @@ SCORED = "doc_id long, n_tokens long, n_known long, train_tokens long, base_scor
 BLOCKS = "block long, doc_ids array<long>, flags binary, tokens binary, words array<binary>, counts binary"
 
 
+PARTS = "block long, shard long, pairs binary, sums binary, base binary, doc_ids array<long>"
+
+
 class _Numbers(dict):
     def __missing__(self, word):
         n = self[word] = len(self)
@@ -194,12 +202,34 @@ def number_words(found: DataFrame, shards: int) -> DataFrame:
     return sent.mapInArrow(count, "block long, places binary, ids binary, counts binary, n long, v long")
 
 
+def _deal(a: np.ndarray, b: np.ndarray, fan: np.ndarray, shards: int) -> np.ndarray:
+    """Shards of contexts ``a``, each dealt further to ``fan`` of them by the word ``b``."""
+    return (_mix(a.astype(np.uint64) * np.uint64(2654435761) + b.astype(np.uint64) % fan.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+
+
+def _whole(part: list[tuple]) -> tuple:
+    """A block from its rows: ids of its documents, training flags, sizes, tokens, ids and counts of its words, document and token before of each token."""
+    doc_ids, flags, toks, n_words = next(r[:4] for r in part if r[0] is not None)
+    train, sizes = load(flags)
+    token = load(toks)[0]
+    ids, counts = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
+    for r in part:
+        if r[4] is not None:
+            at = load(r[4])[0]
+            ids[at], counts[at] = load(r[5])[0], load(r[6])[0]
+    before = np.concatenate(([0], token[:-1])).astype(np.int64)
+    before[np.cumsum(sizes) - sizes] = 0
+    return doc_ids, train, sizes, token, ids, counts, np.repeat(np.arange(len(sizes)), sizes), before
+
+
 def scores(docs: DataFrame, train: str = "train", b: float = 0.7, m: float = 1.0, block_tokens: int = 2_000_000,
-           shard_tokens: int = 1_500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+           shard_tokens: int = 1_500_000, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     ``train`` names the boolean column of the rows to learn from.
     """
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        (F.coalesce(F.col(train), F.lit(False)) & F.col(id_col).isNotNull()).alias("train"))
     found = written(blocks(rows, block_tokens), "lm-blocks")
@@ -217,27 +247,15 @@ def scores(docs: DataFrame, train: str = "train", b: float = 0.7, m: float = 1.0
         schema = pa_schema("shard long, block long, message binary, base binary, doc_ids array<long>")
         held = None
         for block, part in _groups(batches, "block", ["doc_ids", "flags", "tokens", "n_words", "places", "ids", "counts"]):
-            doc_ids, flags, toks, n_words = next(r[:4] for r in part if r[0] is not None)
-            train_, sizes = load(flags)
-            token = load(toks)[0]
-            ids, counts = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
-            for r in part:
-                if r[0] is None:
-                    at = load(r[4])[0]
-                    ids[at], counts[at] = load(r[5])[0], load(r[6])[0]
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            starts = np.cumsum(sizes) - sizes
+            doc_ids, train_, sizes, token, ids, counts, doc, before = _whole(part)
             base = np.bincount(doc, weights=np.log10((counts[token] + 0.5) / below), minlength=len(sizes))
             known = np.bincount(doc, weights=counts[token] > 0, minlength=len(sizes)).astype(np.int64)
-            before = np.concatenate(([0], token[:-1])).astype(np.int64)
-            before[starts] = 0
             # pairs in ascending (context, word, document)
             rank = np.argsort(np.argsort(ids))  # block numbers in the order of the global ids
             by_rank = np.argsort(ids)
             v, w = rank[before], rank[token]
             fan = 1 + counts[by_rank] // hot
-            shard = (_mix(ids[by_rank][v].astype(np.uint64) * np.uint64(2654435761) + ids[by_rank][w].astype(np.uint64) % fan[v].astype(np.uint64))
-                     % np.uint64(shards)).astype(np.int64)
+            shard = _deal(ids[by_rank][v], ids[by_rank][w], fan[v], shards)
             shard, v, w, doc = _sorted_columns(shard, v, w, doc)
             cuts = np.searchsorted(shard, np.arange(shards + 1))
             home = int(_mix(np.array([block], np.uint64))[0] % np.uint64(shards))
@@ -257,8 +275,8 @@ def scores(docs: DataFrame, train: str = "train", b: float = 0.7, m: float = 1.0
                                                   "doc_ids": [doc_ids if held else None]}, schema=schema)
 
     def score(batches):
-        schema = pa_schema("block long, sums binary, base binary, doc_ids array<long>")
-        for _, rows_ in _groups(batches, "shard", ["block", "message", "base", "doc_ids"]):
+        schema = pa_schema(PARTS)
+        for s, rows_ in _groups(batches, "shard", ["block", "message", "base", "doc_ids"]):
             got = []
             for block, message, *_ in rows_:
                 ids, counts, a, c, times, d, train_ = load(message)
@@ -291,8 +309,69 @@ def scores(docs: DataFrame, train: str = "train", b: float = 0.7, m: float = 1.0
                 at += len(a)
                 sums = np.bincount(d, weights=own, minlength=len(train_))
                 at_docs = np.flatnonzero(np.bincount(d, minlength=len(train_)))
-                yield pa.RecordBatch.from_pydict({"block": [block], "sums": [dump(np.diff(at_docs, prepend=0), sums[at_docs])], "base": [base], "doc_ids": [doc_ids]},
-                                                 schema=schema)
+                pairs = dump(seen[back[at - len(a):at]].astype(np.int64)) if order > 2 else None
+                yield pa.RecordBatch.from_pydict({"block": [block], "shard": [s], "pairs": [pairs], "sums": [dump(np.diff(at_docs, prepend=0), sums[at_docs])], "base": [base],
+                                                  "doc_ids": [doc_ids]}, schema=schema)
+
+    def send_triples(batches):
+        schema = pa_schema("shard long, block long, message binary")
+        for block, part in _groups(batches, "block", ["doc_ids", "flags", "tokens", "n_words", "places", "ids", "counts", "shard", "pairs"]):
+            _, train_, sizes, token, ids, counts, doc, before = _whole(part)
+            # counts of the pairs, in the order in which they went out
+            rank = np.argsort(np.argsort(ids))
+            shard = _deal(ids[before], ids[token], 1 + counts[before] // hot, shards)
+            pair = np.unique((shard * len(ids) + rank[before]) * len(ids) + rank[token], return_inverse=True)[1]
+            n = np.concatenate([load(r[8])[0] for r in sorted((r for r in part if r[8] is not None), key=lambda r: r[7])])[pair]
+            p2 = ((1 - b) * n + (m + b * counts[before]) * (counts[token] + 0.5) / below) / (counts[before] + m)
+            first = np.zeros(len(token), bool)
+            first[np.cumsum(sizes) - sizes] = True
+            context = np.concatenate(([0], n[:-1]))
+            on = np.flatnonzero(~first & (context > 0))
+            u, v, w, context = before[on - 1], before[on], token[on].astype(np.int64), context[on]
+            shard = _deal(_mix(ids[u].astype(np.uint64)) ^ ids[v].astype(np.uint64), ids[w], 1 + context // hot, shards)
+            sort = np.lexsort((doc[on], rank[w], rank[v], rank[u], shard))
+            shard, u, v, w, context, d, q = (x[sort] for x in (shard, u, v, w, context, doc[on], p2[on].astype(np.float32)))
+            cuts = np.searchsorted(shard, np.arange(shards + 1))
+            for s in range(shards):
+                lo, hi = cuts[s], cuts[s + 1]
+                if lo == hi:
+                    continue
+                new = np.ones(hi - lo, bool)
+                new[1:] = (u[lo + 1:hi] != u[lo:hi - 1]) | (v[lo + 1:hi] != v[lo:hi - 1]) | (w[lo + 1:hi] != w[lo:hi - 1])
+                at = np.flatnonzero(new)
+                words = [ids[x[lo:hi][at]] for x in (u, v, w)]
+                used = np.unique(np.concatenate(words))
+                message = dump(np.diff(used, prepend=0), *[np.searchsorted(used, x).astype(np.int32) for x in words], context[lo:hi][at], q[lo:hi][at],
+                               np.diff(at, append=hi - lo).astype(np.int32), d[lo:hi].astype(np.int32), train_)
+                yield pa.RecordBatch.from_pydict({"shard": [s], "block": [block], "message": [message]}, schema=schema)
+
+    def score_triples(batches):
+        schema = pa_schema(PARTS)
+        for s, rows_ in _groups(batches, "shard", ["block", "message"]):
+            got = [load(message) for _, message in rows_]
+            got = [(np.cumsum(g[0]), *g[1:]) for g in got]
+            words = np.unique(np.concatenate([g[0] for g in got]))
+            u, v, w = (np.concatenate([np.searchsorted(words, g[0])[g[k]] for g in got]) for k in (1, 2, 3))
+            heads, head = np.unique(u * len(words) + v, return_inverse=True)
+            every, one, back = np.unique(head * len(words) + w, return_index=True, return_inverse=True)
+            upto = [np.concatenate(([0], np.cumsum(train_[d], dtype=np.int64))) for *_, d, train_ in got]
+            stop = [np.cumsum(g[6]) for g in got]
+            seen = np.bincount(back, weights=np.concatenate([x[e] - x[e - g[6]] for x, e, g in zip(upto, stop, got)]), minlength=len(every))
+            context, p2 = (np.concatenate([g[k] for g in got])[one].astype(np.float64) for k in (4, 5))
+            head, w = head[one], w[one]
+            on = np.flatnonzero(seen > 0)
+            p3 = ((1 - b) * seen[on] + (m + b * context[on]) * p2[on]) / (context[on] + m)
+            numbers = np.arange(max(len(heads), len(words)))
+            level = Trie.build(head[on], w[on], np.log10(p3), len(numbers))
+            value, known = Trie.from_buffer(np.frombuffer(level.to_bytes(), np.uint8)).lookup(numbers, head, w)
+            more = np.where(known, value - np.log10(p2), np.log10(weight(context)))
+            at = 0
+            for (block, _), (*_, times, d, train_) in zip(rows_, got):
+                sums = np.bincount(d, weights=np.repeat(more[back[at:at + len(times)]], times), minlength=len(train_))
+                at += len(times)
+                at_docs = np.flatnonzero(np.bincount(d, minlength=len(train_)))
+                yield pa.RecordBatch.from_pydict({"block": [block], "shard": [s], "pairs": [None], "sums": [dump(np.diff(at_docs, prepend=0), sums[at_docs])], "base": [None],
+                                                  "doc_ids": [None]}, schema=schema)
 
     def total_up(batches):
         schema = pa_schema(SCORED)
@@ -312,7 +391,14 @@ def scores(docs: DataFrame, train: str = "train", b: float = 0.7, m: float = 1.0
     meet = whole.unionByName(side).repartition("block").sortWithinPartitions("block")
     sent = meet.mapInArrow(send, "shard long, block long, message binary, base binary, doc_ids array<long>")
     sent = sent.repartition(shards, "shard").sortWithinPartitions("shard", "block")
-    parts = sent.mapInArrow(score, "block long, sums binary, base binary, doc_ids array<long>")
+    parts = sent.mapInArrow(score, PARTS)
+    if order > 2:
+        parts = written(parts, "lm-pairs")
+        told = whole.unionByName(side).unionByName(parts.where("pairs IS NOT NULL").select("block", "shard", "pairs"), allowMissingColumns=True)
+        sent = told.repartition("block").sortWithinPartitions("block").mapInArrow(send_triples, "shard long, block long, message binary")
+        sent = sent.repartition(shards, "shard").sortWithinPartitions("shard", "block")
+        parts = parts.unionByName(sent.mapInArrow(score_triples, PARTS))
+    parts = parts.select("block", "sums", "base", "doc_ids")
     return parts.repartition("block").sortWithinPartitions("block").mapInArrow(total_up, SCORED)
 
 

@@ -127,5 +127,5 @@ def op9(spark, sf_dir):
 @_query("op4_lm_score")
 def op4(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", (~op4_lm.held_out()).alias("train"))
-    found = op4_lm.scores(docs)
+    found = op4_lm.scores(docs, order=3)
     return found.select("doc_id", op4_lm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -174,6 +174,31 @@ def test_lm_scores_equal_plain_model(spark, rng):
     assert (untrained["train_tokens"], untrained["n_known"], untrained["base_score"]) == (0, 0, 0.0)
 
 
+def test_lm_scores_of_order_3_equal_plain_model(spark, rng):
+    rows = ODD + [(i, " ".join(f"w{rng.randrange(12)}" for _ in range(rng.randint(1, 120)))) for i in range(20, 80)] + [(80, "the " * 3000)]
+    df = frame(spark, rows).withColumn("train", F.col("doc_id") % 5 != 1)
+    toks = [[*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), b"\n"] for _, t in rows]
+    fit = [[b"\r", *t] for (i, _), t in zip(rows, toks) if i is not None and i % 5 != 1]
+    c, c2, c3 = (Counter(x for t in fit for x in zip(*(t[k:] for k in range(n)))) for n in (1, 2, 3))
+    d = sum(c.values()) - len(fit) + 0.5 * len(c)  # the begin mark is in c
+
+    def p(*w):
+        if len(w) == 1:
+            return (c[w] + 0.5) / d
+        up, at = ({2: c, 3: c2}[len(w)][w[:-1]], {2: c2, 3: c3}[len(w)][w])
+        return (0.3 * at + (1 + 0.7 * up) * p(*w[1:])) / (up + 1)
+
+    for sizes in ({"block_tokens": 500, "shard_tokens": 400}, {}):
+        got = sorted(op4_lm.scores(df, order=3, **sizes).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"]))
+        want = sorted(zip(rows, toks), key=lambda r: (r[0][0] is None, r[0][0] or 0, len(r[1])))
+        assert len(got) == len(rows)
+        for r, ((doc_id, _), t) in zip(got, want):
+            t = [b"\r", *t]
+            score = sum(math.log10(p(*t[max(0, i - 2):i + 1])) for i in range(1, len(t)))
+            assert r["doc_id"] == doc_id and abs(r["score"] - score) <= len(t) * elias_fano.STEP
+    assert op4_lm.scores(df.limit(0), order=3).count() == 0
+
+
 # --- 5 -------------------------------------------------------------------------
 def best_sum(lengths, room):
     reach = {0}
