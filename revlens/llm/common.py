@@ -80,6 +80,15 @@ def texts(column: pa.Array) -> Iterator[str]:
         yield v.as_py() or ""
 
 
+#: A-Z to a-z; every ASCII byte that is no letter or digit to a blank; bytes of longer characters stay.
+FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+
+
+def byte_words(text: bytes | None) -> list[bytes]:
+    """The words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of a UTF-8 text after lower-casing A-Z; none for null."""
+    return text.translate(FOLD).split() if text else []
+
+
 def crc_fold(id_col: str, folds: int) -> F.Column:
     """crc32(id as text) mod ``folds``."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
