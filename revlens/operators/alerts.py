@@ -9,9 +9,10 @@ structs per session, exploded once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revlens.functions.scan import segmented
 from revlens.types import ALERT_EVENTS, CRITICAL_SPIKE_PCT, SENTIMENT_DROP_POINTS
 
 _EVENT = "struct<event:string,critical_count:bigint,critical_pct:double,threshold:double," \
@@ -32,8 +33,8 @@ def alerts(history: DataFrame, dashboards: DataFrame, live: DataFrame | None = N
 
     ``dashboards`` needs session_id, critical_count, critical_pct, overall_score, top_issue.
     """
-    w = Window.partitionBy("user_id").orderBy("created_at", "session_id")
-    h = history.select("user_id", "session_id", F.lag("session_id").over(w).alias("prev_session_id"))
+    h = segmented(history.select("user_id", "session_id", "created_at"), ["user_id"], ["created_at", "session_id"],
+                  before={"prev_session_id": "session_id"}).drop("created_at")
     d = dashboards.select("session_id", "critical_count", "critical_pct", "overall_score", "top_issue")
     prev = d if live is None else d.join(live.select("session_id"), "session_id", "left_semi")
     prev = prev.select(F.col("session_id").alias("prev_session_id"),

@@ -7,10 +7,11 @@ an upsert is one full outer join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions.exprs import first_n_per_group, ranked
+from revlens.functions.scan import segmented
 from revlens.types import SESSION_TTL_HOURS
 
 
@@ -26,11 +27,9 @@ def history_from_dashboards(dash: DataFrame) -> DataFrame:
 
 def latest_history(history: DataFrame, n: int | None = None) -> DataFrame:
     """Entries per user, newest first (``pos`` 1); the newest ``n`` where a caller asks for that."""
-    order = [F.col("created_at").desc(), F.col("session_id").desc()]
     if n is None:
-        w = Window.partitionBy("user_id").orderBy(*order)
-        return history.withColumn("pos", F.row_number().over(w))
-    return first_n_per_group(history, ["user_id"], order, n, "pos")
+        return segmented(history, ["user_id"], ["created_at", "session_id"], position="pos", descending=True)
+    return first_n_per_group(history, ["user_id"], [F.col("created_at").desc(), F.col("session_id").desc()], n, "pos")
 
 
 def _as_ts(c: Column, is_string: bool) -> Column:

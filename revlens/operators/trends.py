@@ -6,9 +6,10 @@ caller asks for that; a user's points stay rows of the series.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revlens.functions.scan import segmented
 from revlens.operators.sessions import latest_history
 
 
@@ -19,15 +20,12 @@ def session_series(history: DataFrame, dashboards: DataFrame, live: DataFrame |
     ``overall_score`` comes from the history entry, percentages from the dashboard.
     Adds ``seq`` (1 = oldest) and ``n_sessions`` per user.
     """
-    h = latest_history(history, keep).drop("pos")
+    h = history if keep is None else latest_history(history, keep).drop("pos")
     if live is not None:
         h = h.join(live.select("session_id"), "session_id", "left_semi")
     d = dashboards.select("session_id", "positive_pct", "negative_pct", "neutral_pct",
                           "critical_count", "critical_pct", "top_category")
-    s = h.join(d, "session_id")
-    w = Window.partitionBy("user_id").orderBy("created_at", "session_id")
-    return (s.withColumn("seq", F.row_number().over(w))
-             .withColumn("n_sessions", F.count(F.lit(1)).over(Window.partitionBy("user_id"))))
+    return segmented(h.join(d, "session_id"), ["user_id"], ["created_at", "session_id"], position="seq", total="n_sessions")
 
 
 def sentiment_trajectory(series: DataFrame) -> DataFrame:
