@@ -3,28 +3,36 @@
 
 For unit vectors the mean pairwise cosine distance of clusters A and B is
 ``1 - (S_A / n_A) . (S_B / n_B)`` with S the sum of member unit vectors, so a
-cluster is just (sum vector, size).  Average linkage is reducible, so merging
-every reciprocal-nearest-neighbour pair below the threshold in a round gives
-the same clusters as merging one pair at a time.  Each round:
-
-* clusters of a group are dealt to bounded blocks and every two blocks meet
-  in a tile of their own (the shuffle key), so one large group spreads over
-  many tasks; one matrix product per tile yields each cluster's best partner
-  in it (no cluster-pair rows are emitted);
-* a min per cluster gives its nearest neighbour; mutual pairs below the
-  threshold merge (id = smaller id, sums added);
-* state is written to the shared folder.
+cluster is just (sum vector, size).  Average linkage is reducible: a merged
+cluster is no nearer to a third one than the nearer of its parts.  So
+
+* merging every reciprocal-nearest-neighbour pair below the threshold in a round
+  gives the same clusters as merging one pair at a time;
+* a cluster keeps its nearest neighbour until that one merges, so only merged
+  clusters and those whose neighbour merged look again;
+* a cluster whose nearest neighbour is at the threshold or beyond is final, for
+  itself and for all others, and leaves the table.
+
+A round therefore compares the few clusters that look again with the clusters
+still open in their group.  Both are dealt to bounded blocks by hash, every two
+blocks meet in a tile (the shuffle key) and one matrix product yields each
+asker's best partner in it; no cluster pairs are emitted and a large group
+spreads over many tasks.  The table is written to the shared folder each round;
+the merges it records are followed to their ends at the end.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions.exprs import ranked
-from revlens.functions.tiles import self_tiles, tile_groups
+from revlens.functions.tiles import dealt, tile_groups
 from revlens.session import cut_lineage
 from revlens.types import (CLUSTER_DISTANCE_THRESHOLD, MIN_CATEGORY_SIZE_FOR_THEMES, MIN_REVIEWS_FOR_THEMES,
                            MIN_THEME_SIZE)
@@ -38,63 +46,112 @@ def _unit(c):
 
 
 def _nearest(clusters: DataFrame, block: int) -> DataFrame:
-    """GROUP + cid -> (nn, dist): nearest other cluster of the same group (ties: smaller id)."""
-    tiles, tile = self_tiles(clusters, GROUP, "cid", block)
+    """GROUP + cid -> (nn, dist) of the clusters that ask (``_asks``): nearest other cluster of the same group (ties: smaller id)."""
+    fan = clusters.groupBy(*GROUP).agg(F.ceil(F.count_if("_asks") / block).alias("_fa"), F.ceil(F.count(F.lit(1)) / block).alias("_fc")).filter("_fa > 0")
+    d = clusters.join(fan, GROUP)
+
+    def places(mine: str, others: str, right: bool):
+        own = F.expr(f"pmod(xxhash64(cid), {mine})")
+        each = F.sequence(F.lit(0).cast("long"), F.col(others) - 1)
+        i, j = (lambda o: o, lambda o: own) if right else (lambda o: own, lambda o: o)
+        return F.transform(each, lambda o: F.struct(i(o).alias("_i"), j(o).alias("_j"), F.lit(right).alias("_right")))
+
+    none = F.array().cast("array<struct<_i:bigint,_j:bigint,_right:boolean>>")
+    at = F.concat(places("_fc", "_fa", True), F.when(F.col("_asks"), places("_fa", "_fc", False)).otherwise(none))
+    tile = [*GROUP, "_i", "_j"]
+    tiles = dealt(d.select(*GROUP, "cid", "n", "s", F.inline(at)), tile)
     types = dict(clusters.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in GROUP) + ", cid long, nn long, dist double"
 
     def run(batches):
         for g in tile_groups(batches, tile):
             head = g.iloc[0]
-            same = head["_i"] == head["_j"]
-            sides = [g if same else g[~g["_right"]], g if same else g[g["_right"]]]
+            sides = [g[~g["_right"]], g[g["_right"]]]
             if min(map(len, sides)) == 0:
                 continue
             (aid, am), (bid, bm) = [(x["cid"].to_numpy(), np.stack(x["s"].to_list()) / x["n"].to_numpy()[:, None]) for x in sides]
             d = 1.0 - am @ bm.T
-            if same:
-                np.fill_diagonal(d, np.inf)
-            for src, dst, mat in [(aid, bid, d)] + ([] if same else [(bid, aid, d.T)]):
-                best = mat.min(axis=1)
-                nn = np.where(mat == best[:, None], dst[None, :], np.iinfo(np.int64).max).min(axis=1)
-                ok = np.isfinite(best)
-                out = pd.DataFrame({"cid": src[ok], "nn": nn[ok], "dist": best[ok]})
-                for k in GROUP:
-                    out.insert(0, k, head[k])
-                yield out[[*GROUP, "cid", "nn", "dist"]]
+            d[aid[:, None] == bid[None, :]] = np.inf
+            best = d.min(axis=1)
+            nn = np.where(d == best[:, None], bid[None, :], np.iinfo(np.int64).max).min(axis=1)
+            ok = np.isfinite(best)
+            out = pd.DataFrame({"cid": aid[ok], "nn": nn[ok], "dist": best[ok]})
+            for k in GROUP:
+                out.insert(0, k, head[k])
+            yield out[[*GROUP, "cid", "nn", "dist"]]
 
     found = tiles.mapInPandas(run, schema)
     best = found.groupBy(*GROUP, "cid").agg(F.min(F.struct("dist", "nn")).alias("m"))
     return best.select(*GROUP, "cid", "m.nn", "m.dist")
 
 
-def average_linkage(items: DataFrame, threshold: float = CLUSTER_DISTANCE_THRESHOLD, block: int = 1024) -> DataFrame:
+def _merged(state: DataFrame) -> DataFrame:
+    """The clusters after one round: reciprocal neighbours merge; ``nn`` is null for clusters that look again.
+
+    ``gone`` names the cluster that a merged one took in.
+    """
+    link = state.select(*GROUP, "cid", "nn")
+    back = link.select(*GROUP, F.col("nn").alias("cid"), F.col("cid").alias("nn"), F.lit(True).alias("_mutual"))
+    seen = state.join(back, [*GROUP, "cid", "nn"], "left").withColumn("_mutual", F.coalesce("_mutual", F.lit(False)))
+    merging = seen.filter("_mutual")
+    keep, gone = merging.filter("cid < nn"), merging.filter("cid > nn")
+    sums = gone.select(*GROUP, F.col("nn").alias("cid"), F.col("cid").alias("gone"), F.col("n").alias("_n"), F.col("s").alias("_s"))
+    out = keep.drop("gone").join(sums, [*GROUP, "cid"]).select(
+        *GROUP, "cid", (F.col("n") + F.col("_n")).alias("n"), F.zip_with("s", "_s", lambda p, q: p + q).alias("s"),
+        F.lit(None).cast("long").alias("nn"), F.lit(None).cast("double").alias("dist"), "gone")
+    lost = merging.select(*GROUP, F.col("cid").alias("nn"), F.lit(True).alias("_lost"))
+    rest = seen.filter("NOT _mutual").join(lost, [*GROUP, "nn"], "left")
+    rest = rest.select(*GROUP, "cid", "n", "s", F.when(F.col("_lost").isNull(), F.col("nn")).alias("nn"),
+                       F.when(F.col("_lost").isNull(), F.col("dist")).alias("dist"), F.lit(None).cast("long").alias("gone"))
+    return out.unionByName(rest)
+
+
+def average_linkage(items: DataFrame, threshold: float = CLUSTER_DISTANCE_THRESHOLD, block: int = 1024,
+                    watch: Callable[[int, int], None] | None = None) -> DataFrame:
     """Final cluster id per item.
 
     ``items``: GROUP keys + ``item`` (long, unique in its group) + ``vec`` (array).  Zero vectors stay singletons.
-    Returns GROUP + item + cid (the cluster's smallest item).
+    Returns GROUP + item + cid (the cluster's smallest item).  ``watch`` is told of each round
+    how many clusters look again and how many are open.
     """
-    own = [*GROUP, "cid"]
     it = items.withColumn("u", _unit(F.col("vec")))
-    members = cut_lineage(it.select(*GROUP, "item", F.col("item").alias("cid")))
-    live = cut_lineage(it.filter(F.col("u").isNotNull()).select(*GROUP, F.col("item").alias("cid"),
-                                                                F.lit(1).cast("long").alias("n"), F.col("u").alias("s")))
-    while True:  # every round merges at least the closest pair, or ends
-        nn = cut_lineage(_nearest(live, block))
-        back = nn.select(*GROUP, F.col("cid").alias("nn"), F.col("nn").alias("cid"))
-        mutual = cut_lineage(nn.join(back, [*GROUP, "cid", "nn"]).filter((F.col("cid") < F.col("nn")) & (F.col("dist") < threshold))
-                             .select(*GROUP, F.col("cid").alias("keep"), F.col("nn").alias("gone")))
-        if mutual.isEmpty():
-            return members
-        ka = live.select(*GROUP, F.col("cid").alias("keep"), F.col("n").alias("na"), F.col("s").alias("sa"))
-        kb = live.select(*GROUP, F.col("cid").alias("gone"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-        merged = mutual.join(ka, [*GROUP, "keep"]).join(kb, [*GROUP, "gone"]).select(
-            *GROUP, F.col("keep").alias("cid"), (F.col("na") + F.col("nb")).alias("n"),
-            F.zip_with("sa", "sb", lambda p, q: p + q).alias("s"))
-        touched = mutual.select(*GROUP, F.col("keep").alias("cid")).unionByName(mutual.select(*GROUP, F.col("gone").alias("cid")))
-        live = cut_lineage(live.join(touched, own, "left_anti").unionByName(merged))
-        remap = mutual.select(*GROUP, F.col("gone").alias("cid"), F.col("keep").alias("new_cid"))
-        members = cut_lineage(members.join(remap, own, "left").select(*GROUP, "item", F.coalesce("new_cid", "cid").alias("cid")))
+    open_ = cut_lineage(it.filter(F.col("u").isNotNull()).select(
+        *GROUP, F.col("item").alias("cid"), F.lit(1).cast("long").alias("n"), F.col("u").alias("s"),
+        F.lit(None).cast("long").alias("nn"), F.lit(None).cast("double").alias("dist"), F.lit(None).cast("long").alias("gone")))
+    merges, fresh = [], True
+    while True:
+        if watch is not None:
+            watch(open_.filter("nn IS NULL").count(), open_.count())
+        found = _nearest(open_.withColumn("_asks", F.col("nn").isNull()), block)
+        found = found.withColumnRenamed("nn", "_nn").withColumnRenamed("dist", "_dist")
+        state = cut_lineage(open_.join(found, [*GROUP, "cid"], "left").select(
+            *GROUP, "cid", "n", "s", F.coalesce("nn", "_nn").alias("nn"), F.coalesce("dist", "_dist").alias("dist")).filter(F.col("dist") < threshold))
+        if state.isEmpty():
+            break
+        open_ = cut_lineage(_merged(state))
+        step = open_.filter("gone IS NOT NULL")
+        if step.isEmpty():
+            # without a merge and with all neighbours just looked up none is left below the threshold;
+            # kept ones can differ from it by rounding alone, so look all up once more
+            if fresh:
+                break
+            open_, fresh = state.select("*", F.lit(None).cast("long").alias("gone")).withColumns(
+                {"nn": F.lit(None).cast("long"), "dist": F.lit(None).cast("double")}), True
+            continue
+        merges.append(step.select(*GROUP, "gone", F.col("cid").alias("keep")))
+        fresh = False
+    members = items.select(*GROUP, "item", F.col("item").alias("cid"))
+    if not merges:
+        return members
+    log = merges[0]
+    for m in merges[1:]:
+        log = log.unionByName(m)
+    log = cut_lineage(log)  # gone -> keep, each cluster gone once
+    for _ in range(math.ceil(math.log2(len(merges)))):  # a chain has a merge per round at most; every step doubles how far one points
+        onward = log.select(*GROUP, F.col("gone").alias("keep"), F.col("keep").alias("_to"))
+        log = cut_lineage(log.join(onward, [*GROUP, "keep"], "left").select(*GROUP, "gone", F.coalesce("_to", "keep").alias("keep")))
+    return cut_lineage(members.join(log.withColumnRenamed("gone", "cid"), [*GROUP, "cid"], "left")
+                       .select(*GROUP, "item", F.coalesce("keep", "cid").alias("cid")))
 
 
 def theme_inputs(results: DataFrame) -> DataFrame:

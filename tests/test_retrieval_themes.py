@@ -74,6 +74,30 @@ def test_average_linkage_over_many_rounds(spark):
     assert [got[i] for i in range(n)] == ref
 
 
+def test_linkage_looks_again_only_where_something_merged(spark):
+    """Tight and loose groups, a zero vector, ties; clusters that look again fall with the merges."""
+    rng = np.random.default_rng(9)
+    vecs, rows = {}, []
+    for g in range(3):
+        centers = rng.normal(size=(14, 12))
+        for i in range(80):
+            v = centers[i % 14] + (0.1 + 0.25 * (i % 3)) * rng.normal(size=12)
+            if i in (40, 41):
+                v = vecs[(g, 3)]  # copies
+            vecs[(g, i)] = v
+            rows.append(("s", f"c{g}", "x", i, v.tolist()))
+    rows.append(("s", "c0", "x", 999, [0.0] * 12))
+    df = spark.createDataFrame(rows, "session_id string, category string, sentiment string, item long, vec array<double>").repartition(5)
+    rounds = []
+    got = {(r.category, r.item): r.cid for r in I.average_linkage(df, 0.6, block=17, watch=lambda again, open_: rounds.append((again, open_))).collect()}
+    assert got.pop(("c0", 999)) == 999
+    for g in range(3):
+        assert [got[(f"c{g}", i)] for i in range(80)] == I.average_linkage_reference([vecs[(g, i)] for i in range(80)], 0.6)
+    assert rounds[0] == (240, 240) and rounds[1][0] < rounds[1][1] < 240 and all(a <= o for a, o in rounds)
+    assert sum(a for a, _ in rounds) < 0.5 * 240 * len(rounds)
+    assert [o for _, o in rounds] == sorted((o for _, o in rounds), reverse=True)
+
+
 def test_stored_index_is_built_once(spark, tmp_path):
     rows = [("1", None, "t", "late parcel", "ship earlier", "high", None, None, ["late"]), ("2", "A", "t", "rude staff", "train them", "high", "low", "long_term", None)]
     s = spark.createDataFrame(rows, "id string, industry string, issue_type string, problem string, solution string, impact string, effort string, timeframe string, tags array<string>")
