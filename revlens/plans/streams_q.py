@@ -12,6 +12,8 @@ from revlens.plans.cleaning import LINES_SQL
 from revlens.plans.derived import all_derived
 from revlens.plans.histories import ALERTS_SQL, SQL as HIST_SQL
 from revlens.plans.industry import ROLLUP_COLS, ROLLUP_SQL, SQL as IND_SQL
+from revlens.session import cut_lineage
+from revlens.sources.tables import read_table
 from revlens.streaming import streams as S
 from revlens.types import EMOTIONS
 
@@ -98,28 +100,74 @@ def s04(spark, sf_dir):
     return spark.read.parquet(S.run_to_table(S.stream_clean(lines.select("session_id", "text")), "clean"))
 
 
-def _dashboard_files(spark, sf_dir):
-    """Finished dashboards written as files, the input of the alert and benchmark streams."""
+DAYS, KEEP_HOURS = 8, 30
+LATE_ARRIVAL = "row_ord % 11 = 0 AND row_ord % 8 >= 2"
+
+
+@register("s04_stream_clean_watermark", "WITH " + LINES_SQL + f"""
+, days AS (SELECT DISTINCT session_id, text, row_ord % {DAYS} AS day FROM flagged WHERE NOT noise AND NOT ({LATE_ARRIVAL})),
+firsts AS (SELECT session_id, text, min(day) AS day FROM days GROUP BY 1, 2)
+SELECT session_id, text, CAST(day AS INTEGER) AS day FROM firsts
+UNION ALL
+SELECT d.session_id, d.text, CAST(min(d.day) AS INTEGER) FROM days d JOIN firsts f ON f.session_id = d.session_id AND f.text = d.text AND d.day >= f.day + 5
+GROUP BY 1, 2""".replace("\n, days", ", days", 1))
+def s04_watermark(spark, sf_dir):
+    """Bounded state: a text is remembered for 30 hours of event time.
+
+    Documents arrive in a file a day.  The watermark of a day's batch is the day before less 30
+    hours, so a text is forgotten with the batch four days after it and passes again from the
+    fifth day on.  Some lines arrive five days late and are dropped.
+    """
+    docs = read_table(spark, sf_dir, "documents").select(F.col("source").alias("session_id"), F.col("doc_id").alias("row_ord"), "text")
+    lines = C.lines_from_text(docs).withColumn("arrival", (F.col("row_ord") % DAYS).cast("int"))
+    day = F.col("arrival") - F.when(F.expr(LATE_ARRIVAL), 5).otherwise(0)
+    lines = lines.select("session_id", "text", F.expr("timestamp '2024-03-01 00:00:00'").alias("t0"), "arrival", day.alias("day")) \
+        .select("session_id", "text", F.timestamp_add("DAY", "day", "t0").alias("ts"), "day", "arrival")
+    path = S.scratch_path(spark, "daily-lines")
+    for d in range(DAYS):  # one file a day, in the order of days
+        lines.filter(F.col("arrival") == d).coalesce(1).write.mode("append").parquet(path)
+    stream = S.parquet_stream(spark, path, max_files=1).drop("arrival")
+    return spark.read.parquet(S.run_to_table(S.stream_clean(stream, f"{KEEP_HOURS} hours"), "clean-daily")).select("session_id", "text", "day")
+
+
+def _dashboards(spark, sf_dir):
     _, dash, _ = all_derived(spark, sf_dir)
+    return dash.select("session_id", "user_id", "industry", F.col("created_at").cast("timestamp").alias("created_at"),
+                       *B.MEASURES, "critical_count", "top_category", "top_issue")
+
+
+def _dashboard_files(spark, sf_dir):
+    """Finished dashboards written as files, the input of the benchmark stream."""
     path = S.scratch_path(spark, "dashboards-in")
-    dash.select("session_id", "user_id", "industry", F.col("created_at").cast("timestamp").alias("created_at"),
-                *B.MEASURES, "critical_count", "top_category", "top_issue") \
-        .repartition(4, "user_id").write.parquet(path)
+    _dashboards(spark, sf_dir).repartition(4, "user_id").write.parquet(path)
     return path
 
 
-@register("s02_stream_alerts", HIST_SQL + ", " + ALERTS_SQL + """
+LATE_HOURS = 4812
+
+
+@register("s02_stream_alerts", HIST_SQL + ", " + ALERTS_SQL + f"""
 SELECT user_id, session_id, event, critical_pct, current_score, previous_score, drop, new_issue, previous_issue
-FROM alerts WHERE event = 'critical_spike' OR session_id IN (
+FROM alerts WHERE (event = 'critical_spike' OR session_id IN (
   SELECT session_id FROM (
     SELECT session_id, created_at - lag(created_at) OVER (PARTITION BY user_id ORDER BY created_at, session_id) AS age FROM history)
-  WHERE age <= INTERVAL 9000 HOUR)""")
+  WHERE age <= INTERVAL {TTL_HOURS} HOUR))
+  AND session_id IN (SELECT session_id FROM history WHERE created_at < (SELECT max(created_at) FROM history) - INTERVAL {LATE_HOURS} HOUR)""")
 def s02(spark, sf_dir):
-    """Sessions are a year apart or more: with TTL_HOURS some previous ones count and some are too old."""
-    path = _dashboard_files(spark, sf_dir)
-    src = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    out = S.run_to_table(S.stream_alerts(src, ttl_hours=TTL_HOURS), "alerts")
-    return spark.read.parquet(out)
+    """A file a half-year, some rows up to a half-year late and read with the next file.
+
+    Sessions are a year apart or more: with TTL_HOURS some previous ones count and some are
+    too old.  Dashboards of the last LATE_HOURS wait for the watermark and are not judged yet.
+    """
+    rows = cut_lineage(_dashboards(spark, sf_dir))
+    part = F.year("created_at") * 2 + F.floor((F.month("created_at") - 1) / 6)
+    rows = cut_lineage(rows.withColumn("part", (part + F.when(F.col("user_id") % 3 == 0, 1).otherwise(0)).cast("int")))
+    path = S.scratch_path(spark, "dashboards-in")
+    low, high = rows.agg(F.min("part"), F.max("part")).first()
+    for p in range(low, high + 1):
+        rows.filter(F.col("part") == p).coalesce(1).write.mode("append").parquet(path)
+    stream = S.parquet_stream(spark, path, max_files=1)
+    return spark.read.parquet(S.run_to_table(S.stream_alerts(stream, TTL_HOURS, f"{LATE_HOURS} hours"), "alerts"))
 
 
 @register("s03_stream_benchmarks", IND_SQL + ", " + ROLLUP_SQL + f" SELECT {ROLLUP_COLS} FROM bench")
@@ -128,4 +176,4 @@ def s03(spark, sf_dir):
     src = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
     table = S.scratch_path(spark, "bench-table")
     S.stream_benchmarks(src, table).awaitTermination()
-    return B.benchmark_rollup(S.read_analyses(spark, table))
+    return S.read_benchmarks(spark, table)

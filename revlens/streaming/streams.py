@@ -13,12 +13,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from revlens.functions import text as X
 from revlens.functions.exprs import pct
 from revlens.operators import benchmarks as B
-from revlens.session import checkpoint_dir
+from revlens.session import checkpoint_dir, cut_lineage, path_exists
 from revlens.types import (CONFIDENCES, CRITICAL_SPIKE_PCT, EMOTIONS, SENTIMENT_DROP_POINTS, SENTIMENTS, SESSION_TTL_HOURS,
                            URGENCIES)
 
@@ -106,86 +106,169 @@ def stream_clean(lines: DataFrame, watermark: str | None = None, ts: str = "ts")
 
 ALERT_OUT = ("user_id long, session_id string, event string, critical_pct double, current_score double, "
              "previous_score double, drop double, new_issue string, previous_issue string")
-ALERT_STATE = "prev_session string, prev_score double, prev_issue string, prev_ts timestamp"
-
-
-def _alerts_fn(ttl_hours: float | None):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in ALERT_OUT.split(", ")]
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame(columns=names)
-            return
-        held = [state.get] if state.exists else []
-        now = pd.concat(list(pdfs)).sort_values(["created_at", "session_id"], ignore_index=True)
-        cols = ["session_id", "overall_score", "top_issue", "created_at"]
-        rows = pd.concat([pd.DataFrame(held, columns=cols), now[cols]], ignore_index=True) if held else now[cols]
-        before = rows.shift().iloc[len(held):].reset_index(drop=True)  # the row before each new one, the state's first
-        fresh = before["session_id"].notna()
-        if ttl_hours is not None:
-            fresh &= pd.to_datetime(now["created_at"]) - pd.to_datetime(before["created_at"]) <= pd.Timedelta(hours=ttl_hours)
-        score, previous = now["overall_score"].astype(float), before["overall_score"].astype(float)
-        issue, was = now["top_issue"], before["top_issue"]
-        base = pd.DataFrame({"user_id": key[0], "session_id": now["session_id"]})
-        spike = base.assign(event="critical_spike", critical_pct=now["critical_pct"])[now["critical_pct"] > CRITICAL_SPIKE_PCT]
-        drop = base.assign(event="sentiment_drop", current_score=score, previous_score=previous,
-                           drop=(previous - score).round(2))[fresh & (previous - score > SENTIMENT_DROP_POINTS)]
-        changed = fresh & issue.notna() & (issue != was)
-        other = base.assign(event="new_top_issue", new_issue=issue, previous_issue=was)[changed]
-        last = rows.iloc[-1]
-        top = last["top_issue"] if isinstance(last["top_issue"], str) else None
-        state.update((last["session_id"], float(last["overall_score"]), top, pd.Timestamp(last["created_at"]).to_pydatetime()))
-        if ttl_hours is not None:
-            until = pd.Timestamp(last["created_at"]) + pd.Timedelta(hours=ttl_hours)
-            state.setTimeoutTimestamp(max(int(until.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-        out = pd.concat([spike, drop, other]).reindex(columns=names)
-        for c in ("session_id", "event", "new_issue", "previous_issue"):
-            out[c] = out[c].astype(object).where(out[c].notna(), None)
-        yield out
-    return fn
-
-
-def stream_alerts(dashboards: DataFrame, ttl_hours: float | None = SESSION_TTL_HOURS) -> DataFrame:
-    """G1-G3 against the same user's previous dashboard, held as keyed state.
-
-    A previous dashboard older than ``ttl_hours`` does not count; once event time has passed a
-    user's last dashboard by that long, the user is forgotten.  A user's rows of one trigger are ordered in memory: their number is
-    bounded by the trigger's files (``maxFilesPerTrigger``).
+ALERT_NAMES = [c.split()[0] for c in ALERT_OUT.split(", ")]
+ALERT_ROW = "session_id string, created_at timestamp, overall_score double, critical_pct double, top_issue string"
+
+
+class PreviousDashboard(StatefulProcessor):
+    """Per user: the last dashboard, and those that wait until the watermark has passed them.
+
+    A dashboard sets an event-time timer at its own time.  When the timer fires, nothing
+    earlier can arrive any more, so the waiting dashboards up to it are compared in the order
+    of event time, however late or in whatever batch they came.  Another timer forgets the
+    user ``ttl_hours`` after the last dashboard.
+    """
+
+    def __init__(self, ttl_hours: float | None):
+        self.ttl_ms = None if ttl_hours is None else int(ttl_hours * 3_600_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", ALERT_ROW)
+        self.waiting = handle.getListState("waiting", ALERT_ROW)
+
+    @staticmethod
+    def _ms(row) -> int:
+        return int(pd.Timestamp(row[1]).timestamp() * 1000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        times = set()
+        for pdf in rows:
+            for r in pdf[[c.split()[0] for c in ALERT_ROW.split(", ")]].itertuples(index=False):
+                issue = r.top_issue if isinstance(r.top_issue, str) else None
+                row = (r.session_id, pd.Timestamp(r.created_at).to_pydatetime(), float(r.overall_score), float(r.critical_pct), issue)
+                self.waiting.appendValue(row)
+                times.add(self._ms(row))
+        for t in times:
+            self.handle.registerTimer(t)
+        yield pd.DataFrame(columns=ALERT_NAMES)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        held = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: (self._ms(r), r[0]))
+        due = [r for r in held if self._ms(r) <= now]
+        before = tuple(self.last.get()) if self.last.exists() else None
+        out = []
+        for row in due:
+            out += self._events(key[0], row, before)
+            before = row
+        if due:
+            self.waiting.put(held[len(due):]) if len(due) < len(held) else self.waiting.clear()
+            self.last.update(before)
+            if self.ttl_ms is not None:
+                self.handle.registerTimer(self._ms(before) + self.ttl_ms + 1)
+        elif before is not None and self.ttl_ms is not None and self._ms(before) + self.ttl_ms < now:
+            self.last.clear()
+        yield pd.DataFrame(out, columns=ALERT_NAMES).astype(object)
+
+    def _events(self, user, row, before) -> list[tuple]:
+        session, _, score, critical, issue = row
+        out = []
+        if critical > CRITICAL_SPIKE_PCT:
+            out.append((user, session, "critical_spike", critical, None, None, None, None, None))
+        if before is None or (self.ttl_ms is not None and self._ms(row) - self._ms(before) > self.ttl_ms):
+            return out
+        if before[2] - score > SENTIMENT_DROP_POINTS:
+            out.append((user, session, "sentiment_drop", None, score, before[2], round(before[2] - score, 2), None, None))
+        if issue is not None and issue != before[4]:
+            out.append((user, session, "new_top_issue", None, None, None, None, issue, before[4]))
+        return out
+
+    def close(self) -> None:
+        pass
+
+
+def stream_alerts(dashboards: DataFrame, ttl_hours: float | None = SESSION_TTL_HOURS, late: str = "0 seconds") -> DataFrame:
+    """G1-G3 against the same user's previous dashboard, held as keyed state (state store: RocksDB).
+
+    A dashboard is judged once the watermark, ``late`` behind the newest event time, has passed
+    it; dashboards later than that are dropped.  A previous one older than ``ttl_hours`` does
+    not count, and a user without a newer one is forgotten by then.  The state of a user is the
+    last dashboard and those inside the watermark's delay.
     """
-    if ttl_hours is not None:
-        dashboards = dashboards.withWatermark("created_at", f"{int(ttl_hours * 3600)} seconds")
-    return dashboards.groupBy("user_id").applyInPandasWithState(
-        _alerts_fn(ttl_hours), ALERT_OUT, ALERT_STATE, "append",
-        GroupStateTimeout.EventTimeTimeout if ttl_hours is not None else GroupStateTimeout.NoTimeout)
+    return dashboards.withWatermark("created_at", late).groupBy("user_id").transformWithStateInPandas(
+        PreviousDashboard(ttl_hours), ALERT_OUT, "Append", "EventTime")
 
 
-def add_analyses(batch: DataFrame, batch_id: int, table_path: str) -> None:
-    """One micro-batch as its own immutable folder; a repeated batch replaces itself only."""
-    batch.select("session_id", "user_id", "industry", "created_at", *B.MEASURES, "top_category") \
-        .write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
+ANALYSIS = ["session_id", "user_id", "industry", "created_at", *B.MEASURES, "top_category"]
+
+
+def _overwrite_buckets(rows: DataFrame, path: str) -> None:
+    """Replace the buckets that ``rows`` hold, and no others."""
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def add_analyses(batch: DataFrame, batch_id: int, table_path: str, buckets: int = 64) -> list[int]:
+    """Merge one micro-batch into the table of sessions and its partial benchmarks; returns the buckets it touched.
+
+    Sessions lie in ``buckets`` buckets by their user, the newest row of each by (created_at,
+    batch).  A batch reads and rewrites only the buckets of its own users, then those buckets'
+    partial benchmarks; what a re-sent session said before goes with its old row.  A repeated
+    batch gives the same tables again.
+    """
+    spark = batch.sparkSession
+    new = cut_lineage(batch.select(*ANALYSIS, F.lit(batch_id).cast("long").alias("batch"), F.expr(f"int(pmod(xxhash64(user_id), {buckets}))").alias("bucket")))
+    touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())  # at most ``buckets``
+    if not touched:
+        return touched
+    rows = new
+    if path_exists(spark, f"{table_path}/sessions"):
+        rows = rows.unionByName(_sessions(spark, table_path).filter(F.col("bucket").isin(touched)))
+    fields = [c for c in new.columns if c not in ("session_id", "bucket")]
+    newest = F.max_by(F.struct(*fields), F.struct("created_at", "batch", *B.MEASURES))
+    merged = cut_lineage(rows.groupBy("bucket", "session_id").agg(newest.alias("r")).select("bucket", "session_id", "r.*"))
+    _overwrite_buckets(merged, f"{table_path}/sessions")
+    companies, votes = B.partial_benchmarks(merged, ["bucket"])
+    _overwrite_buckets(companies, f"{table_path}/companies")
+    # a bucket whose sessions name no category must lose its old votes too: keep a row without one
+    _overwrite_buckets(votes.unionByName(merged.select("bucket").distinct(), allowMissingColumns=True), f"{table_path}/votes")
+    return touched
+
+
+def _sessions(spark: SparkSession, table_path: str) -> DataFrame:
+    return spark.read.parquet(f"{table_path}/sessions").withColumn("bucket", F.col("bucket").cast("int"))
 
 
 def read_analyses(spark: SparkSession, table_path: str) -> DataFrame:
     """The newest row of every session, by (created_at, batch)."""
-    t = spark.read.parquet(table_path)
-    cols = [c for c in t.columns if c not in ("session_id", "batch")]
-    return t.groupBy("session_id").agg(F.max_by(F.struct(*cols), F.struct("created_at", "batch", *B.MEASURES)).alias("r")).select("session_id", "r.*")
+    return _sessions(spark, table_path).select(*ANALYSIS)
+
+
+def read_benchmarks(spark: SparkSession, table_path: str) -> DataFrame:
+    """The industry table (as ``benchmark_rollup`` over all sessions) from the buckets' partial benchmarks alone."""
+    return B.combine_benchmarks(spark.read.parquet(f"{table_path}/companies"), spark.read.parquet(f"{table_path}/votes").filter("industry IS NOT NULL"))
 
 
-def stream_benchmarks(analyses: DataFrame, table_path: str, trigger_available_now: bool = True):
-    """S3: append each micro-batch of analyses to a table (idempotent per batch).
+def stream_benchmarks(analyses: DataFrame, table_path: str, trigger_available_now: bool = True, buckets: int = 64):
+    """S3: merge each micro-batch of analyses into the bucketed table and its partial benchmarks.
 
-    Returns the started query; the industry table is ``benchmark_rollup`` over ``read_analyses``.
+    Returns the started query; ``read_benchmarks`` gives the industry table after any batch.
     """
-    w = analyses.writeStream.foreachBatch(lambda batch, i: add_analyses(batch, i, table_path)).option("checkpointLocation", table_path + ".ckpt")
+    w = (analyses.writeStream.foreachBatch(lambda batch, i: add_analyses(batch, i, table_path, buckets) and None)
+         .option("checkpointLocation", table_path + ".ckpt"))
     return (w.trigger(availableNow=True) if trigger_available_now else w).start()
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> str:
-    """Run a stream over everything available now into a parquet folder; return the folder."""
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", progress: list | None = None) -> str:
+    """Run a stream over everything available now into a parquet folder; return the folder.
+
+    State is kept in RocksDB on the executors' disks, so it is not bounded by their heap.
+    ``progress`` receives the progress of each trigger.
+    """
     spark = stream.sparkSession
     out = scratch_path(spark, name)
-    q = (stream.writeStream.format("parquet").outputMode(mode).option("path", out)
-         .option("checkpointLocation", out + ".ckpt").trigger(availableNow=True).start())
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)  # read when the query starts
+    try:
+        q = (stream.writeStream.format("parquet").outputMode(mode).option("path", out)
+             .option("checkpointLocation", out + ".ckpt").trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(STATE_STORE, before) if before else spark.conf.unset(STATE_STORE)
     q.awaitTermination()
+    if progress is not None:
+        progress += q.recentProgress
     return out

@@ -90,3 +90,78 @@ def test_stream_clean_drops_noise_and_repeats(spark):
     spark.createDataFrame([("s", "Fine  day"), ("s", "Fine day"), ("t", "Fine day"), ("s", "!!!!"), ("s", None)], "session_id string, text string").write.parquet(path)
     out = spark.read.parquet(S.run_to_table(S.stream_clean(S.parquet_stream(spark, path)), "t-clean-out"))
     assert sorted((r.session_id, r.text) for r in out.collect()) == [("s", "Fine day"), ("t", "Fine day")]
+
+
+def test_benchmark_buckets_equal_the_full_rollup(spark):
+    """Batches with re-sent sessions, changed categories and new users; a batch touches only its users' buckets."""
+    import datetime as dt
+    import random
+    from revlens.operators import benchmarks as B
+    rnd = random.Random(4)
+    table, sent = S.scratch_path(spark, "t-bench"), []
+    for b in range(4):
+        users = rnd.sample(range(40), 6)
+        rows = [(f"{u}-{rnd.randrange(3)}", u, "XYZ"[u % 3], dt.datetime(2024, 1 + b, 1 + rnd.randrange(20)), float(rnd.randrange(100)), 1.0 * b, 2.0, 3.0,
+                 rnd.randrange(50), rnd.choice(["p", "q", "", None])) for u in users]
+        rows = list({r[0]: r for r in rows}.values())
+        sent += [(*r, b) for r in rows]
+        batch = analyses(spark, rows)
+        touched = S.add_analyses(batch, b, table, buckets=8)
+        assert touched == sorted({r[0] for r in batch.select(F.expr("int(pmod(xxhash64(user_id), 8))")).collect()})
+        S.add_analyses(batch, b, table, buckets=8)  # a restart runs the batch again
+        newest = {}
+        for r in sent:
+            if r[0] not in newest or (r[3], r[10]) > (newest[r[0]][3], newest[r[0]][10]):
+                newest[r[0]] = r
+        want = B.benchmark_rollup(analyses(spark, [r[:10] for r in newest.values()]))
+        got = S.read_benchmarks(spark, table).select(*want.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_late_dashboards_are_compared_in_event_order(spark):
+    """Four triggers; user 1's second dashboard comes after the third, one comes beyond the watermark, one user is forgotten."""
+    import datetime as dt
+    d = lambda day: dt.datetime(2024, 1, day)
+    row = lambda s, u, day, score: (s, u, "X", d(day), score, 1.0, 1.0, 1.0, 5, "c")
+    path = S.scratch_path(spark, "t-alerts")
+    for rows in ([row("a", 1, 1, 90.0), row("x", 2, 1, 90.0), row("c", 1, 5, 40.0)],
+                 [row("b", 1, 3, 60.0), row("z", 9, 8, 50.0)],
+                 [row("y", 2, 20, 10.0)], [row("late", 1, 2, 10.0), row("z2", 9, 27, 50.0)]):
+        analyses(spark, rows).withColumn("top_issue", F.lit("same")).coalesce(1).write.mode("append").parquet(path)
+    progress = []
+    out = spark.read.parquet(S.run_to_table(S.stream_alerts(S.parquet_stream(spark, path, 1), ttl_hours=24 * 10, late="96 hours"), "t-alerts-out", progress=progress))
+    assert sorted((r.session_id, r.event, r.previous_score, r.drop) for r in out.collect()) == [("b", "sentiment_drop", 90.0, 30.0), ("c", "sentiment_drop", 60.0, 20.0)]
+    assert len(progress) >= 4 and any("rocksdb" in m.lower() for p in progress if p["stateOperators"] for m in p["stateOperators"][0]["customMetrics"])
+
+
+def test_alert_stream_goes_on_after_a_restart(spark):
+    """A second run over new files continues from the state of the first."""
+    import datetime as dt
+    d = lambda day: dt.datetime(2024, 1, day)
+    row = lambda s, day, score: (s, 1, "X", d(day), score, 1.0, 1.0, 1.0, 5, "c")
+    path, out = S.scratch_path(spark, "t-alerts"), S.scratch_path(spark, "t-alerts-out")
+    spark.conf.set(S.STATE_STORE, S.ROCKSDB)
+    for rows in ([row("a", 1, 90.0)], [row("b", 4, 50.0)], [row("c", 9, 45.0)]):
+        analyses(spark, rows).withColumn("top_issue", F.lit(None).cast("string")).coalesce(1).write.mode("append").parquet(path)
+        q = (S.stream_alerts(S.parquet_stream(spark, path, 1), ttl_hours=None).writeStream.format("parquet").outputMode("append").option("path", out)
+             .option("checkpointLocation", out + ".ckpt").trigger(availableNow=True).start())
+        q.awaitTermination()
+    spark.conf.unset(S.STATE_STORE)
+    assert [(r.session_id, r.previous_score, r.drop) for r in spark.read.parquet(out).collect()] == [("b", 90.0, 40.0)]
+
+
+def test_stream_clean_forgets_after_the_watermark(spark):
+    """Re-sent lines inside the time are dropped, later ones pass again; the state holds the last days' texts only."""
+    import datetime as dt
+    path = S.scratch_path(spark, "t-clean")
+    at = lambda day, hour=0: dt.datetime(2024, 3, day, hour)
+    for day in range(1, 10):
+        rows = [("s", f"line of day {day}", at(day)), ("s", "every day", at(day, 1)), ("s", f"Line  of day {day}".lower(), at(day, 2)), ("s", "too old", at(1))]
+        spark.createDataFrame(rows, "session_id string, text string, ts timestamp").coalesce(1).write.mode("append").parquet(path)
+    progress = []
+    out = spark.read.parquet(S.run_to_table(S.stream_clean(S.parquet_stream(spark, path, 1), "30 hours"), "t-clean-out", progress=progress)).collect()
+    texts = sorted((r.text, r.ts.day) for r in out)
+    assert [t for t in texts if t[0] == "every day"] == [("every day", 1), ("every day", 6)]
+    assert [t for t in texts if t[0].startswith("line")] == [(f"line of day {d}", d) for d in range(1, 10)]
+    assert [t for t in texts if t[0] == "too old"] == [("too old", 1)]
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]) <= 8
