@@ -5,7 +5,7 @@ r"""MinHash near-duplicate documents, candidates checked by odd sketches.
    and the samples an odd sketch: each (sample number, value) flips one of ``BITS`` bits,
    so the XOR of two sketches holds the parities of the samples that differ and its
    population count estimates high similarities precisely.
-2. Documents with equal sets (digest of the set) form a class, its smallest id stands for it.
+2. Documents with equal sets (digest of the set) form a class, a numbered node; its smallest id and that text stand for it.
 3. Banding: representatives that agree in a band share a bucket.  Within a bucket,
    block against block, pairs whose set sizes and sketches allow the threshold (see
    ``sketch_limit``) are candidates; a task gives a spanning forest of its candidates, so
@@ -21,7 +21,7 @@ So a large group of copies costs comparisons in memory, but never a row per pair
 At the threshold 0.85 a pair misses all bands with probability 5e-11, at 0.8 with 5e-8.
 
 Cases: null text is empty; a document without words has no shingles, links with nothing
-and is its own component; rows with the same id are one node (their links add up), each
+and is its own component; rows with the same id are tied (the links of all their texts add up), each
 row gives its own result; null ids link with nothing; texts of any length are taken
 whole; other columns are ignored; an empty table gives no rows.
 """
@@ -43,7 +43,7 @@ SHINGLE = 5
 #: documents, and shingles, of a block that a task holds at once
 BLOCK = 1024
 TILE_SHINGLES = 2_000_000
-#: members of candidate groups (two longs each) up to this number go to all tasks to pick their texts
+#: members of candidate groups (four longs each) up to this number go to all tasks to pick their texts
 BROADCAST_NODES = 500_000
 
 
@@ -141,11 +141,11 @@ def sketch_limit(threshold: float) -> int:
 
 
 WORDS = BITS // 64
-SIGNED = "doc_id long, n_shingles long, digest binary, " + ", ".join(f"k{i} long" for i in range(WORDS)) + ", bands array<long>"
+SIGNED = "doc_id long, body long, n_shingles long, digest binary, " + ", ".join(f"k{i} long" for i in range(WORDS)) + ", bands array<long>"
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, set size, set digest, odd sketch and bucket keys of every row of (doc_id, text)."""
+    """doc_id, hash of the text, set size, set digest, odd sketch and bucket keys of every row of (doc_id, text, body)."""
     def run(b):
         ids = b.column("doc_id").to_pylist()
         sizes, digests, sigs = [], [], []
@@ -156,7 +156,7 @@ def sign(docs: DataFrame) -> DataFrame:
             sigs.append(samples(h))
         sig = np.stack(sigs) if sigs else np.zeros((0, BANDS * ROWS), np.uint32)
         odd, keys = odd_sketches(sig), bands(sig)
-        yield {"doc_id": ids, "n_shingles": sizes, "digest": digests, **{f"k{i}": odd[:, i] for i in range(WORDS)},
+        yield {"doc_id": ids, "body": b.column("body"), "n_shingles": sizes, "digest": digests, **{f"k{i}": odd[:, i] for i in range(WORDS)},
                "bands": pa.array(list(keys), pa.list_(pa.int64()))}
 
     return map_batches(docs, run, SIGNED)
@@ -281,31 +281,36 @@ def links(nodes: DataFrame, num: int, den: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; see the module for the method."""
-    body = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    body = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("body", F.xxhash64("text"))
     signed = written(sign(body), "signed")
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = usable.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
-    nodes = reps.dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", *[f"k{i}" for i in range(WORDS)])
+    # a class of equal sets is a numbered node; its smallest id and that row's text stand for it.  An id with several texts has a node for each
+    classes = usable.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    reps = usable.join(classes, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "classes")
+    nodes = reps.select(F.col("node").alias("doc_id"), "n_shingles", *SKETCH)
 
-    buckets = reps.select("doc_id", F.explode("bands").alias("bucket"))
+    buckets = reps.select(F.col("node").alias("doc_id"), F.explode("bands").alias("bucket"))
     ends = buckets.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("bucket")
     members = written(buckets.join(ends, "bucket", "left_semi"), "buckets").join(nodes, "doc_id")
-    groups = connected_components(candidate_groups(members, num, den), "x", "y").select(F.col("node").alias("doc_id"), F.col("component").alias("grp"))
+    groups = connected_components(candidate_groups(members, num, den), "x", "y").select("node", F.col("component").alias("grp"))
+    picked = groups.join(reps.select("node", "doc_id", "body"), "node")
     if groups.count() <= BROADCAST_NODES:  # else a shuffle of all texts by id
-        groups = F.broadcast(groups)
-    texts_ = body.join(groups, "doc_id").dropDuplicates(["doc_id"])
+        picked = F.broadcast(picked)
+    texts_ = body.join(picked, ["doc_id", "body"]).dropDuplicates(["node"]).select(F.col("node").alias("doc_id"), "grp", "text")
     found = links(texts_.join(nodes, "doc_id"), num, den)
 
     # rows that share an id tie their classes together
-    same = usable.select("doc_id", "digest").distinct().join(classes, "digest").where("doc_id != rep").select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))
-    repeated = usable.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a != b").select(F.col("doc_id").alias("x"))
-    ties = same.join(repeated, "x", "left_semi")
+    repeated = usable.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a != b").select("doc_id")
+    shared = usable.join(repeated, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(reps.select("digest", "node"), "digest")
+    ties = shared.join(shared.groupBy("doc_id").agg(F.min("node").alias("y")), "doc_id").select(F.col("node").alias("x"), "y")
     last = connected_components(found.union(ties), "x", "y")
+    first = last.join(reps.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("first"))
+    place = (reps.select("digest", "node", F.col("doc_id").alias("rep")).join(last.join(first, "component").select("node", "first"), "node", "left")
+             .select("digest", "rep", "first"))
 
-    out = (signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-           .withColumn("node", F.when(F.col("n_shingles") > 0, F.col("rep"))).join(last, "node", "left"))
-    component = F.coalesce("component", F.when(F.col("doc_id").isNotNull(), F.col("node")), "doc_id")
+    out = signed.select("doc_id", "n_shingles", "digest").join(place, "digest", "left")
+    component = F.coalesce("first", F.when(F.col("doc_id").isNotNull(), F.col("rep")), "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

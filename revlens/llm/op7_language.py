@@ -21,14 +21,18 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from revlens.llm.common import crc_fold, map_batches, texts
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters that count as word characters but are no letters: superscripts, fractions, circled and letter numbers (planes 0 and 1 hold all).
+NUMBERS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
 
 
 def ngrams(word: str, size: int) -> set[str]:
@@ -67,7 +71,7 @@ class Masks:
 
 
 #: Words and n-grams a task remembers; later ones are worked out each time.
-CACHE = 300_000
+CACHE = 100_000
 #: Bits of a language's counter in a packed count.
 FIELD = 40
 
@@ -182,11 +186,10 @@ def drop_unidentified(docs: DataFrame, masks: Masks, min_score: float = 0.1, tex
     ``min_score`` of their n-grams; with no language learned only the letters count."""
     shared = docs.sparkSession.sparkContext.broadcast(masks)
 
-    def run(batches):
-        import pyarrow as pa
+    @F.pandas_udf("boolean")
+    def keep(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         p = Predictor(shared.value)
-        for b in batches:
-            keep = [p(t)[1] >= min_score if p.masks.langs else LETTERS.search(t) is not None for t in texts(b.column(text_col))]
-            yield b.filter(pa.array(keep, pa.bool_()))
+        for part in parts:
+            yield pd.Series([p(t or "")[1] >= min_score if p.masks.langs else LETTERS.search(t or "") is not None for t in part], dtype=bool)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(keep(F.col(text_col).cast("string")))

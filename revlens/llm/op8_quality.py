@@ -24,6 +24,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from revlens.llm.common import map_batches, texts
@@ -236,9 +237,8 @@ def judge(docs: DataFrame, crf: Crf, min_content: float = 0.5, id_col: str = "do
 
 def drop_rejected(docs: DataFrame, crf: Crf, min_content: float = 0.5, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that the rules or the content share reject."""
-    def run(batches):
-        import pyarrow as pa
-        for b in batches:
-            yield b.filter(pa.array([judge_text(crf, t, min_content)[6] for t in texts(b.column(text_col))], pa.bool_()))
+    @F.pandas_udf("boolean")
+    def keep(part: pd.Series) -> pd.Series:
+        return pd.Series([judge_text(crf, t or "", min_content)[6] for t in part], dtype=bool)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(keep(F.col(text_col).cast("string")))

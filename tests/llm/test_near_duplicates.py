@@ -172,3 +172,32 @@ def test_residual_bound_loses_nothing(rng):
     i, j = op10_embedding.links(a, a, 0.8, True)
     want = {(x, y) for x, y in combinations(range(300), 2) if a[x] @ a[y] >= 0.8}
     assert want <= set(zip(i.tolist(), j.tolist())) and len(i) < len(want) + 10
+
+
+def test_an_id_with_two_texts_keeps_all_links(spark, rng):
+    """Each text of id 5 is a near copy of another document; both links are found and tie the documents together."""
+    from tests.llm.conftest import prose
+    one, two = prose(rng, 200).split(), prose(rng, 200).split()
+    docs = [(5, " ".join(one)), (5, " ".join(two)), (8, " ".join([*one[:-1], "x"])), (2, " ".join([*two[:-1], "y"])), (9, prose(rng, 60)), (9, prose(rng, 60)), (11, None), (11, " ".join(one))]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in op3_minhash.near_duplicates(frame(spark, docs), 85, 100).collect())
+    assert got == [(2, 2, True), (5, 2, False), (5, 2, False), (8, 2, False), (9, 9, True), (9, 9, True), (11, 2, False), (11, 11, True)]
+
+
+def test_lines_go_from_the_text_that_holds_them(spark):
+    """Two rows with id 2: only the first one's second line repeats an earlier document."""
+    docs = [(1, "one line that stands in several documents\nopening words of the first document"), (2, "a heading of its own kind, long enough\none line that stands in several documents"),
+            (2, "some other heading, also long enough\na unique second line that has to stay here"), (3, "last words"), (3, "last words")]
+    got = sorted((r.doc_id, r.text) for r in op9_lines.drop_repeated_lines(frame(spark, docs)).collect())
+    assert got == [(1, docs[0][1]), (2, "a heading of its own kind, long enough"), (2, docs[2][1]), (3, "last words"), (3, "last words")]
+
+
+def test_line_verification_counts_characters_not_code_units(spark):
+    """Lines of emoji and accents against the plain version."""
+    import random
+    rnd = random.Random(2)
+    base = ["".join(rnd.choices("aé😀漢b c", k=60)) + f" z{i}" for i in range(12)]
+    docs = [(i, t) for i, t in enumerate(base)]
+    docs += [(100 + i, t[:30] + "😀" + t[31:]) for i, t in enumerate(base)]
+    got = {(r.doc_id, r.line_no): (r.component_doc_id, r.component_line_no) for r in op9_lines.line_components(frame(spark, docs)).collect()}
+    long_, short = line_components(docs, q=8), line_components(docs, q=4)
+    assert all(got[p] <= min(long_[p], short[p]) for p in got) and any(got[(100 + i, 0)] == (i, 0) for i in range(12))

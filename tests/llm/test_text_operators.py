@@ -359,3 +359,67 @@ def test_viterbi_finds_the_best_path(rng):
         def total(path):
             return sum(crf.scores(b)[k] for b, k in zip(lines, path)) + sum(crf.move[a, b] for a, b in zip(path, path[1:]))
         assert math.isclose(total(crf.viterbi(lines)), max(map(total, product((0, 1), repeat=len(lines)))))
+
+
+def test_language_filters_equal_plain_sets(spark, rng):
+    """Languages of an n-gram, shares and predictions against plain sets, with exact membership where a filter says more."""
+    made = {"aa": "abcdefgh", "bb": "defghijk", "cc": "mnopqräß"}
+    docs = [(i, " ".join("".join(rng.choices(made[lang], k=rng.randint(2, 8))) for _ in range(rng.randint(1, 60))), lang)
+            for i, lang in enumerate(rng.choices(list(made), k=240))]
+    docs += [(1000, None, None), (1001, "² ½ ①12 _ -", None), (1002, "İ", None), (1003, "Ω", None)]
+    masks = op7_language.train(frame(spark, docs, "doc_id long, text string, lang string"), slots=1 << 16)
+    learned = [(t, lang) for i, t, lang in docs if lang and zlib.crc32(str(i).encode()) % 3 != 1]
+
+    def plain(text):
+        return [g for w in re.findall(r"[^\W\d_]+", text.lower()) if any(c.isalpha() for c in w) for g in op7_language.ngrams(w, masks.size)]
+    sets = {}
+    for lang in made:
+        mine = [set(plain(t)) for t, x in learned if x == lang]
+        held = Counter(g for s in mine for g in s)
+        sets[lang] = {g for g, n in held.items() if n >= 0.02 * len(mine)}
+        assert all(masks.langs.index(lang) in masks.languages(g) for g in sets[lang])  # a filter never misses
+    wrong = total = 0
+    for g in {g for t, _ in learned for g in plain(t)}:
+        for lang in made:
+            if g not in sets[lang]:
+                total += 1
+                wrong += masks.langs.index(lang) in masks.languages(g)
+    assert wrong <= 0.02 * total + 3
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in op7_language.predict(frame(spark, docs, "doc_id long, text string, lang string"), masks).collect()}
+    for i, t, _ in docs[:240]:
+        grams = plain(t)
+        share = {lang: sum(g in sets[lang] for g in grams) / len(grams) for lang in made}
+        best = max(share.values())
+        assert got[i][1] == pytest.approx(best, abs=0.05) and share[got[i][0]] >= best - 0.05
+    assert got[1000] == got[1001] == ("und", 0.0) and got[1003][0] != "und"
+    kept = {r["doc_id"] for r in op7_language.drop_unidentified(frame(spark, docs, "doc_id long, text string, lang string"), masks).collect()}
+    assert kept == {i for i, (_, score) in got.items() if score >= 0.1}
+
+
+def test_crf_gradient_equals_differences():
+    """One step of the fit against numerical differences of the log likelihood on every labelling."""
+    from itertools import product
+    rng = np.random.default_rng(3)
+    k = len(op8_quality.FEATURES)
+    docs = [rng.integers(0, 2, (n, k)).astype(float) for n in (1, 3, 4)]
+    gold = [rng.integers(0, 2, len(d)) for d in docs]
+
+    def likelihood(emit, move):
+        total = 0.0
+        for d, g in zip(docs, gold):
+            def score(y):
+                return sum(d[t] @ emit[:, y[t]] for t in range(len(d))) + sum(move[y[t - 1], y[t]] for t in range(1, len(d)))
+            total += score(g) - np.log(sum(np.exp(score(y)) for y in product((0, 1), repeat=len(d))))
+        return total
+    crf = op8_quality.Crf()
+    crf.emit, crf.move = rng.normal(0, 0.3, crf.emit.shape), rng.normal(0, 0.3, crf.move.shape)
+    emit, move = crf.emit.copy(), crf.move.copy()
+    n = sum(map(len, docs))
+    crf.fit(docs, gold, rounds=1, penalty=0.0, rate=1.0)
+    for name, was, now in (("emit", emit, crf.emit), ("move", move, crf.move)):
+        for at in np.ndindex(*was.shape):
+            e, m = emit.copy(), move.copy()
+            up, down = (e, m), (emit.copy(), move.copy())
+            (up[0] if name == "emit" else up[1])[at] += 1e-5
+            (down[0] if name == "emit" else down[1])[at] -= 1e-5
+            assert (now - was)[at] * n == pytest.approx((likelihood(*up) - likelihood(*down)) / 2e-5, abs=1e-4)
