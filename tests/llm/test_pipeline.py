@@ -55,3 +55,40 @@ def test_stages_equal_plain_versions(spark, rng, tmp_path):
 def test_registered(spark):
     names = __spark_entry__.queries()
     assert {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in names} and "pipeline" in names
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark, tmp_path):
+    """Null and repeated ids, null and blank texts, ids with two texts, clashing columns; then no rows at all."""
+    import random
+    rnd = random.Random(8)
+    vocabulary = ["garden", "window", "letter", "station", "morning", "paper", "river", "simple", "yellow", "market", "quiet", "summer"]
+
+    def line(tag):
+        return " ".join(rnd.choices(vocabulary, k=14)) + f" {tag}."
+    texts = ["\n".join(line(f"{i} {k}") for k in range(6)) for i in range(30)]
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    rows += [(3, texts[3], "en"), (4, texts[29] + "\n" + line("own"), "en"), (None, texts[5], "en"), (None, texts[5], None), (50, None, "en"), (51, "", None), (52, " \n ", "en"),
+             (53, texts[7], "en"), (54, "²² ½½ ①①", None)]
+    clash = ["label", "score", "kept", "line", "node", "component", "digest", "body", "__id"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "length(text) AS n_chars", *[f"'x' AS {c}" for c in clash])
+    path = tmp_path.as_posix()
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    step = spark.read.parquet(f"{path}/documents.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        step = stage(spark, step, path)
+        assert step.columns == docs.columns
+        kept[name] = sorted(((r.doc_id, r.text) for r in step.select("doc_id", "text").collect()), key=str)
+    assert kept["language_id"] == sorted([(i, t) for i, t, _ in rows if t and t.strip() and i != 54], key=str)
+    assert kept["quality_rules"] == kept["language_id"]
+    ids = [i for i, _ in kept["line_dedup"]]  # document 29 stands whole in the second text of id 4, 53 in document 7
+    assert (4, rows[31][1]) in kept["line_dedup"] and (4, texts[4]) in kept["line_dedup"] and 29 not in ids and 53 not in ids
+    assert [i for i, _ in kept["line_dedup"]].count(3) == 2 and [i for i, _ in kept["line_dedup"]].count(None) == 2
+    assert kept["near_dedup"] == kept["line_dedup"]
+    pieces = corpus_pipeline.STAGES[-1][1](spark, step, path)
+    assert pieces.count() == len(kept["near_dedup"])
+    empty = f"{path}/none"
+    docs.limit(0).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
