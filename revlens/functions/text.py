@@ -78,17 +78,61 @@ def emoji_class() -> str:
     return "[" + "".join(parts) + "]"
 
 
+# Names of the five skin tones, U+1F3FB to U+1F3FF.
+SKIN_TONES = ["light_skin_tone", "medium_light_skin_tone", "medium_skin_tone", "medium_dark_skin_tone", "dark_skin_tone"]
+_FLAG = r"[\x{1f1e6}-\x{1f1ff}]{2}"
+_TAGGED = r"\x{1f3f4}[\x{e0020}-\x{e007e}]+\x{e007f}"
+_KEYCAP = r"[0-9#*]\x{20e3}"
+
+
+@lru_cache(maxsize=1)
+def sequence_names() -> dict[str, str]:
+    """Part of an emoji sequence -> its name inside the sequence's (skin tones, flag and tag letters, keycap bases)."""
+    names = {ch: name.strip() for ch, name in emoji_names().items()}
+    names.update({chr(0x1F3FB + i): t for i, t in enumerate(SKIN_TONES)})
+    names.update({chr(0x1F1E6 + i): chr(ord("a") + i) for i in range(26)})
+    names.update({chr(0xE0000 + c): chr(c) for c in range(0x20, 0x7F)})
+    names.update({c: unicodedata.name(c).lower().replace(" ", "_") for c in "0123456789#*"})
+    names.update({"\u20e3": "", "\U000e007f": "", "\u200d": ""})
+    return names
+
+
+def emoji_unit() -> str:
+    """Pattern of one unit, the longest first: flag, tagged flag, keycap, joined sequence of pictographs with skin tones, any character."""
+    one = rf"{emoji_class()}[\x{{1f3fb}}-\x{{1f3ff}}]?"
+    return rf"(?s)(?:{_FLAG}|{_TAGGED}|{_KEYCAP}|{one}(?:\x{{200d}}{one})*|.)"
+
+
+def emoji_mark() -> str:
+    """Pattern that a text with any emoji matches."""
+    return rf"{emoji_class()}|\x{{20e3}}"
+
+
 def emoji_to_text(c) -> Column:
-    """B1: each emoji becomes its name with a space on either side; U+FE0F is dropped.
+    """B1: each emoji, a sequence as one, becomes its name with a space on either side; U+FE0F is dropped.
 
-    Only rows that contain a pictograph pay for the per-character lookup.
+    A sequence's name joins those of its parts: ``flag_de``, ``keycap_digit_five``,
+    ``waving_hand_sign_medium_skin_tone``, ``woman_personal_computer``.  Only rows that contain
+    an emoji pay for the lookups.
     """
     c = col_(c)
-    table = emoji_names()
-    m = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    chars = F.split(F.regexp_replace(c, "\\x{fe0f}", ""), "", -1)
-    converted = F.array_join(F.transform(chars, lambda ch: F.coalesce(F.try_element_at(m, ch), ch)), "")
-    return F.when(c.rlike(emoji_class()), converted).otherwise(c)
+
+    def table(names):
+        return F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    single, parts = table(emoji_names()), table(sequence_names())
+
+    def name(u):
+        letters = F.transform(F.split(u, "", -1), lambda ch: F.coalesce(F.try_element_at(parts, ch), ch))
+        joined = F.array_join(F.filter(letters, lambda x: x != ""), "_")
+        run = F.array_join(letters, "")
+        return (F.when(F.char_length(u) == 1, F.coalesce(F.try_element_at(single, u), u))
+                .when(u.rlike(_TAGGED), F.concat(F.lit(" flag_"), F.substring(run, F.lit(len(sequence_names()[chr(0x1F3F4)]) + 1), F.char_length(run)), F.lit(" ")))
+                .when(u.rlike(_FLAG), F.concat(F.lit(" flag_"), run, F.lit(" ")))
+                .when(u.rlike(_KEYCAP), F.concat(F.lit(" keycap_"), joined, F.lit(" ")))
+                .otherwise(F.concat(F.lit(" "), joined, F.lit(" "))))
+
+    units = F.regexp_extract_all(F.regexp_replace(c, "\\x{fe0f}", ""), F.lit(emoji_unit()), F.lit(0))
+    return F.when(c.rlike(emoji_mark()), F.array_join(F.transform(units, name), "")).otherwise(c)
 
 
 def strip_control(c) -> Column:

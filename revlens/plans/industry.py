@@ -104,11 +104,18 @@ def f04(spark, sf_dir):
     return B.common_top_category(B.analyses_from_dashboards(dash))
 
 
-@register("f10_industry_summary", SQL + ", " + ROLLUP_SQL + f"""
+SUB_INDUSTRY_SQL = "CASE WHEN user_id % 50 = 0 THEN industry || ' ' || user_id ELSE industry END"
+
+
+@register("f10_industry_summary", SQL + ", " + ROLLUP_SQL.replace("user_id, industry, CAST(created_at", f"user_id, {SUB_INDUSTRY_SQL} AS industry, CAST(created_at", 1) + f"""
 SELECT {ROLLUP_COLS}, company_count >= 5 AS available,
        CASE WHEN company_count < 5 THEN 'insufficient_data' END AS reason FROM bench""")
 def f10(spark, sf_dir):
-    return B.industry_summary(_bench(spark, sf_dir)[1])
+    """Every fiftieth company is an industry of its own, too small for a benchmark."""
+    _, dash, _ = all_derived(spark, sf_dir)
+    own = F.concat_ws(" ", "industry", F.col("user_id").cast("string"))
+    dash = dash.withColumn("industry", F.when(F.col("user_id") % 50 == 0, own).otherwise(F.col("industry")))
+    return B.industry_summary(B.benchmark_rollup(B.analyses_from_dashboards(dash)))
 
 
 @register("f08_benchmark_compare", SQL + ", " + ROLLUP_SQL + " SELECT * FROM cmp")

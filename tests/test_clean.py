@@ -62,6 +62,26 @@ def test_emoji_structure(spark):
     assert "pouting_face" in out and "\U0001F621" not in out and out.startswith(" ")
 
 
+def test_emoji_sequences_are_one_name(spark):
+    """Flags, keycaps, skin tones, joined sequences and lone parts against names written out by hand."""
+    expected = {
+        "\U0001F1E9\U0001F1EA": " flag_de ", "\U0001F1E9\U0001F1EA\U0001F1EB\U0001F1F7": " flag_de  flag_fr ",
+        "\U0001F1E9": " regional_indicator_symbol_letter_d ",
+        "5\uFE0F\u20E3": " keycap_digit_five ", "#\u20E3": " keycap_number_sign ", "*\uFE0F\u20E3!": " keycap_asterisk !",
+        "\U0001F44B\U0001F3FD": " waving_hand_sign_medium_skin_tone ", "\U0001F44D\U0001F3FFok": " thumbs_up_sign_dark_skin_tone ok",
+        "\U0001F469\u200D\U0001F4BB": " woman_personal_computer ",
+        "\U0001F469\U0001F3FB\u200D\U0001F4BB": " woman_light_skin_tone_personal_computer ",
+        "\U0001F468\u200D\U0001F469\u200D\U0001F467": " man_woman_girl ",
+        "\U0001F3C3\u200D\u2640\uFE0F": " runner_female_sign ", "\u2764\uFE0F": " heavy_black_heart ",
+        "\u2764\uFE0F\u200D\U0001F525": " heavy_black_heart_fire ",
+        "\U0001F3F4\U000E0067\U000E0062\U000E0065\U000E006E\U000E0067\U000E007F": " flag_gbeng ",
+        "\U0001F600\U0001F600": " grinning_face  grinning_face ", "a\U0001F600b": "a grinning_face b",
+        "no pictures 5# é 漢": "no pictures 5# é 漢", "x\u200Dy": "x\u200Dy", "5": "5"}
+    df = spark.createDataFrame([(k,) for k in expected], ["t"])
+    got = {r.t: r.x for r in df.select("t", X.emoji_to_text("t").alias("x")).collect()}
+    assert got == expected
+
+
 def test_noise_rules_match_python(spark):
     samples = ["", "aaaa", "aaab", "Aaaab", "1234567a", "12 ab", "...", "---", "ok", "ab", "²²²x", "ééééeé", "x y z"]
 

@@ -1,3 +1,4 @@
+import os
 import numpy as np
 
 from revlens.operators import retrieval as H
@@ -106,3 +107,42 @@ def test_stored_index_is_built_once(spark, tmp_path):
     assert {(r.id, r.industry, r.effort, r.timeframe) for r in built.collect()} == {("1", "General", "medium", "short_term"), ("2", "A", "low", "long_term")}
     assert H.stored_solution_index(s.limit(0), H.letter_counts_encoder, path).count() == 2
     assert H.stored_solution_index(s.filter("id = '1'"), H.letter_counts_encoder, path, force=True).count() == 1
+
+
+def test_index_refresh_encodes_only_what_changed(spark, tmp_path):
+    """New and changed documents are encoded, vanished ones go, an unfinished version does not count."""
+    log = tmp_path / "encoded"
+    log.mkdir()
+    folder, path = log.as_posix(), f"{tmp_path.as_posix()}/index"
+
+    def factory():
+        import hashlib
+        import numpy as np
+
+        def enc(texts):
+            for t in texts:
+                open(f"{folder}/{hashlib.md5(t.encode()).hexdigest()}-{np.random.default_rng().integers(1 << 60)}", "w").close()
+            return np.array([[len(t), 1.0] for t in texts], dtype=np.float32).reshape(len(texts), 2)
+        return enc
+    schema = "id string, industry string, issue_type string, problem string, solution string, impact string, effort string, timeframe string, tags array<string>"
+    row = lambda i, problem, tags=("late",): (i, None, "t", problem, "ship earlier", "high", None, None, list(tags))
+    encoded = lambda: len(os.listdir(folder))
+    first = H.refreshed_solution_index(spark.createDataFrame([row("1", "late parcel"), row("2", "rude staff"), row("3", "gone soon")], schema), factory, path)
+    assert first.count() == 3 and encoded() == 3 and "content" not in first.columns
+    rows = [row("1", "late parcel"), row("2", "very rude staff"), row("4", "new one")]
+    second = H.refreshed_solution_index(spark.createDataFrame(rows, schema).repartition(3), factory, path)
+    assert encoded() == 5 and {r.id: (r.problem, r.embedding[0]) for r in second.collect()} == {
+        r.id: (r.problem, float(len(r.document))) for r in H._with_document(spark.createDataFrame(rows, schema)).collect()}
+    assert H.refreshed_solution_index(spark.createDataFrame(rows, schema), factory, path).count() == 3 and encoded() == 5
+    os.makedirs(f"{path}/3/_temporary")  # a run that died
+    assert H.refreshed_solution_index(spark.createDataFrame(rows[:1], schema), factory, path).count() == 1 and encoded() == 5
+
+
+def test_hashed_encoder_is_the_stated_hash():
+    import hashlib
+    text, v = " late parcel ", np.zeros(16)
+    for i in range(len(text) - 2):
+        h = int(hashlib.md5(text[i:i + 3].encode()).hexdigest()[:8], 16)
+        v[h % 16] += 1 if h >= 1 << 31 else -1
+    assert H.hashed_ngram_encoder(16, 3, unit=False)(["Late parcel"])[0].tolist() == v.tolist()
+    assert np.isclose(np.linalg.norm(H.hashed_ngram_encoder(16)(["Late parcel"])[0]), 1) and H.hashed_ngram_encoder(16)([None]).shape == (1, 16)
