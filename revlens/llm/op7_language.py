@@ -30,11 +30,22 @@ from pyspark.sql import DataFrame, functions as F
 
 from revlens.llm.common import crc_fold, map_batches, texts
 
-#: Characters that count as word characters but are no letters: superscripts, fractions, circled and letter numbers (planes 0 and 1 hold all).
+RUNS = re.compile(r"[^\W\d_]+")
+#: Characters of such runs that are no letters: superscripts, fractions, circled and letter numbers (planes 0 and 1 hold all).
 NUMBERS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
 
 
+def letter_words(text: str) -> Counter:
+    """How often each run of letters occurs; the costly pattern only takes apart the few runs with other signs."""
+    runs = Counter(RUNS.findall(text))
+    for run in [r for r in runs if not r.isalpha()]:
+        times = runs.pop(run)
+        for word in LETTERS.findall(run):
+            runs[word] += times
+    return runs
+
+
 def ngrams(word: str, size: int) -> set[str]:
     """n-grams of the word between edge marks; a shorter one is its own n-gram."""
     w = f"\x02{word}\x03"
@@ -108,7 +119,7 @@ class Predictor:
         self.masks, self.words = masks, WordMasks(masks)
 
     def __call__(self, text: str) -> tuple[str, float]:
-        words = Counter(LETTERS.findall(text.lower()))
+        words = letter_words(text.lower())
         langs = self.masks.langs
         if not words or not langs:
             return "und", 0.0
@@ -148,7 +159,7 @@ def train(docs: DataFrame, max_train_docs: int = 2000, min_share: float = 0.02,
             for lang, text in zip(b.column("lang").to_pylist(), texts(b.column("text"))):
                 n[lang] += 1
                 grams: set[str] = set()
-                for w in set(LETTERS.findall(text.lower())):
+                for w in letter_words(text.lower()):
                     grams |= ngrams(w, size)
                 seen.setdefault(lang, Counter()).update(grams)
         for lang, grams in seen.items():
@@ -190,6 +201,6 @@ def drop_unidentified(docs: DataFrame, masks: Masks, min_score: float = 0.1, tex
     def keep(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         p = Predictor(shared.value)
         for part in parts:
-            yield pd.Series([p(t or "")[1] >= min_score if p.masks.langs else LETTERS.search(t or "") is not None for t in part], dtype=bool)
+            yield pd.Series([p(t or "")[1] >= min_score if p.masks.langs else any(map(str.isalpha, t or "")) for t in part], dtype=bool)
 
     return docs.where(keep(F.col(text_col).cast("string")))
