@@ -3,7 +3,8 @@
 A non-decreasing sequence of n numbers below u keeps the low log2(u / n) bits of each,
 packed, and the rest in unary in a bit vector: about 2 + log2(u / n) bits a number.
 Everything is read in place from its bytes, so a level can be a memory-mapped file.
-Lookups take whole arrays of queries.
+Lookups take whole arrays of queries; an array about as long as the sequence first spells
+out the unary part once (a few bytes a number), a short one finds its places by samples.
 """
 
 from __future__ import annotations
@@ -44,6 +45,7 @@ class EliasFano:
 
     def __init__(self, n: int, universe: int, width: int, low: np.ndarray, high: np.ndarray, samples: np.ndarray):
         self.n, self.universe, self.width, self.low, self.high, self.samples = n, universe, width, low, high, samples
+        self._spelled: tuple[np.ndarray, np.ndarray] | None = None
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -59,6 +61,15 @@ class EliasFano:
         high = np.concatenate((np.packbits(ones, bitorder="little"), np.zeros(16, np.uint8)))
         return cls(n, universe, width, low, high, zeros[::SAMPLE].astype(np.int64))
 
+    def _spell(self, queries: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """(values before each zero, high part of each value), for as many queries as pay for it."""
+        buckets = (self.universe >> self.width) + 1
+        if self._spelled is None and queries * 4 > self.n + buckets:
+            bits = np.unpackbits(self.high, count=self.n + buckets, bitorder="little")
+            zeros, ones = np.flatnonzero(bits == 0), np.flatnonzero(bits)
+            self._spelled = (zeros - np.arange(len(zeros))).astype(np.int32), (ones - np.arange(len(ones))).astype(np.int64)
+        return self._spelled
+
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Place of the k-th zero (from 0) in the high bits."""
         at = self.samples[k // SAMPLE].copy()
@@ -96,22 +107,31 @@ class EliasFano:
     def access(self, i: np.ndarray) -> np.ndarray:
         """Values at places ``i``."""
         i = np.asarray(i, np.int64)
-        return (self._one_before(i).astype(U64) << U64(self.width)) | self._low(i)
+        spelled = self._spell(len(i))
+        return ((spelled[1][i] if spelled else self._one_before(i)).astype(U64) << U64(self.width)) | self._low(i)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
             return np.zeros(len(i), U64)
         return _bits_at(self.low, i * self.width) & U64((1 << self.width) - 1)
 
-    def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place of the first value >= x inside x's bucket, whether the value there equals x)."""
-        x = x.astype(U64)
+    def successor(self, x: np.ndarray, lo: np.ndarray | int = 0, hi: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the first value >= x inside x's bucket, whether the value there equals x), among places lo to hi - 1."""
+        x = np.minimum(x.astype(U64), U64(self.universe))
         h = (x >> U64(self.width)).astype(np.int64)
         want = x & U64((1 << self.width) - 1)
+        spelled = self._spell(len(x))
         begin = np.zeros(len(x), np.int64)
         later = h > 0
-        begin[later] = self._zero(h[later] - 1) - (h[later] - 1)
-        end = self._zero(h) - h
+        if spelled:
+            begin[later] = spelled[0][h[later] - 1]
+            end = spelled[0][h].astype(np.int64)
+        else:
+            begin[later] = self._zero(h[later] - 1) - (h[later] - 1)
+            end = self._zero(h) - h
+        begin = np.maximum(begin, lo)
+        if hi is not None:
+            end = np.minimum(end, hi)
         found = np.zeros(len(x), bool)
         todo = np.flatnonzero(begin < end)
         while len(todo):
@@ -145,8 +165,11 @@ class Trie:
     heads      context words, ascending
     names      words that follow some context, ascending
     starts     place of each context's first successor, and the end
-    followers  context rank * number of names + name rank, ascending
+    followers  name rank of each successor, counted on from the last one of the context before
     codes      quantised log10 probability of each follower
+
+    A context's successors lie between its two pointers; what the value before the first
+    says is taken off, so a search needs the pointers and stays inside its context.
     """
 
     def __init__(self, heads: EliasFano, names: EliasFano, starts: EliasFano, followers: EliasFano, codes: np.ndarray):
@@ -158,9 +181,18 @@ class Trie:
         heads, counts = np.unique(v, return_counts=True)
         names, rank = np.unique(w, return_inverse=True)
         starts = np.concatenate(([0], np.cumsum(counts)))
-        keys = np.repeat(np.arange(len(heads)), counts) * max(len(names), 1) + rank
+        last = rank[starts[1:] - 1] + 1
+        keys = rank + np.repeat(np.cumsum(last) - last, counts)
         return cls(EliasFano.build(heads, universe), EliasFano.build(names, universe), EliasFano.build(starts, len(v) + 1),
-                   EliasFano.build(keys, max(len(heads) * len(names), 1)), quantise(log10))
+                   EliasFano.build(keys, int(last.sum()) + 1), quantise(log10))
+
+    def _ranges(self, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first place, end, what to add to a name's rank) of contexts by their rank."""
+        lo, hi = self.starts.access(heads).astype(np.int64), self.starts.access(heads + 1).astype(np.int64)
+        base = np.zeros(len(heads), np.int64)
+        later = lo > 0
+        base[later] = self.followers.access(lo[later] - 1).astype(np.int64) + 1
+        return lo, hi, base
 
     def lookup(self, words: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log10 probability, whether the pair is in the trie) of the pairs (words[v], words[w])."""
@@ -169,8 +201,11 @@ class Trie:
             return out, known
         head, a = self.heads.successor(words)
         name, b = self.names.successor(words)
+        lo, hi, base = (np.zeros(len(words), np.int64) for _ in range(3))
+        lo[a], hi[a], base[a] = self._ranges(head[a])
         on = np.flatnonzero(a[v] & b[w])
-        place, there = self.followers.successor(head[v[on]] * self.names.n + name[w[on]])
+        at = v[on]
+        place, there = self.followers.successor(base[at] + name[w[on]], lo[at], hi[at])
         on, place = on[there], place[there]
         known[on] = True
         out[on] = self.codes[place] * -STEP
@@ -181,9 +216,9 @@ class Trie:
         head, there = self.heads.successor(np.array([v]))
         if not there[0]:
             return np.zeros(0, np.int64), np.zeros(0)
-        lo, hi = self.starts.access(np.array([head[0], head[0] + 1])).astype(np.int64).tolist()
+        (lo,), (hi,), (base,) = self._ranges(head)
         places = np.arange(lo, hi)
-        ranks = self.followers.access(places).astype(np.int64) - int(head[0]) * self.names.n
+        ranks = self.followers.access(places).astype(np.int64) - base
         return self.names.access(ranks).astype(np.int64), self.codes[places] * -STEP
 
     def to_bytes(self) -> bytes:

@@ -132,7 +132,9 @@ def _groups(batches, key: str, rest: list[str]) -> Iterator[tuple[object, list[t
     """Rows of sorted batches, one list per value of ``key``."""
     at, held = None, []
     for b in batches:
-        for row in zip(b.column(key).to_pylist(), *(b.column(c).to_pylist() for c in rest)):
+        columns = [b.column(c) for c in (key, *rest)]
+        for i in range(b.num_rows):  # one row's bytes at a time
+            row = tuple(c[i].as_py() for c in columns)
             if held and row[0] != at:
                 yield at, held
                 held = []
@@ -164,6 +166,25 @@ def _sorted_columns(*columns: np.ndarray) -> list[np.ndarray]:
     return out[::-1]
 
 
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in ascending order, and the place of every key among them."""
+    order = np.argsort(keys, kind="stable").astype(np.int32)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    back = np.empty(len(keys), np.int32)
+    back[order] = np.cumsum(new, dtype=np.int32) - 1
+    return keys[new], back
+
+
+def _by_id(ids: np.ndarray, counts: np.ndarray, token: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
+    """A block's words in ascending order of their ids, its tokens numbered by that order."""
+    order = np.argsort(ids)
+    rank = np.empty(len(ids), np.int32)
+    rank[order] = np.arange(len(ids), dtype=np.int32)
+    return [ids[order], counts[order], rank[token], rank[before]]
+
+
 def number_words(found: DataFrame, shards: int) -> DataFrame:
     """(block, ids, counts) per block and word shard, and per shard its N and V (block null).
 
@@ -217,9 +238,23 @@ def _whole(part: list[tuple]) -> tuple:
         if r[4] is not None:
             at = load(r[4])[0]
             ids[at], counts[at] = load(r[5])[0], load(r[6])[0]
-    before = np.concatenate(([0], token[:-1])).astype(np.int64)
+    before = np.concatenate((np.zeros(1, token.dtype), token[:-1]))
     before[np.cumsum(sizes) - sizes] = 0
-    return doc_ids, train, sizes, token, ids, counts, np.repeat(np.arange(len(sizes)), sizes), before
+    return doc_ids, train, sizes, token, ids, counts, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), before
+
+
+def _trained(times: np.ndarray, d: np.ndarray, train: np.ndarray) -> np.ndarray:
+    """How often each n-gram of a message occurs in training documents."""
+    upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(train[d], dtype=np.int64)))
+    stop = np.cumsum(times)
+    return upto[stop] - upto[stop - times]
+
+
+def _sums(value: np.ndarray, times: np.ndarray, d: np.ndarray, n_docs: int) -> bytes:
+    """The values of a message's n-grams added up by document."""
+    sums = np.bincount(d, weights=np.repeat(value, times), minlength=n_docs)
+    at = np.flatnonzero(np.bincount(d, minlength=n_docs))
+    return dump(np.diff(at, prepend=0), sums[at])
 
 
 def scores(docs: DataFrame, train: str = "train", b: float = 0.7, m: float = 1.0, block_tokens: int = 2_000_000,
@@ -244,134 +279,175 @@ def scores(docs: DataFrame, train: str = "train", b: float = 0.7, m: float = 1.0
         return (m + b * c) / (c + m)
 
     def send(batches):
-        schema = pa_schema("shard long, block long, message binary, base binary, doc_ids array<long>")
-        held = None
         for block, part in _groups(batches, "block", ["doc_ids", "flags", "tokens", "n_words", "places", "ids", "counts"]):
-            doc_ids, train_, sizes, token, ids, counts, doc, before = _whole(part)
-            base = np.bincount(doc, weights=np.log10((counts[token] + 0.5) / below), minlength=len(sizes))
-            known = np.bincount(doc, weights=counts[token] > 0, minlength=len(sizes)).astype(np.int64)
-            # pairs in ascending (context, word, document)
-            rank = np.argsort(np.argsort(ids))  # block numbers in the order of the global ids
-            by_rank = np.argsort(ids)
-            v, w = rank[before], rank[token]
-            fan = 1 + counts[by_rank] // hot
-            shard = _deal(ids[by_rank][v], ids[by_rank][w], fan[v], shards)
-            shard, v, w, doc = _sorted_columns(shard, v, w, doc)
-            cuts = np.searchsorted(shard, np.arange(shards + 1))
-            home = int(_mix(np.array([block], np.uint64))[0] % np.uint64(shards))
-            for s in range(shards):
-                lo, hi = cuts[s], cuts[s + 1]
-                if lo == hi and s != home:
-                    continue
-                a, c, d = v[lo:hi], w[lo:hi], doc[lo:hi]
-                new = np.ones(hi - lo, bool)
-                new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-                at = np.flatnonzero(new)
-                used = np.unique(np.concatenate((a[at], c[at])))
-                message = dump(np.diff(ids[by_rank][used], prepend=0), counts[by_rank][used], np.diff(np.searchsorted(used, a[at]), prepend=0).astype(np.int32),
-                               np.searchsorted(used, c[at]).astype(np.int32), np.diff(at, append=hi - lo).astype(np.int32), d.astype(np.int32), train_)
-                held = s == home
-                yield pa.RecordBatch.from_pydict({"shard": [s], "block": [block], "message": [message], "base": [dump(sizes, known, base) if held else None],
-                                                  "doc_ids": [doc_ids if held else None]}, schema=schema)
+            yield from send_block(block, part)
+
+    def send_block(block, part):
+        schema = pa_schema("shard long, block long, message binary, base binary, doc_ids array<long>")
+        doc_ids, train_, sizes, token, ids, counts, doc, before = _whole(part)
+        base = np.bincount(doc, weights=np.log10((counts + 0.5) / below)[token], minlength=len(sizes))
+        known = np.bincount(doc, weights=(counts > 0)[token], minlength=len(sizes)).astype(np.int64)
+        # pairs in ascending (context, word, document)
+        ids, counts, w, v = _by_id(ids, counts, token, before)
+        del token, before
+        shard = _deal(ids[v], ids[w], (1 + counts // hot)[v], shards).astype(np.int32)
+        shard, v, w, doc = _sorted_columns(shard, v, w, doc)
+        cuts = np.searchsorted(shard, np.arange(shards + 1))
+        del shard
+        home = int(_mix(np.array([block], np.uint64))[0] % np.uint64(shards))
+        for s in range(shards):
+            lo, hi = cuts[s], cuts[s + 1]
+            if lo == hi and s != home:
+                continue
+            a, c, d = v[lo:hi], w[lo:hi], doc[lo:hi]
+            new = np.ones(hi - lo, bool)
+            new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+            at = np.flatnonzero(new)
+            used = np.unique(np.concatenate((a[at], c[at])))
+            message = dump(np.diff(ids[used], prepend=0), counts[used], np.diff(np.searchsorted(used, a[at]), prepend=0).astype(np.int32),
+                           np.searchsorted(used, c[at]).astype(np.int32), np.diff(at, append=hi - lo).astype(np.int32), d, train_)
+            held = s == home
+            yield pa.RecordBatch.from_pydict({"shard": [s], "block": [block], "message": [message], "base": [dump(sizes, known, base) if held else None],
+                                              "doc_ids": [doc_ids if held else None]}, schema=schema)
 
     def score(batches):
-        schema = pa_schema(PARTS)
         for s, rows_ in _groups(batches, "shard", ["block", "message", "base", "doc_ids"]):
-            got = []
-            for block, message, *_ in rows_:
-                ids, counts, a, c, times, d, train_ = load(message)
-                got.append((np.cumsum(ids), counts, np.cumsum(a, dtype=np.int32), c, times, d, train_))
-            words = np.unique(np.concatenate([g[0] for g in got]))
-            counts = np.zeros(len(words), np.int64)
-            pairs, weights = [], []
-            for ids, n, a, c, times, d, train_ in got:
-                local = np.searchsorted(words, ids)
-                counts[local] = n
-                pairs.append(local[a] * len(words) + local[c])  # ascending in each message
-                ends = np.cumsum(train_[d], dtype=np.int64)
-                stop = np.cumsum(times)
-                upto = np.concatenate(([0], ends))
-                weights.append(upto[stop] - upto[stop - times])
-            every, back = np.unique(np.concatenate(pairs), return_inverse=True)
-            seen = np.bincount(back, weights=np.concatenate(weights), minlength=len(every))
-            del pairs, weights
-            v, w = every // max(len(words), 1), every % max(len(words), 1)
-            p1 = (counts + 0.5) / below
-            on = np.flatnonzero(seen > 0)
-            p2 = ((1 - b) * seen[on] + (m + b * counts[v[on]]) * p1[w[on]]) / (counts[v[on]] + m)
-            level = Trie.build(words[v[on]], words[w[on]], np.log10(p2), int(words[-1]) + 1 if len(words) else 1)
-            trie = Trie.from_buffer(np.frombuffer(level.to_bytes(), np.uint8))
-            value, known = trie.lookup(words, v, w)
-            value = np.where(known, value, np.log10(weight(counts[v])) + np.log10(p1[w]))
-            at = 0
-            for (block, _, base, doc_ids), (_, _, a, _, times, d, train_) in zip(rows_, got):
-                own = np.repeat(value[back[at:at + len(a)]], times)
-                at += len(a)
-                sums = np.bincount(d, weights=own, minlength=len(train_))
-                at_docs = np.flatnonzero(np.bincount(d, minlength=len(train_)))
-                pairs = dump(seen[back[at - len(a):at]].astype(np.int64)) if order > 2 else None
-                yield pa.RecordBatch.from_pydict({"block": [block], "shard": [s], "pairs": [pairs], "sums": [dump(np.diff(at_docs, prepend=0), sums[at_docs])], "base": [base],
-                                                  "doc_ids": [doc_ids]}, schema=schema)
+            yield from score_shard(s, rows_)
+
+    def score_shard(s, rows_):
+        schema = pa_schema(PARTS)
+        got = []
+        for _, message, *_ in rows_:
+            ids, n, a, c, times, d, train_ = load(message)
+            got.append((np.cumsum(ids), n, np.cumsum(a, dtype=np.int32), c, times, d, train_))
+        words = np.unique(np.concatenate([g[0] for g in got]))
+        counts = np.zeros(len(words), np.int64)
+        keys, weights, rest = [], [], []
+        while got:
+            ids, n, a, c, times, d, train_ = got.pop(0)
+            local = np.searchsorted(words, ids)
+            counts[local] = n
+            keys.append(local[a] * len(words) + local[c])
+            weights.append(_trained(times, d, train_))
+            rest.append((times, d, len(train_)))
+        keys = np.concatenate(keys)
+        every, back = _numbered(keys)
+        del keys
+        seen = np.bincount(back, weights=np.concatenate(weights), minlength=len(every))
+        del weights
+        v, w = (x.astype(np.int32) for x in np.divmod(every, max(len(words), 1)))
+        del every
+        p1 = (counts + 0.5) / below
+        on = np.flatnonzero(seen > 0)
+        p2 = ((1 - b) * seen[on] + (m + b * counts[v[on]]) * p1[w[on]]) / (counts[v[on]] + m)
+        level = Trie.build(words[v[on]], words[w[on]], np.log10(p2), int(words[-1]) + 1 if len(words) else 1).to_bytes()
+        del on, p2
+        value, known = Trie.from_buffer(np.frombuffer(level, np.uint8)).lookup(words, v, w)
+        value = np.where(known, value, np.log10(weight(counts))[v] + np.log10(p1)[w])
+        del v, w, known, level
+        at = 0
+        for (block, _, base, doc_ids), (times, d, n_docs) in zip(rows_, rest):
+            own = back[at:at + len(times)]
+            at += len(times)
+            yield pa.RecordBatch.from_pydict({"block": [block], "shard": [s], "pairs": [dump(seen[own].astype(np.int64)) if order > 2 else None],
+                                              "sums": [_sums(value[own], times, d, n_docs)], "base": [base], "doc_ids": [doc_ids]}, schema=schema)
 
     def send_triples(batches):
-        schema = pa_schema("shard long, block long, message binary")
         for block, part in _groups(batches, "block", ["doc_ids", "flags", "tokens", "n_words", "places", "ids", "counts", "shard", "pairs"]):
-            _, train_, sizes, token, ids, counts, doc, before = _whole(part)
-            # counts of the pairs, in the order in which they went out
-            rank = np.argsort(np.argsort(ids))
-            shard = _deal(ids[before], ids[token], 1 + counts[before] // hot, shards)
-            pair = np.unique((shard * len(ids) + rank[before]) * len(ids) + rank[token], return_inverse=True)[1]
-            n = np.concatenate([load(r[8])[0] for r in sorted((r for r in part if r[8] is not None), key=lambda r: r[7])])[pair]
-            p2 = ((1 - b) * n + (m + b * counts[before]) * (counts[token] + 0.5) / below) / (counts[before] + m)
-            first = np.zeros(len(token), bool)
-            first[np.cumsum(sizes) - sizes] = True
-            context = np.concatenate(([0], n[:-1]))
-            on = np.flatnonzero(~first & (context > 0))
-            u, v, w, context = before[on - 1], before[on], token[on].astype(np.int64), context[on]
-            shard = _deal(_mix(ids[u].astype(np.uint64)) ^ ids[v].astype(np.uint64), ids[w], 1 + context // hot, shards)
-            sort = np.lexsort((doc[on], rank[w], rank[v], rank[u], shard))
-            shard, u, v, w, context, d, q = (x[sort] for x in (shard, u, v, w, context, doc[on], p2[on].astype(np.float32)))
-            cuts = np.searchsorted(shard, np.arange(shards + 1))
-            for s in range(shards):
-                lo, hi = cuts[s], cuts[s + 1]
-                if lo == hi:
-                    continue
-                new = np.ones(hi - lo, bool)
-                new[1:] = (u[lo + 1:hi] != u[lo:hi - 1]) | (v[lo + 1:hi] != v[lo:hi - 1]) | (w[lo + 1:hi] != w[lo:hi - 1])
-                at = np.flatnonzero(new)
-                words = [ids[x[lo:hi][at]] for x in (u, v, w)]
-                used = np.unique(np.concatenate(words))
-                message = dump(np.diff(used, prepend=0), *[np.searchsorted(used, x).astype(np.int32) for x in words], context[lo:hi][at], q[lo:hi][at],
-                               np.diff(at, append=hi - lo).astype(np.int32), d[lo:hi].astype(np.int32), train_)
-                yield pa.RecordBatch.from_pydict({"shard": [s], "block": [block], "message": [message]}, schema=schema)
+            yield from send_block_triples(block, part)
+
+    def send_block_triples(block, part):
+        schema = pa_schema("shard long, block long, message binary")
+        _, train_, sizes, token, ids, counts, doc, before = _whole(part)
+        ids, counts, token, before = _by_id(ids, counts, token, before)
+        # counts of the pairs, in the order in which they went out
+        key = _deal(ids[before], ids[token], (1 + counts // hot)[before], shards)
+        for x in (before, token):
+            key *= len(ids)
+            key += x
+        pair = _numbered(key)[1]
+        del key
+        told = np.concatenate([load(r[8])[0] for r in sorted((r for r in part if r[8] is not None), key=lambda r: r[7])])
+        inner = np.ones(len(token), bool)
+        inner[np.cumsum(sizes) - sizes] = False  # a text's first token has no context of two
+        inner[1:] &= told[pair[:-1]] > 0
+        on = np.flatnonzero(inner).astype(np.int32)
+        del inner
+        u, v, w, doc, head, n = before[on - 1], before[on], token[on], doc[on], pair[on - 1], told[pair[on]]
+        del token, before, pair, on
+        at_v = counts[v]
+        q = (((1 - b) * n + (m + b * at_v) * ((counts + 0.5) / below)[w]) / (at_v + m)).astype(np.float32)
+        del n, at_v
+        context = told[head]
+        shard = _deal(_mix(ids[u].astype(np.uint64)) ^ ids[v].astype(np.uint64), ids[w], 1 + context // hot, shards)
+        key = (shard * len(told) + head) * len(ids) + w
+        sort = np.argsort(key, kind="stable").astype(np.int32)  # documents of a triple stay in ascending order
+        key = key[sort]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        del key, head
+        cuts = np.searchsorted(shard[sort], np.arange(shards + 1))
+        del shard
+        doc = doc[sort]
+        first = sort[new]
+        u, v, w, context, q = u[first], v[first], w[first], context[first], q[first]
+        start = np.flatnonzero(new)
+        del sort, first, new
+        for s in range(shards):
+            lo, hi = cuts[s], cuts[s + 1]
+            if lo == hi:
+                continue
+            i, j = np.searchsorted(start, (lo, hi))
+            used = np.unique(np.concatenate((u[i:j], v[i:j], w[i:j])))
+            message = dump(np.diff(ids[used], prepend=0), *[np.searchsorted(used, x[i:j]).astype(np.int32) for x in (u, v, w)], context[i:j], q[i:j],
+                           np.diff(start[i:j], append=hi).astype(np.int32), doc[lo:hi], train_)
+            yield pa.RecordBatch.from_pydict({"shard": [s], "block": [block], "message": [message]}, schema=schema)
 
     def score_triples(batches):
-        schema = pa_schema(PARTS)
         for s, rows_ in _groups(batches, "shard", ["block", "message"]):
-            got = [load(message) for _, message in rows_]
-            got = [(np.cumsum(g[0]), *g[1:]) for g in got]
-            words = np.unique(np.concatenate([g[0] for g in got]))
-            u, v, w = (np.concatenate([np.searchsorted(words, g[0])[g[k]] for g in got]) for k in (1, 2, 3))
-            heads, head = np.unique(u * len(words) + v, return_inverse=True)
-            every, one, back = np.unique(head * len(words) + w, return_index=True, return_inverse=True)
-            upto = [np.concatenate(([0], np.cumsum(train_[d], dtype=np.int64))) for *_, d, train_ in got]
-            stop = [np.cumsum(g[6]) for g in got]
-            seen = np.bincount(back, weights=np.concatenate([x[e] - x[e - g[6]] for x, e, g in zip(upto, stop, got)]), minlength=len(every))
-            context, p2 = (np.concatenate([g[k] for g in got])[one].astype(np.float64) for k in (4, 5))
-            head, w = head[one], w[one]
-            on = np.flatnonzero(seen > 0)
-            p3 = ((1 - b) * seen[on] + (m + b * context[on]) * p2[on]) / (context[on] + m)
-            numbers = np.arange(max(len(heads), len(words)))
-            level = Trie.build(head[on], w[on], np.log10(p3), len(numbers))
-            value, known = Trie.from_buffer(np.frombuffer(level.to_bytes(), np.uint8)).lookup(numbers, head, w)
-            more = np.where(known, value - np.log10(p2), np.log10(weight(context)))
-            at = 0
-            for (block, _), (*_, times, d, train_) in zip(rows_, got):
-                sums = np.bincount(d, weights=np.repeat(more[back[at:at + len(times)]], times), minlength=len(train_))
-                at += len(times)
-                at_docs = np.flatnonzero(np.bincount(d, minlength=len(train_)))
-                yield pa.RecordBatch.from_pydict({"block": [block], "shard": [s], "pairs": [None], "sums": [dump(np.diff(at_docs, prepend=0), sums[at_docs])], "base": [None],
-                                                  "doc_ids": [None]}, schema=schema)
+            yield from score_shard_triples(s, rows_)
+
+    def score_shard_triples(s, rows_):
+        schema = pa_schema(PARTS)
+        got = [load(message) for _, message in rows_]
+        got = [(np.cumsum(g[0]), *g[1:]) for g in got]
+        words = np.unique(np.concatenate([g[0] for g in got]))
+        columns, weights, rest = [[] for _ in range(5)], [], []
+        while got:
+            ids, u, v, w, context, p2, times, d, train_ = got.pop(0)
+            local = np.searchsorted(words, ids).astype(np.int32)
+            for column, x in zip(columns, (local[u], local[v], local[w], context, p2)):
+                column.append(x)
+            weights.append(_trained(times, d, train_))
+            rest.append((times, d, len(train_)))
+        u, v, w, context, p2 = map(np.concatenate, columns)
+        columns.clear()
+        heads, head = _numbered(u * np.int64(len(words)) + v)
+        n_heads = len(heads)
+        del u, v, heads
+        every, back = _numbered(head * np.int64(len(words)) + w)
+        del head, w
+        one = np.empty(len(every), np.int32)
+        one[back] = np.arange(len(back), dtype=np.int32)
+        seen = np.bincount(back, weights=np.concatenate(weights), minlength=len(every))
+        del weights
+        context, p2 = context[one].astype(np.float64), p2[one].astype(np.float64)
+        head, w = (x.astype(np.int32) for x in np.divmod(every, max(len(words), 1)))
+        del one, every
+        on = np.flatnonzero(seen > 0)
+        p3 = ((1 - b) * seen[on] + (m + b * context[on]) * p2[on]) / (context[on] + m)
+        numbers = np.arange(max(n_heads, len(words)))
+        level = Trie.build(head[on], w[on], np.log10(p3), len(numbers)).to_bytes()
+        del on, p3, seen
+        value, known = Trie.from_buffer(np.frombuffer(level, np.uint8)).lookup(numbers, head, w)
+        more = np.where(known, value - np.log10(p2), np.log10(weight(context)))
+        del value, known, context, p2, head, w, level
+        at = 0
+        for (block, _), (times, d, n_docs) in zip(rows_, rest):
+            own = back[at:at + len(times)]
+            at += len(times)
+            yield pa.RecordBatch.from_pydict({"block": [block], "shard": [s], "pairs": [None], "sums": [_sums(more[own], times, d, n_docs)], "base": [None],
+                                              "doc_ids": [None]}, schema=schema)
 
     def total_up(batches):
         schema = pa_schema(SCORED)
