@@ -40,14 +40,14 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from revlens.llm.common import crc_fold, map_batches, pa_schema, texts, written
+from revlens.llm.common import crc_fold, map_batches, pa_schema, written
 from revlens.llm.elias_fano import Trie
 
 BEGIN, END = b"\r", b"\n"  # no word holds white space
 
 
-def tokens(text: str) -> list[bytes]:
-    return text.encode().lower().split()
+def tokens(text: bytes | None) -> list[bytes]:
+    return text.lower().split() if text else []
 
 
 def dump(*arrays: np.ndarray) -> bytes:
@@ -74,12 +74,21 @@ def load(data: bytes) -> list[np.ndarray]:
 
 
 SCORED = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-BLOCKS = "block long, doc_ids array<long>, flags binary, tokens binary, words array<binary>, counts binary"
+BLOCKS = "block long, doc_ids array<long>, flags binary, tokens binary, n_words int, words binary, counts binary"
 
 
 PARTS = "block long, shard long, pairs binary, sums binary, base binary, doc_ids array<long>"
 
 
+def _packed(words) -> bytes:
+    """Words, which hold no blank, as compressed bytes."""
+    return zstandard.ZstdCompressor(level=1).compress(b" ".join(words))
+
+
+def _unpacked(data: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(data).split(b" ")
+
+
 class _Numbers(dict):
     def __missing__(self, word):
         n = self[word] = len(self)
@@ -106,14 +115,14 @@ def blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
             counts[0] = sum(train)
             batch = pa.RecordBatch.from_pydict(
                 {"block": [part << 32 | no], "doc_ids": [ids], "flags": [dump(np.array(train, np.uint8), sizes)], "tokens": [dump(flat)],
-                 "words": [list(numbers)], "counts": [dump(counts)]}, schema=schema)
+                 "n_words": [len(numbers)], "words": [_packed(numbers)], "counts": [dump(counts)]}, schema=schema)
             no += 1
             start()
             return batch
 
         start()
         for b in batches:
-            for doc_id, train, text in zip(b.column("doc_id").to_pylist(), b.column("train").to_pylist(), texts(b.column("text"))):
+            for doc_id, train, text in zip(b.column("doc_id").to_pylist(), b.column("train").to_pylist(), (v.as_py() for v in b.column("text"))):
                 number = state[3].__getitem__
                 own = np.fromiter(map(number, tokens(text)), np.int32)
                 state[0].append(doc_id)
@@ -177,6 +186,11 @@ def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[new], back
 
 
+def _drop_shard(keys: np.ndarray, words: int) -> np.ndarray:
+    """(context, word) of keys ((shard, context), word) over so many words."""
+    return keys // words % words * words + keys % words
+
+
 def _by_id(ids: np.ndarray, counts: np.ndarray, token: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
     """A block's words in ascending order of their ids, its tokens numbered by that order."""
     order = np.argsort(ids)
@@ -195,18 +209,18 @@ def number_words(found: DataFrame, shards: int) -> DataFrame:
 
     def send(b):
         for block, words, counts in zip(b.column("block").to_pylist(), b.column("words").to_pylist(), b.column("counts").to_pylist()):
-            n = load(counts)[0]
-            shard = np.array([xxhash.xxh3_64_intdigest(w) % shards for w in words])
-            for s in np.unique(shard).tolist():
-                at = np.flatnonzero(shard == s)
-                yield {"shard": [s], "block": [block], "words": [zstandard.ZstdCompressor(level=1).compress(b" ".join(words[i] for i in at))],
-                       "places": [dump(at.astype(np.int32))], "counts": [dump(n[at])]}
+            n, words = load(counts)[0], _unpacked(words)
+            shard = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(shards)
+            order = np.argsort(shard, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                yield {"shard": [int(shard[at[0]])], "block": [block], "words": [_packed(map(words.__getitem__, at.tolist()))],
+                       "places": [dump(np.diff(at, prepend=0).astype(np.int32))], "counts": [dump(n[at])]}
 
     def count(batches):
         schema = pa_schema("block long, places binary, ids binary, counts binary, n long, v long")
         for s, rows in _groups(batches, "shard", ["block", "words", "places", "counts"]):
             number = _Numbers()
-            lists = [np.fromiter(map(number.__getitem__, zstandard.ZstdDecompressor().decompress(w).split(b" ")), np.int64) for _, w, _, _ in rows]
+            lists = [np.fromiter(map(number.__getitem__, _unpacked(w)), np.int64) for _, w, _, _ in rows]
             total = np.zeros(len(number), np.int64)
             for ids, (_, _, _, c) in zip(lists, rows):
                 total[ids] += load(c)[0]
@@ -236,7 +250,7 @@ def _whole(part: list[tuple]) -> tuple:
     ids, counts = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
     for r in part:
         if r[4] is not None:
-            at = load(r[4])[0]
+            at = np.cumsum(load(r[4])[0])
             ids[at], counts[at] = load(r[5])[0], load(r[6])[0]
     before = np.concatenate((np.zeros(1, token.dtype), token[:-1]))
     before[np.cumsum(sizes) - sizes] = 0
@@ -251,10 +265,10 @@ def _trained(times: np.ndarray, d: np.ndarray, train: np.ndarray) -> np.ndarray:
 
 
 def _sums(value: np.ndarray, times: np.ndarray, d: np.ndarray, n_docs: int) -> bytes:
-    """The values of a message's n-grams added up by document."""
+    """The values of a message's n-grams added up by document, rounded to 24 bits."""
     sums = np.bincount(d, weights=np.repeat(value, times), minlength=n_docs)
     at = np.flatnonzero(np.bincount(d, minlength=n_docs))
-    return dump(np.diff(at, prepend=0), sums[at])
+    return dump(np.diff(at, prepend=0).astype(np.int32), sums[at].astype(np.float32))
 
 
 def scores(docs: DataFrame, train: str = "train", b: float = 0.7, m: float = 1.0, block_tokens: int = 2_000_000,
@@ -265,7 +279,7 @@ def scores(docs: DataFrame, train: str = "train", b: float = 0.7, m: float = 1.0
     """
     if order not in (2, 3):
         raise ValueError("order must be 2 or 3")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"),
                        (F.coalesce(F.col(train), F.lit(False)) & F.col(id_col).isNotNull()).alias("train"))
     found = written(blocks(rows, block_tokens), "lm-blocks")
     shards = max(1, found.count() * block_tokens // shard_tokens)
@@ -365,7 +379,7 @@ def scores(docs: DataFrame, train: str = "train", b: float = 0.7, m: float = 1.0
         for x in (before, token):
             key *= len(ids)
             key += x
-        pair = _numbered(key)[1]
+        sent_keys, pair = _numbered(key)
         del key
         told = np.concatenate([load(r[8])[0] for r in sorted((r for r in part if r[8] is not None), key=lambda r: r[7])])
         inner = np.ones(len(token), bool)
@@ -373,34 +387,40 @@ def scores(docs: DataFrame, train: str = "train", b: float = 0.7, m: float = 1.0
         inner[1:] &= told[pair[:-1]] > 0
         on = np.flatnonzero(inner).astype(np.int32)
         del inner
-        u, v, w, doc, head, n = before[on - 1], before[on], token[on], doc[on], pair[on - 1], told[pair[on]]
-        del token, before, pair, on
-        at_v = counts[v]
-        q = (((1 - b) * n + (m + b * at_v) * ((counts + 0.5) / below)[w]) / (at_v + m)).astype(np.float32)
-        del n, at_v
-        context = told[head]
+        # contexts of two in ascending order of their words
+        context_of = np.argsort(_drop_shard(sent_keys, len(ids)), kind="stable")
+        place = np.empty(len(told), np.int32)
+        place[context_of] = np.arange(len(told), dtype=np.int32)
+        u, v, w, doc, head, n = before[on - 1], before[on], token[on], doc[on], place[pair[on - 1]], told[pair[on]]
+        context = told[pair[on - 1]]
+        del token, before, pair, on, told, place, context_of, sent_keys
         shard = _deal(_mix(ids[u].astype(np.uint64)) ^ ids[v].astype(np.uint64), ids[w], 1 + context // hot, shards)
-        key = (shard * len(told) + head) * len(ids) + w
+        key = (shard * (int(head.max(initial=0)) + 1) + head) * len(ids) + w
         sort = np.argsort(key, kind="stable").astype(np.int32)  # documents of a triple stay in ascending order
         key = key[sort]
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
-        del key, head
+        del key
         cuts = np.searchsorted(shard[sort], np.arange(shards + 1))
-        del shard
         doc = doc[sort]
         first = sort[new]
-        u, v, w, context, q = u[first], v[first], w[first], context[first], q[first]
         start = np.flatnonzero(new)
-        del sort, first, new
+        del sort, new
+        u, v, w, context, n, head, shard = u[first], v[first], w[first], context[first], n[first], head[first], shard[first]
+        turn = np.ones(len(head), bool)  # where a context begins
+        turn[1:] = (head[1:] != head[:-1]) | (shard[1:] != shard[:-1])
+        del head, shard, first
         for s in range(shards):
             lo, hi = cuts[s], cuts[s + 1]
             if lo == hi:
                 continue
             i, j = np.searchsorted(start, (lo, hi))
-            used = np.unique(np.concatenate((u[i:j], v[i:j], w[i:j])))
-            message = dump(np.diff(ids[used], prepend=0), *[np.searchsorted(used, x[i:j]).astype(np.int32) for x in (u, v, w)], context[i:j], q[i:j],
-                           np.diff(start[i:j], append=hi).astype(np.int32), doc[lo:hi], train_)
+            own = np.flatnonzero(turn[i:j])
+            a, c, d = u[i:j][own], v[i:j][own], w[i:j]
+            used = np.unique(np.concatenate((a, c, d)))
+            message = dump(np.diff(ids[used], prepend=0), counts[used], np.diff(np.searchsorted(used, a), prepend=0).astype(np.int32),
+                           np.searchsorted(used, c).astype(np.int32), context[i:j][own], np.diff(own, append=j - i).astype(np.int32),
+                           np.searchsorted(used, d).astype(np.int32), n[i:j], np.diff(start[i:j], append=hi).astype(np.int32), doc[lo:hi], train_)
             yield pa.RecordBatch.from_pydict({"shard": [s], "block": [block], "message": [message]}, schema=schema)
 
     def score_triples(batches):
@@ -412,11 +432,15 @@ def scores(docs: DataFrame, train: str = "train", b: float = 0.7, m: float = 1.0
         got = [load(message) for _, message in rows_]
         got = [(np.cumsum(g[0]), *g[1:]) for g in got]
         words = np.unique(np.concatenate([g[0] for g in got]))
+        p1 = np.zeros(len(words))
         columns, weights, rest = [[] for _ in range(5)], [], []
         while got:
-            ids, u, v, w, context, p2, times, d, train_ = got.pop(0)
+            ids, counts, u, v, context, fan, w, n, times, d, train_ = got.pop(0)
             local = np.searchsorted(words, ids).astype(np.int32)
-            for column, x in zip(columns, (local[u], local[v], local[w], context, p2)):
+            p1[local] = (counts + 0.5) / below
+            at_v = np.repeat(counts[v], fan)
+            p2 = ((1 - b) * n + (m + b * at_v) * p1[local[w]]) / (at_v + m)
+            for column, x in zip(columns, (np.repeat(local[np.cumsum(u)], fan), np.repeat(local[v], fan), local[w], np.repeat(context, fan), p2)):
                 column.append(x)
             weights.append(_trained(times, d, train_))
             rest.append((times, d, len(train_)))
@@ -431,7 +455,7 @@ def scores(docs: DataFrame, train: str = "train", b: float = 0.7, m: float = 1.0
         one[back] = np.arange(len(back), dtype=np.int32)
         seen = np.bincount(back, weights=np.concatenate(weights), minlength=len(every))
         del weights
-        context, p2 = context[one].astype(np.float64), p2[one].astype(np.float64)
+        context, p2 = context[one].astype(np.float64), p2[one]
         head, w = (x.astype(np.int32) for x in np.divmod(every, max(len(words), 1)))
         del one, every
         on = np.flatnonzero(seen > 0)
@@ -463,7 +487,7 @@ def scores(docs: DataFrame, train: str = "train", b: float = 0.7, m: float = 1.0
 
     side = numbered.where("block IS NOT NULL").select("block", *[F.lit(None).cast(t).alias(c) for c, t in (
         ("doc_ids", "array<bigint>"), ("flags", "binary"), ("tokens", "binary"), ("n_words", "int"))], "places", "ids", "counts")
-    whole = found.select("block", "doc_ids", "flags", "tokens", F.size("words").alias("n_words"), *[F.lit(None).cast("binary").alias(c) for c in ("places", "ids", "counts")])
+    whole = found.select("block", "doc_ids", "flags", "tokens", "n_words", *[F.lit(None).cast("binary").alias(c) for c in ("places", "ids", "counts")])
     meet = whole.unionByName(side).repartition("block").sortWithinPartitions("block")
     sent = meet.mapInArrow(send, "shard long, block long, message binary, base binary, doc_ids array<long>")
     sent = sent.repartition(shards, "shard").sortWithinPartitions("shard", "block")
@@ -473,7 +497,7 @@ def scores(docs: DataFrame, train: str = "train", b: float = 0.7, m: float = 1.0
         told = whole.unionByName(side).unionByName(parts.where("pairs IS NOT NULL").select("block", "shard", "pairs"), allowMissingColumns=True)
         sent = told.repartition("block").sortWithinPartitions("block").mapInArrow(send_triples, "shard long, block long, message binary")
         sent = sent.repartition(shards, "shard").sortWithinPartitions("shard", "block")
-        parts = parts.unionByName(sent.mapInArrow(score_triples, PARTS))
+        parts = parts.unionByName(written(sent.mapInArrow(score_triples, PARTS), "lm-triples"))
     parts = parts.select("block", "sums", "base", "doc_ids")
     return parts.repartition("block").sortWithinPartitions("block").mapInArrow(total_up, SCORED)
 
