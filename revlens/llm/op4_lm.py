@@ -19,9 +19,9 @@ more than a quarter of a shard is dealt further by the word that follows).  A sh
 counts its pairs over all blocks, builds the trie of its contexts (monotone pointers,
 successors relative to their context, quantised probabilities) as flat bytes,
 reads them in place, looks up all pairs by successor search and returns to each
-block the sums of its documents.  3. At order 3 it returns the counts of the block's pairs too.
+block the sums of its documents (24 bits each).  3. At order 3 it returns the counts of the block's pairs too.
 A block then sends its triples with a seen context, likewise, to shards by both words of the
-context, with the context's count and p2; these shards build their level and return the
+context, with the counts of context, triple's pair and words; these shards build their level and return the
 sums of log10 p3 - log10 p2.  So a text's pairs are scored where their contexts' level lies, and
 memory per task depends on block and shard size only.
 
@@ -283,6 +283,8 @@ def scores(docs: DataFrame, train: str = "train", b: float = 0.7, m: float = 1.0
                        (F.coalesce(F.col(train), F.lit(False)) & F.col(id_col).isNotNull()).alias("train"))
     found = written(blocks(rows, block_tokens), "lm-blocks")
     shards = max(1, found.count() * block_tokens // shard_tokens)
+    if shards * block_tokens**2 >= 2**63:
+        raise ValueError("so many shards need a larger shard_tokens: n-grams of a block are sorted by 63-bit keys")
     numbered = written(number_words(found, shards), "lm-words")
     total = numbered.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n_all, v_all = total["n"] or 0, total["v"] or 0
