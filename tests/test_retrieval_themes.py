@@ -30,6 +30,39 @@ def test_floor_applies_after_k(spark):
     assert [(r.doc_id, r.score) for r in sorted(out, key=lambda r: r.rank)] == [(1, 0.995)]
 
 
+def test_best_by_parts_equals_one_sort():
+    rng = np.random.default_rng(4)
+    for whole in (True, False):
+        q, d = rng.normal(size=(40, 6)), rng.normal(size=(300, 6))
+        if whole:  # many equal cosines
+            q, d = np.rint(q), np.rint(d)
+        q[3] = 0.0
+        d[[5, 250]] = 0.0
+        d[260, 2] = np.nan
+        with np.errstate(invalid="ignore", divide="ignore"):
+            sims = (q @ d.T) / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(d, axis=1))
+            sims = np.where(np.isfinite(sims), sims, -np.inf)
+            want = np.argsort(-sims, axis=1, kind="stable")[:, :4]
+            at, vals = H._best(q, d, 4, rows=16, cols=32)
+        held = np.isfinite(vals)
+        assert (held == np.isfinite(np.take_along_axis(sims, want, 1))).all() and held.sum() == 39 * 4
+        assert np.allclose(vals[held], np.take_along_axis(sims, want, 1)[held], atol=1e-12)
+        if not whole:
+            assert (at[held] == want[held]).all()
+    at, _ = H._best(np.ones((1, 4)), np.ones((100, 4)), 3, cols=8)
+    assert at.tolist() == [[0, 1, 2]]
+
+
+def test_vectors_are_sent_once_while_a_target_fits_a_task(spark, monkeypatch):
+    sent = []
+    deal = H.dealt
+    monkeypatch.setattr(H, "dealt", lambda tiles, tile: sent.append(tiles) or deal(tiles, tile))
+    q = spark.range(3000).selectExpr("id AS qid", "'Other' AS industry", "array(1.0D, id + 0.5D) AS vec")
+    c = spark.range(5000).selectExpr("id AS doc_id", "'General' AS industry", "array(id + 0.5D, 1.0D) AS vec")
+    assert H.similar_top_k(q, c, k=1, floor=None).count() == 3000
+    assert sent[0].count() == 3000 + 5000
+
+
 def test_average_linkage_matches_reference(spark):
     rng = np.random.default_rng(1)
     centers = rng.normal(size=(3, 6))
