@@ -159,6 +159,32 @@ def test_tiles_find_every_edge(spark):
     assert got == {(i, j) for i in range(n) for j in range(i + 1, n) if SequenceMatcher(None, keys[i], keys[j]).ratio() >= 0.9}
 
 
+def test_keys_are_sent_once_while_a_class_fits_a_block(spark, monkeypatch):
+    from revlens.operators import neardup as N
+    sent = []
+    deal = N.dealt
+    monkeypatch.setattr(N, "dealt", lambda tiles, tile: sent.append(tiles) or deal(tiles, tile))
+    df = spark.range(3000).selectExpr("'g' AS session_id", "id AS idx", "lpad(id, 20, 'x') AS key")
+    N.similar_edges(df, 0.9, ["session_id"])
+    assert sent[0].count() == 3000
+
+
+def test_parts_of_a_tile_find_every_edge():
+    from revlens.operators.neardup import block_pair_edges, tile_edges
+    rnd = random.Random(17)
+    keys = list(dict.fromkeys("".join(rnd.choice("ab ") for _ in range(rnd.randint(8, 14))) for _ in range(90)))
+    a, b = keys[:50], keys[50:]
+    ia, ib = list(range(50)), list(range(50, len(keys)))
+    assert sorted(tile_edges(keys, ia + ib, keys, ia + ib, True, 0.9, part=16)) == sorted(block_pair_edges(keys, ia + ib, keys, ia + ib, True, 0.9))
+    assert sorted(tile_edges(a, ia, b, ib, False, 0.9, part=16)) == sorted(block_pair_edges(a, ia, b, ib, False, 0.9))
+
+
+def test_exact_dedup_prepares_a_text_once(spark):
+    from revlens.plans.cleaning import b06
+    plan = b06(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan and "regexp_replace" not in plan
+
+
 def test_greedy_resolution_of_a_long_chain(spark):
     """Item i is similar to i + 1 only: more than twelve rounds, every second item stays."""
     from revlens.operators.neardup import first_independent_set
