@@ -114,7 +114,7 @@ GROUP BY 1, 2""".replace("\n, days", ", days", 1))
 def s04_watermark(spark, sf_dir):
     """Bounded state: a text is remembered for 30 hours of event time.
 
-    Documents arrive in a file a day.  The watermark of a day's batch is the day before less 30
+    Documents arrive in the same number of files every day.  The watermark of a day's batch is the day before less 30
     hours, so a text is forgotten with the batch four days after it and passes again from the
     fifth day on.  Some lines arrive five days late and are dropped.
     """
@@ -124,9 +124,12 @@ def s04_watermark(spark, sf_dir):
     lines = lines.select("session_id", "text", F.expr("timestamp '2024-03-01 00:00:00'").alias("t0"), "arrival", day.alias("day")) \
         .select("session_id", "text", F.timestamp_add("DAY", "day", "t0").alias("ts"), "day", "arrival")
     path = S.scratch_path(spark, "daily-lines")
-    for d in range(DAYS):  # one file a day, in the order of days
-        lines.filter(F.col("arrival") == d).coalesce(1).write.mode("append").parquet(path)
-    stream = S.parquet_stream(spark, path, max_files=1).drop("arrival")
+    sizes = docs.groupBy(F.col("row_ord") % DAYS).count().agg(F.count(F.lit(1)), F.min("count")).first()
+    files = min(int(spark.conf.get("spark.sql.shuffle.partitions")), sizes[1] // 64) if sizes[0] >= DAYS else 1
+    files = max(files, 1)
+    for d in range(DAYS):  # in the order of days
+        S.append_files(lines.filter(F.col("arrival") == d), path, files)
+    stream = S.parquet_stream(spark, path, max_files=files).drop("arrival")
     return spark.read.parquet(S.run_to_table(S.stream_clean(stream, f"{KEEP_HOURS} hours"), "clean-daily")).select("session_id", "text", "day")
 
 

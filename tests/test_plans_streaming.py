@@ -165,3 +165,34 @@ def test_stream_clean_forgets_after_the_watermark(spark):
     assert [t for t in texts if t[0].startswith("line")] == [(f"line of day {d}", d) for d in range(1, 10)]
     assert [t for t in texts if t[0] == "too old"] == [("too old", 1)]
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]) <= 8
+
+
+def test_a_day_is_always_the_same_number_of_files(spark, tmp_path):
+    path = str(tmp_path / "days")
+    for n in (0, 2, 500):
+        S.append_files(spark.range(n).withColumn("day", F.lit(n)), path, 4)
+    back = spark.read.parquet(path)
+    assert len(back.inputFiles()) == 12 and back.count() == 502
+
+
+def test_alert_state_sends_no_empty_frames():
+    import pandas as pd
+
+    class Held:
+        rows, timers = [], []
+
+        def getValueState(self, *_):
+            return self
+
+        getListState = getValueState
+
+        def appendValue(self, row):
+            self.rows.append(row)
+
+        def registerTimer(self, t):
+            self.timers.append(t)
+    p = S.PreviousDashboard(24)
+    p.init(Held())
+    row = pd.DataFrame({"session_id": ["s"], "created_at": [pd.Timestamp("2024-01-01")], "overall_score": [1.0], "critical_pct": [2.0], "top_issue": [None]})
+    assert list(p.handleInputRows((1,), iter([row]), None)) == []
+    assert Held.rows == [("s", pd.Timestamp("2024-01-01").to_pydatetime(), 1.0, 2.0, None)] and len(Held.timers) == 1
