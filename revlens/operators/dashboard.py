@@ -10,7 +10,7 @@ and rank the small aggregated result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.functions.exprs import first_n_per_group, pct, ranked
@@ -58,14 +58,20 @@ def sentiment_breakdown(df: DataFrame, keys=None) -> DataFrame:
     )
 
 
+def _known(df: DataFrame, keys: list) -> DataFrame:
+    """Rows without a null in ``keys``."""
+    for k in keys:
+        df = df.filter(F.col(k).isNotNull())
+    return df
+
+
 def _value_breakdown(df: DataFrame, column: str, name: str, keys=None) -> DataFrame:
     """Volume and share of each value of ``column``; rank = count desc, first seen first."""
     keys = keys or SESSION_KEYS
-    per_value = (df.filter(F.col(column).isNotNull())
-                 .groupBy(*keys, F.col(column).alias(name))
+    per_value = (_known(df, keys).groupBy(*keys, F.col(column).alias(name))
                  .agg(F.count(F.lit(1)).alias("count"), F.min("review_id").alias("first_id")))
-    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-    out = per_value.join(totals, keys)
+    # rows without a value count for the total alone
+    out = per_value.withColumn("total", F.sum("count").over(Window.partitionBy(*keys))).filter(F.col(name).isNotNull())
     out = out.withColumn("pct", pct("count", "total"))
     out = ranked(out, keys, [F.col("count").desc(), F.col("first_id").asc()])
     return out.select(*keys, name, "count", "pct", "rank")
@@ -149,7 +155,8 @@ def top_issues(df: DataFrame, n: int | None = 5, keys=None) -> DataFrame:
     first3 = (first_n_per_group(neg, gkeys, [F.col("review_id").asc()], 3, "_k")
               .groupBy(*gkeys)
               .agg(F.array_sort(F.collect_list(F.struct("review_id", "core_issue"))).alias("_ex")))
-    out = agg.join(first3, gkeys).withColumn("example_list", F.transform("_ex", lambda x: x["core_issue"]))
+    # every group has a first row; as a left join it is left out where nobody reads the list
+    out = _known(agg, gkeys).join(first3, gkeys, "left").withColumn("example_list", F.transform("_ex", lambda x: x["core_issue"]))
     order = [F.col("critical_count").desc(), F.col("count").desc(), F.col("category").asc()]
     out = ranked(out, keys, order, "rank") if n is None else first_n_per_group(out, keys, order, n, "rank")
     return out.select(*keys, "rank", "category", "count", "critical_count", "example", "example_list")

@@ -155,18 +155,28 @@ emerging AS (
         FROM pi FULL OUTER JOIN li ON pi.user_id = li.user_id AND pi.category = li.category))"""
 
 
+def _shares(fb):
+    """Category shares (D2) as a table: the first and the latest sessions read it."""
+    return cut_lineage(D.category_breakdown(fb).select("session_id", "category", "pct"))
+
+
+def _issues(fb):
+    """Uncut issues (D7) as a table: the previous and the latest sessions read it."""
+    return cut_lineage(D.top_issues(fb, None).select("session_id", "category", "critical_count"))
+
+
 @register("e03_category_drift", SQL_CATS + ", " + DRIFT_SQL + " SELECT * FROM drift")
 def e03(spark, sf_dir):
-    fb, dash, hist = all_derived(spark, sf_dir)
-    series = E.session_series(hist, dash)
-    return E.category_drift(series, D.category_breakdown(fb))
+    fb = feedback(spark, sf_dir)
+    dash = cut_lineage(dashboards(fb))
+    return E.category_drift(E.session_series(history(dash), dash), _shares(fb))
 
 
 @register("e04_emerging_issues", SQL_CATS + ", " + DRIFT_SQL + " SELECT * FROM emerging")
 def e04(spark, sf_dir):
-    fb, dash, hist = all_derived(spark, sf_dir)
-    series = E.session_series(hist, dash)
-    return E.emerging_issues(series, D.top_issues(fb, None))
+    fb = feedback(spark, sf_dir)
+    dash = cut_lineage(dashboards(fb))
+    return E.emerging_issues(E.session_series(history(dash), dash), _issues(fb))
 
 
 @register("e05_trends", SQL_CATS + ", " + DRIFT_SQL + ", " + TRAJ_SQL + """
@@ -183,10 +193,10 @@ FROM traj2 t LEFT JOIN dc ON t.user_id = dc.user_id LEFT JOIN ec ON t.user_id =
 def e05(spark, sf_dir):
     fb = cut_lineage(feedback(spark, sf_dir).select("session_id", "user_id", "industry", "created_at", "review_id", "sentiment", "primary_category",
                                                     "secondary_category", "urgency", "core_issue", "confidence"))
-    dash = dashboards(fb)
+    dash = cut_lineage(dashboards(fb))
     series = cut_lineage(E.session_series(history(dash), dash))
-    drift = E.category_drift(series, D.category_breakdown(fb))
-    emerging = E.emerging_issues(series, D.top_issues(fb, None))
+    drift = E.category_drift(series, _shares(fb))
+    emerging = E.emerging_issues(series, _issues(fb))
     return E.trends(series, drift, emerging)
 
 
