@@ -15,13 +15,14 @@ from revlens.operators import dashboard as D
 from revlens.plans.catalog import register
 from revlens.plans.derived import CAT_CTE, FULL_KEYS
 from revlens.plans.sqlbits import COUNTS_CTE, DASH_CTE, TOP_ISSUES_CTE, spct, with_feedback
+from revlens.session import cut_lineage
 from revlens.sources.tables import feedback, read_table
 
 
 def _inputs(spark, sf_dir):
     fb = feedback(spark, sf_dir)
     dash = D.dashboard(fb, FULL_KEYS)
-    return fb, dash, D.top_issues(fb)
+    return fb, dash, cut_lineage(D.top_issues(fb).drop("example_list"))
 
 
 def generated_plans(spark, sf_dir):
@@ -116,13 +117,17 @@ FROM dashboard d JOIN who w ON d.session_id = w.session_id JOIN customer c ON c.
 LEFT JOIN cb ON cb.session_id = d.session_id LEFT JOIN eb ON eb.session_id = d.session_id
 LEFT JOIN ib ON ib.session_id = d.session_id LEFT JOIN sb ON sb.session_id = d.session_id""")
 def j01(spark, sf_dir):
-    fb, dash, issues = _inputs(spark, sf_dir)
+    fb = cut_lineage(feedback(spark, sf_dir).select(*FULL_KEYS, "review_id", "primary_category", "secondary_category", "sentiment", "urgency",
+                                                    "emotion", "confidence", "core_issue"))
+    dash = cut_lineage(D.dashboard(fb, FULL_KEYS))
+    every = cut_lineage(D.top_issues(fb, None).drop("example_list"))
+    issues = every.filter("rank <= 5")
     cust = read_table(spark, sf_dir, "customer")
     who = dash.select("session_id", "user_id", "industry").join(
         cust.select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("company_name"),
                     F.when(F.col("c_acctbal") > 0, F.lit("account in credit")).otherwise(F.lit("")).alias("description")), "user_id")
     low = F.lower("category")
-    solutions = D.top_issues(fb, None).filter(F.col("critical_count") > 0).select(
+    solutions = every.filter(F.col("critical_count") > 0).select(
         "session_id", "category", F.lit(1).alias("hit"), F.concat(F.lit("Repeated complaints about "), low).alias("problem"),
         F.concat(F.lit("Review the "), low, F.lit(" process")).alias("solution"), F.lit("high").alias("impact"), F.lit("low").alias("effort"))
     return J.plan_facts(dash, issues, D.category_breakdown(fb), D.emotion_breakdown(fb), who, solutions)
