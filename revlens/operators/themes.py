@@ -15,8 +15,8 @@ cluster is no nearer to a third one than the nearer of its parts.  So
 
 A round therefore compares the few clusters that look again with the clusters
 still open in their group.  Both are dealt to bounded blocks by hash, every two
-blocks meet in a tile (the shuffle key) and one matrix product yields each
-asker's best partner in it; no cluster pairs are emitted and a large group
+blocks meet in a tile (the shuffle key) and matrix products of a part of the askers
+at a time yield each one's best partner in it; no cluster pairs are emitted and a large group
 spreads over many tasks.  The table is written to the shared folder each round;
 the merges it records are followed to their ends at the end.
 """
@@ -38,11 +38,34 @@ from revlens.types import (CLUSTER_DISTANCE_THRESHOLD, MIN_CATEGORY_SIZE_FOR_THE
                            MIN_THEME_SIZE)
 
 GROUP = ["session_id", "category", "sentiment"]
+#: vectors of a block, and askers compared with a block at a time
+BLOCK, PART = 8192, 512
+
+
+def _norm(c):
+    return F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
 def _unit(c):
-    norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(c, lambda x: x.cast("double") / norm))
+    """The unit vector, null for a zero one.  The array of one holds the norm: named inside the inner function it would be made once an element."""
+    return F.transform(F.array(_norm(c)), lambda norm: F.when(norm > 0, F.transform(c, lambda x: x.cast("double") / norm)))[0]
+
+
+def _best(aid: np.ndarray, am: np.ndarray, bid: np.ndarray, bm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, distance) of the nearest other row of ``b`` for every row of ``a`` (ties: smaller id; distance inf: none), PART rows at a time."""
+    order = np.argsort(bid, kind="stable")
+    bid, bm = bid[order], bm[order]
+    nn, dist = np.empty(len(aid), bid.dtype), np.empty(len(aid))
+    for at in range(0, len(aid), PART):
+        own = aid[at:at + PART]
+        d = am[at:at + PART] @ bm.T
+        np.subtract(1.0, d, out=d)
+        lo, n = np.searchsorted(bid, own), np.searchsorted(bid, own, "right")
+        n = np.where(own == own, n - lo, 0)  # a null id equals none
+        d[np.repeat(np.arange(len(own)), n), np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())] = np.inf
+        first = d.argmin(axis=1)
+        nn[at:at + PART], dist[at:at + PART] = bid[first], d[np.arange(len(own)), first]
+    return nn, dist
 
 
 def _nearest(clusters: DataFrame, block: int) -> DataFrame:
@@ -70,10 +93,7 @@ def _nearest(clusters: DataFrame, block: int) -> DataFrame:
             if min(map(len, sides)) == 0:
                 continue
             (aid, am), (bid, bm) = [(x["cid"].to_numpy(), np.stack(x["s"].to_list()) / x["n"].to_numpy()[:, None]) for x in sides]
-            d = 1.0 - am @ bm.T
-            d[aid[:, None] == bid[None, :]] = np.inf
-            best = d.min(axis=1)
-            nn = np.where(d == best[:, None], bid[None, :], np.iinfo(np.int64).max).min(axis=1)
+            nn, best = _best(aid, am, bid, bm)
             ok = np.isfinite(best)
             out = pd.DataFrame({"cid": aid[ok], "nn": nn[ok], "dist": best[ok]})
             for k in GROUP:
@@ -106,7 +126,7 @@ def _merged(state: DataFrame) -> DataFrame:
     return out.unionByName(rest)
 
 
-def average_linkage(items: DataFrame, threshold: float = CLUSTER_DISTANCE_THRESHOLD, block: int = 1024,
+def average_linkage(items: DataFrame, threshold: float = CLUSTER_DISTANCE_THRESHOLD, block: int = BLOCK,
                     watch: Callable[[int, int], None] | None = None) -> DataFrame:
     """Final cluster id per item.
 
@@ -114,8 +134,10 @@ def average_linkage(items: DataFrame, threshold: float = CLUSTER_DISTANCE_THRESH
     Returns GROUP + item + cid (the cluster's smallest item).  ``watch`` is told of each round
     how many clusters look again and how many are open.
     """
-    it = items.withColumn("u", _unit(F.col("vec")))
-    open_ = cut_lineage(it.filter(F.col("u").isNotNull()).select(
+    # a group's rows come from a join by its key, all in one task
+    tasks = 2 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    it = items.repartition(tasks, *GROUP, "item").filter(_norm(F.col("vec")) > 0).withColumn("u", _unit(F.col("vec")))
+    open_ = cut_lineage(it.select(
         *GROUP, F.col("item").alias("cid"), F.lit(1).cast("long").alias("n"), F.col("u").alias("s"),
         F.lit(None).cast("long").alias("nn"), F.lit(None).cast("double").alias("dist"), F.lit(None).cast("long").alias("gone")))
     merges, fresh = [], True
@@ -159,10 +181,9 @@ def theme_inputs(results: DataFrame) -> DataFrame:
 
     ``results``: session_id, review_id, review, category, sentiment, urgency, vec.
     """
-    s_tot = results.groupBy("session_id").agg(F.count(F.lit(1)).alias("session_total"))
     c_tot = results.groupBy("session_id", "category").agg(F.count(F.lit(1)).alias("category_total"))
-    return results.join(s_tot, "session_id").join(c_tot, ["session_id", "category"]) \
-        .filter(F.col("session_total") >= MIN_REVIEWS_FOR_THEMES)
+    s_tot = c_tot.groupBy("session_id").agg(F.sum("category_total").alias("session_total")).filter(F.col("session_total") >= MIN_REVIEWS_FOR_THEMES)
+    return results.join(c_tot.join(s_tot, "session_id"), ["session_id", "category"])
 
 
 def cluster_themes(results: DataFrame, threshold: float = CLUSTER_DISTANCE_THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:

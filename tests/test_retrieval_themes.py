@@ -1,5 +1,6 @@
 import os
 import numpy as np
+from pyspark.sql import functions as F
 
 from revlens.operators import retrieval as H
 from revlens.operators import themes as I
@@ -108,6 +109,33 @@ def test_average_linkage_over_many_rounds(spark):
     assert [got[i] for i in range(n)] == ref
 
 
+def test_group_goes_once_to_a_block_and_is_compared_in_parts(spark, monkeypatch):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    sent, deal = [], I.dealt
+    monkeypatch.setattr(I, "dealt", lambda tiles, tile: sent.append(tiles.count()) or deal(tiles, tile))
+    many = spark.createDataFrame([("s", "c", "neutral", i, [float(x) for x in rng.normal(size=8)]) for i in range(1500)],
+                                 "session_id string, category string, sentiment string, item long, vec array<double>")
+    assert I.average_linkage(many, 1e-6).count() == 1500
+    assert sent == [3000]  # each vector once as asker and once as partner
+    # parts of a block, ties and equal ids as one comparison of all with all
+    a, b = np.array([4, 1, 1, 9, 6, 0]), np.array([9, 1, 4, 0, 1, 7, 8])
+    am, bm = rng.integers(0, 2, (6, 3)).astype(float), rng.integers(0, 2, (7, 3)).astype(float)
+    d = 1.0 - am @ bm.T
+    d[a[:, None] == b[None, :]] = np.inf
+    monkeypatch.setattr(I, "PART", 4)
+    nn, dist = I._best(a, am, b, bm)
+    assert dist.tolist() == d.min(axis=1).tolist()
+    assert nn.tolist() == [min(b[j] for j in range(7) if d[i, j] == d[i].min()) for i in range(6)]
+
+
+def test_norm_is_made_once_a_vector(spark):
+    """The norm is no part of what is done for every element."""
+    found = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>").select(I._unit(F.col("v")).alias("u"))
+    assert [r.u for r in found.collect()] == [[0.6, 0.8], None, None]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
 def test_linkage_looks_again_only_where_something_merged(spark):
     """Tight and loose groups, a zero vector, ties; clusters that look again fall with the merges."""
     rng = np.random.default_rng(9)
