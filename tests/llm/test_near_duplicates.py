@@ -201,3 +201,26 @@ def test_line_verification_counts_characters_not_code_units(spark):
     got = {(r.doc_id, r.line_no): (r.component_doc_id, r.component_line_no) for r in op9_lines.line_components(frame(spark, docs)).collect()}
     long_, short = line_components(docs, q=8), line_components(docs, q=4)
     assert all(got[p] <= min(long_[p], short[p]) for p in got) and any(got[(100 + i, 0)] == (i, 0) for i in range(12))
+
+
+def test_bitmaps_rule_out_unlike_lines_and_lose_no_link(spark):
+    """Lines of 20 to 900 characters that share from none to nearly all of their words."""
+    import random
+    rnd = random.Random(11)
+    vocabulary = ["".join(rnd.choices("abcdefghé漢😀", k=6)) for _ in range(400)]
+    base, found = [rnd.choice(vocabulary) for _ in range(120)], ["z", "zz"]
+    for n in (3, 20, 60, 120):
+        for share in (0.0, 0.05, 0.1, 0.3, 0.6, 1.0):
+            found += [" ".join(rnd.choice(vocabulary) if rnd.random() < share else w for w in base[:n]) for _ in range(2)]
+    found = sorted(set(found))
+    text = spark.createDataFrame([(i, i, t) for i, t in enumerate(found)], "h1 long, h2 long, line string")
+    text = text.select("h1", "h2", F.encode("line", "UTF-32").alias("wide"))
+    pairs = spark.createDataFrame(list(combinations(range(len(found)), 2)), "x long, y long")
+    for q in (8, 4):
+        sets = [{t[j:j + q] for j in range(len(t) - q + 1)} or {t} for t in found]
+        alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(range(len(found)), 2)}
+        links = {p for p, j in alike.items() if j >= 0.8 - 1e-9}
+        got = {(r.x, r.y) for r in op9_lines._possible(pairs, text, 0.8, q).collect()}
+        assert links and links <= got
+        assert not any(alike[p] < 0.4 for p in got)
+        assert {(r.x1, r.y1) for r in op9_lines._verified(pairs, text, 0.8, q).collect()} == links
