@@ -92,3 +92,20 @@ def test_stages_on_odd_rows_and_empty_tables(spark, tmp_path):
     docs.limit(0).write.parquet(f"{empty}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_stages_run_on_small_batches(spark, tmp_path, monkeypatch):
+    """Every stage meets the small batch size, which is set back afterwards."""
+    seen = []
+
+    def stage(spark, docs, sf_dir):
+        sizes = docs.mapInArrow(lambda batches: (b.select(["doc_id"]) for b in batches if b.num_rows <= 1000), "doc_id long")
+        seen.append(sizes.count())
+        return docs
+
+    spark.range(2500).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text")).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    before = spark.conf.get(corpus_pipeline.BATCH)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage)])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 2500
+    assert seen == [2500, 2500]
+    assert spark.conf.get(corpus_pipeline.BATCH) == before
