@@ -224,3 +224,30 @@ def test_bitmaps_rule_out_unlike_lines_and_lose_no_link(spark):
         assert links and links <= got
         assert not any(alike[p] < 0.4 for p in got)
         assert {(r.x1, r.y1) for r in op9_lines._verified(pairs, text, 0.8, q).collect()} == links
+
+
+@pytest.mark.parametrize("few", [0, 32])
+def test_a_common_passage_pairs_no_lines_but_alike_ones(spark, rng, monkeypatch, few):
+    """Lines that hold one passage share buckets; few of their pairs are compared, and those that are alike are found."""
+    monkeypatch.setattr(op9_lines, "FEW", few, raising=False)
+    compared, verified = [], op9_lines._verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(op9_lines, "_verified", counted)
+
+    def text(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+
+    passage, docs = "z" + text(198) + "z", []
+    for i in range(200):
+        own = text(78)
+        docs += [(i, f"{passage}x{own}x")]
+        if i % 10 == 0:
+            docs += [(1000 + i, f"{passage}x{own[:40]}#{own[41:]}x"), (2000 + i, f"{passage}x{own[:40]}#{own[41:60]}#{own[61:]}x")]
+    want = line_components(docs)
+    got = {(r.doc_id, r.line_no): (r.component_doc_id, r.component_line_no) for r in op9_lines.line_components(frame(spark, docs)).collect()}
+    assert got == want and sum(p != c for p, c in want.items()) == 40
+    assert sum(compared) < 20 * len(docs)
