@@ -24,7 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -82,7 +82,7 @@ class Masks:
 
 
 #: Words and n-grams a task remembers; later ones are worked out each time.
-CACHE = 100_000
+CACHE = 50_000
 #: Bits of a language's counter in a packed count.
 FIELD = 40
 
@@ -152,7 +152,6 @@ def train(docs: DataFrame, max_train_docs: int = 2000, min_share: float = 0.02,
     sample = rows.where(spot < share[F.col("lang")]).select("text", "lang")
 
     def count(batches):
-        import pyarrow as pa
         seen: dict[str, Counter] = {}
         n: Counter = Counter()
         for b in batches:
@@ -181,7 +180,6 @@ def predict(docs: DataFrame, masks: Masks, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(masks)  # slots x languages / 8 bytes, a fixed size
 
     def run(batches):
-        import pyarrow as pa
         p = Predictor(shared.value)
         for b in batches:
             found = [p(t) for t in texts(b.column("text"))]
@@ -197,10 +195,10 @@ def drop_unidentified(docs: DataFrame, masks: Masks, min_score: float = 0.1, tex
     ``min_score`` of their n-grams; with no language learned only the letters count."""
     shared = docs.sparkSession.sparkContext.broadcast(masks)
 
-    @F.pandas_udf("boolean")
-    def keep(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def keep(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         p = Predictor(shared.value)
         for part in parts:
-            yield pd.Series([p(t or "")[1] >= min_score if p.masks.langs else any(map(str.isalpha, t or "")) for t in part], dtype=bool)
+            yield pa.array([p(t)[1] >= min_score if p.masks.langs else any(map(str.isalpha, t)) for t in texts(part)], pa.bool_())
 
     return docs.where(keep(F.col(text_col).cast("string")))

@@ -24,7 +24,7 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from revlens.llm.common import map_batches, texts
@@ -237,8 +237,8 @@ def judge(docs: DataFrame, crf: Crf, min_content: float = 0.5, id_col: str = "do
 
 def drop_rejected(docs: DataFrame, crf: Crf, min_content: float = 0.5, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that the rules or the content share reject."""
-    @F.pandas_udf("boolean")
-    def keep(part: pd.Series) -> pd.Series:
-        return pd.Series([judge_text(crf, t or "", min_content)[6] for t in part], dtype=bool)
+    @F.arrow_udf("boolean")
+    def keep(part: pa.Array) -> pa.Array:
+        return pa.array([judge_text(crf, t, min_content)[6] for t in texts(part)], pa.bool_())
 
     return docs.where(keep(F.col(text_col).cast("string")))
