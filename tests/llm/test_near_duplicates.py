@@ -251,3 +251,23 @@ def test_a_common_passage_pairs_no_lines_but_alike_ones(spark, rng, monkeypatch,
     got = {(r.doc_id, r.line_no): (r.component_doc_id, r.component_line_no) for r in op9_lines.line_components(frame(spark, docs)).collect()}
     assert got == want and sum(p != c for p, c in want.items()) == 40
     assert sum(compared) < 20 * len(docs)
+
+
+def test_tables_of_the_steps_are_removed(spark, rng, monkeypatch, tmp_path):
+    """What line dedup and the components write on their way goes as soon as nothing reads it any more."""
+    held, most = [], []
+
+    def listed(df, label, own=op9_lines.written):
+        out = own(df, label)
+        held.append(label)
+        most.append(sum(p.name.startswith("llm-") for p in tmp_path.iterdir()))
+        return out
+
+    monkeypatch.setattr(op9_lines, "written", listed)
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    words = [f"word{i}" for i in range(300)]
+    lines_ = [" ".join(rng.choices(words, k=30)) for _ in range(20)]
+    docs = [(i, t) for i, t in enumerate(lines_)] + [(100 + i, t.replace("word1", "wird1")) for i, t in enumerate(lines_)]
+    got = op9_lines.line_components(frame(spark, docs))
+    assert {(r.doc_id, r.line_no): (r.component_doc_id, r.component_line_no) for r in got.collect()} == line_components(docs)
+    assert len(held) > 40 and max(most) < 20
