@@ -64,6 +64,19 @@ def test_vectors_are_sent_once_while_a_target_fits_a_task(spark, monkeypatch):
     assert sent[0].count() == 3000 + 5000
 
 
+def test_tiles_are_sent_in_waves(spark, monkeypatch):
+    """With many blocks no wave sends all tiles' rows, and the best of all waves are those of one."""
+    rng = np.random.default_rng(3)
+    q = spark.createDataFrame([(i, ["A", "Other", None, "B"][i % 4], rng.normal(size=6).tolist()) for i in range(60)], "qid long, industry string, vec array<double>")
+    c = spark.createDataFrame([(j, ["A", "B", "General"][j % 3], rng.normal(size=6).tolist()) for j in range(50)], "doc_id long, industry string, vec array<double>")
+    want = sorted(map(tuple, H.similar_top_k(q, c, k=3, floor=0.3).collect()))
+    sent, deal = [], H.dealt
+    monkeypatch.setattr(H, "dealt", lambda tiles, tile: sent.append(tiles.count()) or deal(tiles, tile))
+    monkeypatch.setattr(H, "WAVE", 300, raising=False)
+    assert sorted(map(tuple, H.similar_top_k(q, c, k=3, floor=0.3, query_block=8, corpus_block=8).collect())) == want
+    assert len(want) > 60 and len(sent) > 2 and max(sent) < sum(sent) / 2
+
+
 def test_average_linkage_matches_reference(spark):
     rng = np.random.default_rng(1)
     centers = rng.normal(size=(3, 6))
