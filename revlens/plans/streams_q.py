@@ -162,9 +162,8 @@ def s02(spark, sf_dir):
     Sessions are a year apart or more: with TTL_HOURS some previous ones count and some are
     too old.  Dashboards of the last LATE_HOURS wait for the watermark and are not judged yet.
     """
-    rows = cut_lineage(_dashboards(spark, sf_dir))
     part = F.year("created_at") * 2 + F.floor((F.month("created_at") - 1) / 6)
-    rows = cut_lineage(rows.withColumn("part", (part + F.when(F.col("user_id") % 3 == 0, 1).otherwise(0)).cast("int")))
+    rows = cut_lineage(_dashboards(spark, sf_dir).withColumn("part", (part + F.when(F.col("user_id") % 3 == 0, 1).otherwise(0)).cast("int")))
     path = S.scratch_path(spark, "dashboards-in")
     low, high = rows.agg(F.min("part"), F.max("part")).first()
     for p in range(low, high + 1):

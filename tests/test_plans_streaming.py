@@ -196,3 +196,35 @@ def test_alert_state_sends_no_empty_frames():
     row = pd.DataFrame({"session_id": ["s"], "created_at": [pd.Timestamp("2024-01-01")], "overall_score": [1.0], "critical_pct": [2.0], "top_issue": [None]})
     assert list(p.handleInputRows((1,), iter([row]), None)) == []
     assert Held.rows == [("s", pd.Timestamp("2024-01-01").to_pydatetime(), 1.0, 2.0, None)] and len(Held.timers) == 1
+
+
+def test_users_of_a_bucket_share_one_state(spark):
+    """Many users with several dashboards a trigger: the alerts are those of the rule, with no more states than buckets."""
+    import datetime as dt
+    import random
+    rnd, sent = random.Random(9), []
+    path = S.scratch_path(spark, "t-alerts")
+    issue = lambda r: None if r[4] % 3 == 0 else f"i{int(r[4] % 5)}"
+    for trigger in range(4):
+        rows = [(f"s{trigger}-{i}", rnd.choice([None, *range(40)]), "X", dt.datetime(2024, 1, 1) + dt.timedelta(hours=rnd.randrange(trigger * 150, trigger * 150 + 300)),
+                 float(rnd.randrange(100)), 1.0, 1.0, float(rnd.randrange(40)), 5, "c") for i in range(80)]
+        (analyses(spark, rows).withColumn("top_issue", F.expr("if(overall_score % 3 = 0, null, concat('i', cast(overall_score % 5 as int)))"))
+         .coalesce(1).write.mode("append").parquet(path))
+        sent += rows
+    want = set()
+    for r in sent:
+        earlier = [o for o in sent if o[1] == r[1] and (o[3], o[0]) < (r[3], r[0])]
+        before = max(earlier, key=lambda o: (o[3], o[0]), default=None)
+        if r[3] > max(o[3] for o in sent) - dt.timedelta(hours=60):
+            continue
+        if r[7] > 20:
+            want.add((r[1], r[0], "critical_spike", None))
+        if before and r[3] - before[3] <= dt.timedelta(hours=100):
+            if before[4] - r[4] > 10:
+                want.add((r[1], r[0], "sentiment_drop", before[4] - r[4]))
+            if issue(r) is not None and issue(r) != issue(before):
+                want.add((r[1], r[0], "new_top_issue", None))
+    progress = []
+    out = spark.read.parquet(S.run_to_table(S.stream_alerts(S.parquet_stream(spark, path, 1), 100, "60 hours", buckets=8), "t-alerts-out", progress=progress)).collect()
+    assert len(out) == len(want) and {(r.user_id, r.session_id, r.event, r["drop"]) for r in out} == want and len({w[2] for w in want}) == 3
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]) <= 8
